@@ -72,12 +72,14 @@ def compose(body: str) -> str:
             i += 1
         extra, text = text[5:i].strip(), text[i:]
     used = [t for t in TABLES if _WORD[t].search(body)]
-    need = fixtures.closure(used)
+    extras = [x for x in fixtures.EXTRA_SQL if re.search(rf"\b{x}\b", body)]
+    need = fixtures.closure(used + extras)
     ctes = []
     for name in need:
-        sql = fixtures.FIXTURE_SQL[name].format(**{r: (f"fx_{r}" if r in fixtures.FIXTURE_SQL else r)
-                                                   for r in fixtures.references(name)})
-        ctes.append(f"fx_{name} AS ({sql.strip()})")
+        sql = fixtures.ALL_SQL[name].format(**{r: (f"fx_{r}" if r in fixtures.FIXTURE_SQL else r)
+                                               for r in fixtures.references(name)})
+        cte_name = f"fx_{name}" if name in fixtures.FIXTURE_SQL else name
+        ctes.append(f"{cte_name} AS ({sql.strip()})")
     for name in used:
         present = FIXTURE_COLUMNS.get(name) or {f.name for f in SCHEMAS[name].fields}
         ctes.append(_canonical_cte(name, present))

@@ -138,3 +138,47 @@ REGISTRY: dict[str, Callable] = {
     "q41_resolve_profile": _q41,
     "s4_withdrawal_details": money.withdrawal_details,
 }
+
+
+# ---------------------------------------------------------------- M, C, S
+from souk.operators import checks, ratings  # noqa: E402
+from souk.sources import migrate  # noqa: E402
+from souk.sources.tables import conform  # noqa: E402
+
+RATINGS_SINCE = "1998-01-01"
+DEFAULTS_BATCH_TS = "2000-01-01 00:00:00"
+
+
+def faulty(m):
+    """The bundle with bookings and reviews replaced by their fault-injected versions."""
+    return m.replace(bookings=conform(m.fixture("faulty_bookings"), "bookings"),
+                     reviews=conform(m.fixture("faulty_reviews"), "reviews"))
+
+
+def _m3(m):
+    changed = m["reviews"].filter(F.col("created_at") >= F.lit(RATINGS_SINCE).cast("timestamp_ntz"))
+    return ratings.refresh_ratings(m, changed).select("id", "rating")
+
+
+def _c08(m):
+    return migrate.unify_notifications(m.fixture("notifications_old"), m.fixture("notifications_new"))
+
+
+REGISTRY.update({
+    "m1_creator_ratings": lambda m: ratings.creator_ratings(m).select("id", "rating"),
+    "m2_collaboration_ratings": lambda m: ratings.collaboration_ratings(m).select("id", "collaboration_rating"),
+    "m3_refresh_ratings": _m3,
+    "c01_not_null": lambda m: checks.check_not_null(faulty(m)),
+    "c02_unique": lambda m: checks.check_unique(faulty(m)),
+    "c03_enum": lambda m: checks.check_enum(faulty(m)),
+    "c04_rating_range": lambda m: checks.check_rating_range(faulty(m)),
+    "c05_foreign_keys": lambda m: checks.check_foreign_keys(faulty(m)),
+    "c06_ranges": lambda m: checks.check_ranges(faulty(m)),
+    "c07_apply_defaults": lambda m: checks.apply_defaults("bookings", faulty(m)["bookings"], DEFAULTS_BATCH_TS),
+    "c08_unify_notifications": _c08,
+    "c09_rekey__bookings": lambda m: migrate.rekey_table(m, "bookings"),
+    "c09_rekey__messages": lambda m: migrate.rekey_table(m, "messages"),
+    "c09_rekey__campaign_invites": lambda m: migrate.rekey_table(m, "campaign_invites"),
+    "c09_rekey__admin_logs": lambda m: migrate.rekey_table(m, "admin_logs"),
+    "c09_rekey__collaboration_reviews": lambda m: migrate.rekey_table(m, "collaboration_reviews"),
+})

@@ -203,12 +203,48 @@ from {events} where event_type='error'
 """,
 }
 
+# Named extra inputs: tables with injected faults for the checks, the two
+# notification shapes for the drift merge, and command tables for the jobs.
+EXTRA_SQL: dict[str, str] = {
+    "faulty_bookings": """
+select id, brand_id, case when k%101=4 then 'c-missing' else creator_id end creator_id, package_id, campaign_id,
+       case when k%101=2 then 'archived' when k%101=7 then null else status end status,
+       case when k%101=0 then null else price end price, notes, content_url,
+       case when k%101=5 then repeat('x', 60) else content_type end content_type,
+       rejection_reason, created_at
+from {bookings}
+union all
+select id, brand_id, creator_id, package_id, campaign_id, status, price, notes, content_url, content_type,
+       rejection_reason, created_at
+from {bookings} where k%101=1
+""",
+    "faulty_reviews": """
+select id, booking_id, brand_id, creator_id,
+       case when cast(substring(id, 3) as bigint)%101=3 then 0
+            when cast(substring(id, 3) as bigint)%101=6 then 6 else rating end rating,
+       comment, created_at
+from {reviews}
+""",
+    "notifications_old": """
+select 'n-'||event_id id, 'u-c-'||user_id user_id, props message,
+       case when event_id%3=0 then 1 else 0 end read_status, ts created_at
+from {events} where user_id in (select s_suppkey from {supplier}) and event_id%2=0
+""",
+    "notifications_new": """
+select 'n-'||event_id id, 'u-c-'||user_id user_id, event_type title, props message, '/'||event_type link,
+       event_id%3=0 is_read, ts created_at
+from {events} where user_id in (select s_suppkey from {supplier}) and event_id%2=1
+""",
+}
+
+ALL_SQL: dict[str, str] = {**FIXTURE_SQL, **EXTRA_SQL}
+
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 
 
 def references(name: str) -> list[str]:
     """Tables (raw or derived) that the definition of ``name`` reads."""
-    return sorted(set(_PLACEHOLDER.findall(FIXTURE_SQL[name])))
+    return sorted(set(_PLACEHOLDER.findall(ALL_SQL[name])))
 
 
 def closure(names) -> list[str]:
@@ -216,7 +252,7 @@ def closure(names) -> list[str]:
     need: set[str] = set()
 
     def visit(n: str) -> None:
-        if n in need or n not in FIXTURE_SQL:
+        if n in need or n not in ALL_SQL:
             return
         need.add(n)
         for r in references(n):
@@ -224,4 +260,4 @@ def closure(names) -> list[str]:
 
     for n in names:
         visit(n)
-    return [n for n in FIXTURE_SQL if n in need]
+    return [n for n in ALL_SQL if n in need]

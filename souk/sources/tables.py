@@ -20,11 +20,19 @@ from souk.sources.schema import SCHEMAS, TABLES
 class Market(Mapping):
     """Name → DataFrame, built on first use and then reused."""
 
-    def __init__(self, spark: SparkSession, builder: Callable[[str], DataFrame]):
+    def __init__(self, spark: SparkSession, builder: Callable[[str], DataFrame],
+                 extra: Callable[[str], DataFrame] | None = None):
         self.spark = spark
         self._builder = builder
+        self._extra = extra
         self._frames: dict[str, DataFrame] = {}
 
+    def fixture(self, name: str) -> DataFrame:
+        """A named extra input (commands, drifted shapes, faulty tables)."""
+        if self._extra is None:
+            raise KeyError(f"no extra inputs in this bundle: {name}")
+        return self._extra(name)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise KeyError(name)
@@ -50,7 +58,7 @@ class Market(Mapping):
         def build(name: str) -> DataFrame:
             return frames[name] if name in frames else base[name]
 
-        return Market(self.spark, build)
+        return Market(self.spark, build, self._extra)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -76,10 +84,10 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Market:
     def fixture(name: str) -> DataFrame:
         if name not in fx:
             args = {r: (raw[r] if r in raw else fixture(r)) for r in fixtures.references(name)}
-            fx[name] = spark.sql(fixtures.FIXTURE_SQL[name], **args)
+            fx[name] = spark.sql(fixtures.ALL_SQL[name], **args)
         return fx[name]
 
-    return Market(spark, lambda name: conform(fixture(name), name))
+    return Market(spark, lambda name: conform(fixture(name), name), fixture)
 
 
 def load_tables(spark: SparkSession, path: str) -> Market:
