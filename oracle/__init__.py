@@ -76,7 +76,7 @@ def compose(body: str) -> str:
     need = fixtures.closure(used + extras)
     ctes = []
     for name in need:
-        sql = fixtures.ALL_SQL[name].format(**{r: (f"fx_{r}" if r in fixtures.FIXTURE_SQL else r)
+        sql = fixtures.sql_for(name, "duckdb").format(**{r: (f"fx_{r}" if r in fixtures.FIXTURE_SQL else r)
                                                for r in fixtures.references(name)})
         cte_name = f"fx_{name}" if name in fixtures.FIXTURE_SQL else name
         ctes.append(f"{cte_name} AS ({sql.strip()})")

@@ -182,3 +182,44 @@ REGISTRY.update({
     "c09_rekey__admin_logs": lambda m: migrate.rekey_table(m, "admin_logs"),
     "c09_rekey__collaboration_reviews": lambda m: migrate.rekey_table(m, "collaboration_reviews"),
 })
+
+
+# ---------------------------------------------------------------- table jobs
+from souk.plans import bookings as bjobs  # noqa: E402
+from souk.plans import withdrawals as wjobs  # noqa: E402
+from souk.sources.commands import TEST_KEY  # noqa: E402
+
+BATCH_TS = "2024-02-01 00:00:00"
+
+# job name → (runner(m) -> JobResult, outputs)
+JOBS: dict[str, tuple[Callable, tuple[str, ...]]] = {
+    "t06_create_bookings": (lambda m: bjobs.create_bookings(m, m.fixture("cmd_t06"), BATCH_TS),
+                            ("bookings", "rejects", "notifications")),
+    "t07_booking_status": (lambda m: bjobs.apply_booking_status(m, m.fixture("cmd_t07"), BATCH_TS),
+                           ("bookings", "escrow_wallet", "creator_earnings", "rejects", "notifications")),
+    "t08_content_review": (lambda m: bjobs.content_review(m, m.fixture("cmd_t08"), BATCH_TS),
+                           ("bookings", "rejects", "notifications")),
+    "t10_payment_orders": (lambda m: bjobs.upsert_payment_orders(m, m.fixture("cmd_t10"), BATCH_TS),
+                           ("payments", "rejects", "orders")),
+    "t11_settle_payments": (lambda m: bjobs.settle_payments(m, m.fixture("cmd_t11"), TEST_KEY, BATCH_TS),
+                            ("payments", "escrow_wallet", "rejects", "notifications")),
+    "t12_release_escrow": (lambda m: bjobs.release_escrow(m, m.fixture("cmd_t12"), BATCH_TS),
+                           ("escrow_wallet", "bookings", "rejects", "notifications", "audit")),
+    "t13_request_withdrawals": (lambda m: wjobs.request_withdrawals(m, m.fixture("cmd_t13"), BATCH_TS),
+                                ("withdrawals", "rejects", "notifications")),
+    "t14_decide_withdrawals": (lambda m: wjobs.decide_withdrawals(m, m.fixture("cmd_t14"), BATCH_TS),
+                               ("withdrawals", "rejects", "notifications", "audit")),
+}
+
+
+def _job_output(runner, out):
+    return lambda m: runner(m).output(out)
+
+
+def register_jobs(jobs: dict) -> None:
+    for job, (runner, outs) in jobs.items():
+        for out in outs:
+            REGISTRY[f"{job}__{out}"] = _job_output(runner, out)
+
+
+register_jobs(JOBS)

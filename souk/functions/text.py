@@ -75,7 +75,7 @@ def encode_uri_component(col) -> Column:
 def locale_amount(col) -> Column:
     """``Number.prototype.toLocaleString()`` on an en-US host:
     thousands separators and at most three fraction digits."""
-    return F.format_number(_c(col).cast("double"), "#,##0.###")
+    return F.call_function("format_number", _c(col).cast("double"), F.lit("#,##0.###"))
 
 
 def extname(col) -> Column:

@@ -237,14 +237,23 @@ from {events} where user_id in (select s_suppkey from {supplier}) and event_id%2
 """,
 }
 
-ALL_SQL: dict[str, str] = {**FIXTURE_SQL, **EXTRA_SQL}
+from souk.sources.commands import COMMAND_SQL  # noqa: E402
+
+EXTRA_SQL.update(COMMAND_SQL)
+ALL_SQL: dict[str, object] = {**FIXTURE_SQL, **EXTRA_SQL}
+
+
+def sql_for(name: str, engine: str) -> str:
+    """The definition text of ``name`` for ``engine`` ('spark' or 'duckdb')."""
+    d = ALL_SQL[name]
+    return d[engine] if isinstance(d, dict) else d
 
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 
 
 def references(name: str) -> list[str]:
     """Tables (raw or derived) that the definition of ``name`` reads."""
-    return sorted(set(_PLACEHOLDER.findall(ALL_SQL[name])))
+    return sorted(set(_PLACEHOLDER.findall(sql_for(name, "spark"))))
 
 
 def closure(names) -> list[str]:

@@ -84,7 +84,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Market:
     def fixture(name: str) -> DataFrame:
         if name not in fx:
             args = {r: (raw[r] if r in raw else fixture(r)) for r in fixtures.references(name)}
-            fx[name] = spark.sql(fixtures.ALL_SQL[name], **args)
+            fx[name] = spark.sql(fixtures.sql_for(name, "spark"), **args)
         return fx[name]
 
     return Market(spark, lambda name: conform(fixture(name), name), fixture)
