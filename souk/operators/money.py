@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ZERO = F.lit(Decimal("0.00"))
+def _zero():
+    return F.lit(Decimal("0.00"))
+
 
 # Withdrawal status sets of the reference.
 BALANCE_WITHDRAWN = ("pending", "approved")            # per-creator balance
@@ -55,9 +57,9 @@ def available_balance(m, creator_id: str | None = None) -> DataFrame:
         F.sum("earned").alias("earned"),
         F.sum(F.when(F.col("w_status").isin(*BALANCE_WITHDRAWN), F.col("w_amount"))).alias("withdrawn"))
     out = cp.join(sums, "creator_id", "left").select(
-        "creator_id", F.coalesce("earned", ZERO).alias("earned"),
-        F.coalesce("withdrawn", ZERO).alias("withdrawn"))
-    return out.withColumn("available", F.greatest(ZERO, F.col("earned") - F.col("withdrawn")))
+        "creator_id", F.coalesce("earned", _zero()).alias("earned"),
+        F.coalesce("withdrawn", _zero()).alias("withdrawn"))
+    return out.withColumn("available", F.greatest(_zero(), F.col("earned") - F.col("withdrawn")))
 
 
 def withdrawal_queue(m) -> DataFrame:
@@ -83,10 +85,10 @@ def withdrawal_totals(m) -> DataFrame:
     withdrawn here."""
     led = _ledger(m)
     sums = led.agg(
-        F.coalesce(F.sum("earned"), ZERO).alias("earned"),
-        F.coalesce(F.sum(F.when(F.col("w_status").isin(*TOTALS_WITHDRAWN), F.col("w_amount"))), ZERO)
+        F.coalesce(F.sum("earned"), _zero()).alias("earned"),
+        F.coalesce(F.sum(F.when(F.col("w_status").isin(*TOTALS_WITHDRAWN), F.col("w_amount"))), _zero())
          .alias("total_withdrawn"))
-    return sums.select(F.greatest(ZERO, F.col("earned") - F.col("total_withdrawn")).alias("available_balance"),
+    return sums.select(F.greatest(_zero(), F.col("earned") - F.col("total_withdrawn")).alias("available_balance"),
                        "total_withdrawn")
 
 

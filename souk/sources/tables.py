@@ -76,15 +76,24 @@ def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in fixtures.RAW_TABLES}
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> Market:
-    """Marketplace tables derived from the driver's parquet (FIXTURES.md §2)."""
+def derive_tables(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> Market:
+    """Marketplace tables derived from the driver's parquet (FIXTURES.md §2).
+
+    With ``stage_dir`` every stand-in table is written there once and read
+    back, so tables that several others derive from are computed once and
+    their lineage is cut (use a shared folder on a cluster)."""
     raw = read_raw(spark, sf_dir)
     fx: dict[str, DataFrame] = {}
 
     def fixture(name: str) -> DataFrame:
         if name not in fx:
             args = {r: (raw[r] if r in raw else fixture(r)) for r in fixtures.references(name)}
-            fx[name] = spark.sql(fixtures.sql_for(name, "spark"), **args)
+            df = spark.sql(fixtures.sql_for(name, "spark"), **args)
+            if stage_dir is not None:
+                path = os.path.join(stage_dir, name)
+                df.write.mode("overwrite").parquet(path)
+                df = spark.read.parquet(path)
+            fx[name] = df
         return fx[name]
 
     return Market(spark, lambda name: conform(fixture(name), name), fixture)
