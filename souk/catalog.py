@@ -223,3 +223,56 @@ def register_jobs(jobs: dict) -> None:
 
 
 register_jobs(JOBS)
+
+from souk.plans import accounts as ajobs  # noqa: E402
+from souk.plans import catalog_rows as rjobs  # noqa: E402
+from souk.plans import collabs as cjobs  # noqa: E402
+
+
+def _j(fn, cmd, *args):
+    return lambda m: fn(m, *args, m.fixture(cmd), BATCH_TS)
+
+
+MORE_JOBS = {
+    "t01_register_users": (_j(ajobs.register_users, "cmd_t01"),
+                           ("users", "creator_profiles", "brand_profiles", "rejects")),
+    "t02_resolve_identities": (_j(ajobs.resolve_identities, "cmd_t02"),
+                               ("resolved", "users", "creator_profiles", "rejects")),
+    "t03_append_platforms": (_j(rjobs.append_rows, "cmd_t03_platforms", "creator_platforms"),
+                             ("creator_platforms", "rejects")),
+    "t03_append_packages": (_j(rjobs.append_rows, "cmd_t03_packages", "promotion_packages"),
+                            ("promotion_packages", "rejects")),
+    "t03_append_campaigns": (_j(rjobs.append_rows, "cmd_t03_campaigns", "campaigns"), ("campaigns", "rejects")),
+    "t04_update_packages": (_j(rjobs.update_rows, "cmd_t04_packages", "promotion_packages"),
+                            ("promotion_packages", "rejects")),
+    "t04_update_campaigns": (_j(rjobs.update_rows, "cmd_t04_campaigns", "campaigns"), ("campaigns", "rejects")),
+    "t04_update_profile": (_j(rjobs.update_own_profile, "cmd_t04_profile"), ("creator_profiles", "rejects")),
+    "t04_update_avatar": (_j(rjobs.update_avatars, "cmd_t04_avatar"), ("users", "rejects")),
+    "t05_delete_packages": (_j(rjobs.delete_rows, "cmd_t05_packages", "promotion_packages"),
+                            ("promotion_packages", "bookings", "rejects")),
+    "t05_delete_campaigns": (_j(rjobs.delete_rows, "cmd_t05_campaigns", "campaigns"),
+                             ("campaigns", "campaign_invites", "bookings", "rejects")),
+    "t15_submit_reviews": (_j(cjobs.submit_reviews, "cmd_t15"), ("reviews", "creator_profiles", "rejects")),
+    "t16_create_collaborations": (_j(cjobs.create_collaborations, "cmd_t16"),
+                                  ("collaborations", "collaboration_participants", "rejects")),
+    "t17_apply_collaborations": (_j(cjobs.apply_to_collaborations, "cmd_t17"),
+                                 ("collaboration_requests", "rejects", "notifications")),
+    "t18_decide_requests": (_j(cjobs.decide_requests, "cmd_t18"),
+                            ("collaboration_requests", "collaborations", "collaboration_participants", "messages",
+                             "rejects", "notifications")),
+    "t19_complete_collaborations": (_j(cjobs.complete_collaborations, "cmd_t19"),
+                                    ("collaborations", "rejects", "notifications")),
+    "t20_post_collab_messages": (_j(cjobs.post_collab_messages, "cmd_t20"),
+                                 ("collaboration_messages", "rejects", "notifications")),
+    "t21_send_messages": (_j(ajobs.send_messages, "cmd_t21"), ("messages", "rejects", "notifications")),
+    "t22_mark_read": (_j(ajobs.mark_notifications_read, "cmd_t22"), ("notifications",)),
+    "t23_delete_users": (_j(ajobs.delete_users, "cmd_t23"),
+                         ("users", "creator_profiles", "brand_profiles", "bookings", "payments", "messages",
+                          "admin_logs", "reviews", "collaboration_participants", "audit")),
+    "t24_change_roles": (_j(ajobs.change_roles, "cmd_t24"), ("users", "rejects", "audit")),
+    "t25_verify_creators": (_j(ajobs.verify_creators, "cmd_t25"), ("creator_profiles", "notifications", "audit")),
+    "t26_collab_reviews": (_j(cjobs.submit_collab_reviews, "cmd_t26"),
+                           ("collaboration_reviews", "creator_profiles", "rejects", "notifications")),
+}
+JOBS.update(MORE_JOBS)
+register_jobs(MORE_JOBS)

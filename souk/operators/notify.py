@@ -118,16 +118,16 @@ def fan_out(m, events: DataFrame, collab_col: str = "ref_id", exclude_creator_co
     """One event per participant of the collaboration, except the actor
     (by creator profile id or by user id).  An equi-join on the
     collaboration plus an inequality filter, not a loop."""
-    j = m["collaboration_participants"].select(F.col("collaboration_id").alias("_c"),
-                                               F.col("creator_id").alias("_pc"))
-    cp = m["creator_profiles"].select(F.col("id").alias("_pcid"), F.col("user_id").alias("_puser"))
-    out = (events.join(j, events[collab_col] == F.col("_c"))
-                 .join(cp, F.col("_pc") == F.col("_pcid")))
+    j = m["collaboration_participants"].select(F.col("collaboration_id").alias("_fo_c"),
+                                               F.col("creator_id").alias("_fo_pc"))
+    cp = m["creator_profiles"].select(F.col("id").alias("_fo_pcid"), F.col("user_id").alias("_fo_user"))
+    out = (events.join(j, events[collab_col] == F.col("_fo_c"))
+                 .join(cp, F.col("_fo_pc") == F.col("_fo_pcid")))
     if exclude_creator_col:
-        out = out.filter(F.col("_pc") != F.col(exclude_creator_col))
+        out = out.filter(F.col("_fo_pc") != F.col(exclude_creator_col))
     if exclude_user_col:
-        out = out.filter(F.col("_puser") != F.col(exclude_user_col))
-    return out.withColumn("user_id", F.col("_puser")).drop("_c", "_pc", "_pcid", "_puser")
+        out = out.filter(F.col("_fo_user") != F.col(exclude_user_col))
+    return out.withColumn("user_id", F.col("_fo_user")).drop("_fo_c", "_fo_pc", "_fo_pcid", "_fo_user")
 
 
 def audit(actions: DataFrame, job: str) -> DataFrame:

@@ -47,18 +47,18 @@ class JobResult:
     def output(self, name: str) -> DataFrame:
         if name == "rejects":
             return self.rejects
-        if name == "notifications":
+        if name in self.outputs:
+            return self.outputs[name]
+        if name == "notifications" and self.notifications is not None:
             return conform(self.notifications, "notifications")
         if name == "audit":
             return conform(self.audit, "admin_logs")
-        if name in self.outputs:
-            return self.outputs[name]
         return self.tables[name]
 
 
 def rejects_of(cmds: DataFrame, reason_col: str = "reason") -> DataFrame:
     return cmds.filter(F.col(reason_col).isNotNull()).select(
-        F.col("cmd_id").cast("bigint").alias("cmd_id"), F.col(reason_col).alias("reason"))
+        F.col("cmd_id").cast("bigint").alias("cmd_id"), F.col(reason_col).cast("string").alias("reason"))
 
 
 def new_id(job: str, *parts) -> F.Column:

@@ -103,3 +103,180 @@ from (select event_id, event_id % (select count(*) from {withdrawals}) + 1 tk fr
 join (select id, row_number() over (order by id) rn from {withdrawals}) w on w.rn = e.tk
 """,
 }
+
+S = "(select count(*) from {supplier})"
+C = "(select count(*) from {customer})"
+
+
+def _pick(table: str, event_type: str, extra_cols: str = "") -> str:
+    """Events of one type, each paired with a row of ``table`` (row_number by id)."""
+    return (f"(select event_id, user_id, value{extra_cols}, event_id % (select count(*) from {{{table}}}) + 1 tk "
+            f"from {{events}} where event_type='{event_type}') e "
+            f"join (select *, row_number() over (order by id) rn from {{{table}}}) t on t.rn = e.tk")
+
+
+COMMAND_SQL.update({
+    "cmd_t01": """
+select event_id cmd_id, event_id seq, 'New User '||event_id name,
+       case when event_id%13=0 then 'c'||(user_id % """ + S + """)||'@creator.test'
+            when event_id%11=0 then 'Dup'||user_id||'@new.test'
+            else 'new'||event_id||'@new.test' end email,
+       event_id%17<>0 password_given,
+       case event_id%5 when 0 then 'bad' when 1 then 'brand' when 2 then 'admin' else 'creator' end role,
+       case when event_id%3=0 then 'Co '||event_id end company_name,
+       case when event_id%7=0 then 'creator_'||(user_id % """ + S + """)
+            when event_id%7=1 then 'handle'||(user_id % 20) end username
+from {events} where event_type='signup'
+""",
+    "cmd_t02": """
+select event_id cmd_id, event_id seq,
+       case when event_id%9=0 then 'github' when event_id%2=0 then 'google' else 'facebook' end provider,
+       'pid'||event_id provider_id,
+       case when event_id%4=0 then 'c'||(user_id % """ + S + """)||'@creator.test'
+            when event_id%4=1 then 'social'||event_id||'@new.test' end email,
+       'Social  User '||user_id name, 'https://img.test/'||user_id avatar_url
+from {events} where event_type='signup'
+""",
+    "cmd_t03_platforms": """
+select event_id cmd_id, event_id seq,
+       case when event_id%9=0 then 'u-b-1' else 'u-c-'||(user_id % """ + S + """) end actor_user_id,
+       case when event_id%10=0 then null else 'Net'||(event_id%4) end platform_name, '@n'||event_id username,
+       'https://n.test/'||event_id profile_url, cast(event_id*10 as int) followers,
+       cast(value/10 as decimal(5,2)) engagement_rate
+from {events} where event_type='click'
+""",
+    "cmd_t03_packages": """
+select event_id cmd_id, event_id seq,
+       case when event_id%9=0 then 'u-b-1' else 'u-c-'||(user_id % """ + S + """) end actor_user_id,
+       case when event_id%10=0 then null else 'Pkg '||event_id end package_name, 'desc '||event_id description,
+       cast(value*100 as decimal(12,2)) price, cast(1+event_id%9 as int) delivery_days
+from {events} where event_type='view'
+""",
+    "cmd_t03_campaigns": """
+select event_id cmd_id, event_id seq,
+       case when event_id%9=0 then 'u-c-1' else 'u-b-'||(user_id % """ + C + """) end actor_user_id,
+       case when event_id%10=0 then null else 'Camp '||event_id end title, 'brief '||event_id description,
+       cast(value*1000 as decimal(12,2)) budget, case when event_id%2=0 then 'Food' else 'Memes' end category
+from {events} where event_type='purchase'
+""",
+    "cmd_t04_packages": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%2=0 then 'u-'||t.creator_id else 'u-c-1' end actor_user_id,
+       case when e.event_id%19=0 then 'k-missing' else t.id end target_id,
+       'Renamed '||e.event_id package_name, cast(null as string) description,
+       cast(e.value*50 as decimal(12,2)) price,
+       case when e.event_id%13=0 then null else cast(2+e.event_id%5 as int) end delivery_days
+from """ + _pick("promotion_packages", "click") + """
+""",
+    "cmd_t04_campaigns": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%2=0 then 'u-'||t.brand_id else 'u-b-1' end actor_user_id, t.id target_id,
+       'Retitled '||e.event_id title, 'new brief' description, cast(e.value*500 as decimal(12,2)) budget,
+       'Food' category, case when e.event_id%7=0 then 'bogus' else 'paused' end status
+from """ + _pick("campaigns", "view") + """
+""",
+    "cmd_t04_profile": """
+select event_id cmd_id, event_id seq, 'u-c-'||(user_id % """ + S + """) actor_user_id, 'bio '||event_id bio,
+       'Food' category, 'City '||(event_id%5) city, 'Country' country,
+       case when event_id%7=0 then null
+            when event_id%5=0 then 'creator_'||((user_id+1) % """ + S + """)
+            else 'creator_'||(user_id % """ + S + """) end username
+from {events} where event_type='signup'
+""",
+    "cmd_t04_avatar": """
+select event_id cmd_id, event_id seq, 'u-c-'||(user_id % """ + S + """) actor_user_id,
+       case when event_id%11=0 then null else '/uploads/a'||event_id||'.png' end avatar_url
+from {events} where event_type='error'
+""",
+    "cmd_t05_packages": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%2=0 then 'u-'||t.creator_id else 'u-c-1' end actor_user_id, t.id target_id
+from """ + _pick("promotion_packages", "error") + """
+""",
+    "cmd_t05_campaigns": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%2=0 then 'u-'||t.brand_id else 'u-b-1' end actor_user_id, t.id target_id
+from """ + _pick("campaigns", "error") + """
+""",
+    "cmd_t15": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%13=0 then 'u-'||b.creator_id else 'u-'||b.brand_id end actor_user_id,
+       case when e.event_id%29=0 then '' else b.id end booking_id,
+       case when e.event_id%17=0 then 0 else cast(1+e.event_id%7 as int) end rating, 'nice '||e.event_id comment
+from (select event_id, (event_id*7) % """ + N4 + """ tk from {events} where event_type='view') e
+join {bookings} b on b.k = e.tk
+""",
+    "cmd_t16": """
+select event_id cmd_id, event_id seq,
+       case when event_id%9=0 then 'u-b-1' else 'u-c-'||(user_id % """ + S + """) end actor_user_id,
+       case when event_id%10=0 then '' else 'Collab '||event_id end title, 'about '||event_id description,
+       'YouTube' platform, 'Food' category, 'City' location,
+       case when event_id%2=0 then null else cast(1000*(event_id%5) as int) end followers_required,
+       'paid' collaboration_type
+from {events} where event_type='click'
+""",
+    "cmd_t17": """
+select event_id cmd_id, event_id seq,
+       case when event_id%9=0 then 'u-b-1' else 'u-c-'||(user_id % """ + S + """) end actor_user_id,
+       'cl-'||(event_id % (select count(*) from {part})) collaboration_id,
+       case when event_id%2=0 then 'please '||event_id end message
+from {events} where event_type='view'
+""",
+    "cmd_t18": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%5=0 then 'u-c-1' else 'u-'||c.creator_id end actor_user_id,
+       t.collaboration_id, case when e.event_id%11=0 then 'cq-missing' else t.id end request_id,
+       case when e.event_id%3=0 then 'reject' else 'accept' end decision
+from """ + _pick("collaboration_requests", "click") + """
+join {collaborations} c on c.id = t.collaboration_id
+""",
+    "cmd_t19": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%4=0 then 'u-c-1' else 'u-'||t.creator_id end actor_user_id, t.id collaboration_id
+from """ + _pick("collaborations", "purchase") + """
+""",
+    "cmd_t20": """
+select e.event_id cmd_id, e.event_id seq,
+       case when e.event_id%6=0 then 'u-c-'||(e.user_id % """ + S + """) else 'u-'||t.creator_id end actor_user_id,
+       t.collaboration_id, case when e.event_id%31=0 then '   ' else 'hi '||e.event_id end message
+from """ + _pick("collaboration_participants", "signup") + """
+""",
+    "cmd_t21": """
+select event_id cmd_id, event_id seq,
+       case when event_id%3=0 then 'u-c-'||(user_id % """ + S + """) when event_id%3=1 then 'u-b-'||(user_id % """ + C + """)
+            else 'u-a-0' end actor_user_id,
+       case when event_id%17=0 then null when event_id%19=0 then 'u-missing'
+            else 'u-c-'||((user_id+3) % """ + S + """) end receiver_id,
+       case when event_id%23=0 then 'bk-missing' when event_id%2=0 then 'bk-'||((event_id*7) % """ + N + """) end booking_id,
+       'hello '||event_id message
+from {events} where event_type='click'
+""",
+    "cmd_t22": """
+select event_id cmd_id, event_id seq, 'u-c-'||(user_id % """ + S + """) actor_user_id,
+       case when event_id%2=0 then null else 'n-'||(event_id-1) end notification_id
+from {events} where event_type='view'
+""",
+    "cmd_t23": """
+select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id,
+       case when event_id%2=0 then 'u-c-'||(user_id % """ + S + """) else 'u-b-'||(user_id % """ + C + """) end user_id
+from {events} where event_type='error' and event_id%4=0
+""",
+    "cmd_t24": """
+select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id, 'u-b-'||(user_id % """ + C + """) user_id,
+       case event_id%4 when 0 then 'creator' when 1 then 'brand' when 2 then 'admin' else 'superuser' end role
+from {events} where event_type='signup'
+""",
+    "cmd_t25": """
+select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id,
+       case when event_id%13=0 then 'c-missing' else 'c-'||(user_id % """ + S + """) end creator_profile_id,
+       event_id%2=0 verified
+from {events} where event_type='click'
+""",
+    "cmd_t26": """
+select e.event_id cmd_id, e.event_id seq, 'u-'||t.creator_id actor_user_id, t.collaboration_id,
+       case when e.event_id%7=0 then t.creator_id when e.event_id%19=0 then 'c-missing'
+            else 'c-'||(e.user_id % """ + S + """) end creator_id,
+       cast(1+e.event_id%6 as int) rating, 'great '||e.event_id comment
+from """ + _pick("collaboration_participants", "purchase") + """
+""",
+})
