@@ -58,6 +58,9 @@ def compose(body: str) -> str:
     """
     extra = ""
     text = body.strip()
+    recursive = text[:15].upper() == "WITH RECURSIVE "
+    if recursive:
+        text = "WITH " + text[15:]
     if text[:5].upper() == "WITH ":
         # split "WITH x AS (...), y AS (...) SELECT ..." at the top-level SELECT
         depth, i = 0, 5
@@ -85,4 +88,4 @@ def compose(body: str) -> str:
         ctes.append(_canonical_cte(name, present))
     if extra:
         ctes.append(extra)
-    return "WITH " + ",\n".join(ctes) + "\n" + text
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + text

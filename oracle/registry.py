@@ -14,6 +14,13 @@ try:  # later groups register themselves here
 except ImportError:  # pragma: no cover
     pass
 
+try:
+    from oracle.jobs2 import SQL as JOB2_SQL
+
+    ORACLES.update(JOB2_SQL)
+except ImportError:  # pragma: no cover
+    pass
+
 try:
     from oracle.checks import SQL as CHECK_SQL
 

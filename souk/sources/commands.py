@@ -142,7 +142,7 @@ select event_id cmd_id, event_id seq,
        case when event_id%9=0 then 'u-b-1' else 'u-c-'||(user_id % """ + S + """) end actor_user_id,
        case when event_id%10=0 then null else 'Net'||(event_id%4) end platform_name, '@n'||event_id username,
        'https://n.test/'||event_id profile_url, cast(event_id*10 as int) followers,
-       cast(value/10 as decimal(5,2)) engagement_rate
+       cast(cast(event_id % 1000 as decimal(10,0)) * 0.01 as decimal(5,2)) engagement_rate
 from {events} where event_type='click'
 """,
     "cmd_t03_packages": """
