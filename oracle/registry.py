@@ -27,3 +27,10 @@ try:
     ORACLES.update(CHECK_SQL)
 except ImportError:  # pragma: no cover
     pass
+
+try:
+    from oracle.streams import SQL as STREAM_SQL
+
+    ORACLES.update(STREAM_SQL)
+except ImportError:  # pragma: no cover
+    pass

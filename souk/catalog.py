@@ -276,3 +276,40 @@ MORE_JOBS = {
 }
 JOBS.update(MORE_JOBS)
 register_jobs(MORE_JOBS)
+
+
+# ---------------------------------------------------------------- streams
+from souk.sources.schema import SCHEMAS as _SCHEMAS  # noqa: E402
+from souk.streaming import jobs as sjobs  # noqa: E402
+from souk.streaming.runner import run_folder, stage_files  # noqa: E402
+
+
+def _w1(m):
+    base = run_folder(m.spark, "w1")
+    src = stage_files(m.fixture("notify_events"), base + "/in", files=5, key="event_key")
+    sjobs.notification_stream(m, src, base + "/out", base + "/ckpt", files_per_trigger=2)
+    return m.spark.read.schema(_SCHEMAS["notifications"]).parquet(base + "/out")
+
+
+def _w2(m):
+    base = run_folder(m.spark, "w2")
+    src = stage_files(m.fixture("presence_events"), base + "/in", files=5, key="eid")
+    return sjobs.presence_stream(m.spark, src, base + "/log", base + "/ckpt", files_per_trigger=2)
+
+
+def _w3(m):
+    return sjobs.deliver_online(m["notifications"], m.fixture("presence_events"))
+
+
+def _w4(m):
+    base = run_folder(m.spark, "w4")
+    src = stage_files(m["reviews"].select("id", "creator_id", "rating"), base + "/in", files=5, key="id")
+    return sjobs.rating_stream(m, src, base + "/log", base + "/ckpt", files_per_trigger=2).select("id", "rating")
+
+
+REGISTRY.update({
+    "w1_notification_stream": _w1,
+    "w2_presence_stream": _w2,
+    "w3_deliver_online": _w3,
+    "w4_rating_stream": _w4,
+})

@@ -280,3 +280,27 @@ select e.event_id cmd_id, e.event_id seq, 'u-'||t.creator_id actor_user_id, t.co
 from """ + _pick("collaboration_participants", "purchase") + """
 """,
 })
+
+P = "(select count(*) from {part})"
+
+COMMAND_SQL.update({
+    # stream inputs (W1-W3): notification events and socket presence events
+    "notify_events": """
+select case event_type when 'view' then 'booking_created' when 'click' then 'collab_message'
+                       when 'purchase' then 'payment_received' when 'signup' then 'collab_review'
+                       else 'withdrawal_rejected' end event,
+       cast(event_id as string) event_key,
+       case when event_type='click' then cast(null as string) else 'u-c-'||(user_id % """ + S + """) end user_id,
+       case when event_type='click' then 'cl-'||(event_id % """ + P + """) else 'bk-'||event_id end ref_id,
+       cast(null as string) title_text, value amount,
+       case when event_id%2=0 then 'note '||event_id end note, cast(1+event_id%5 as string) rating,
+       cast(null as string) sender_label, ts created_at, 'u-c-'||(user_id % """ + S + """) actor_user_id
+from {events}
+""",
+    "presence_events": """
+select event_id eid, ts, 'u-c-'||(user_id % """ + S + """) user_id,
+       's-'||(user_id % """ + S + """)||'-'||(event_id%3) socket_id,
+       case when event_type='signup' then 'register' else 'disconnect' end kind
+from {events} where event_type in ('signup','error')
+""",
+})
