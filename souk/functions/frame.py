@@ -16,6 +16,14 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def order_if_keyed(df: DataFrame, key, *order) -> DataFrame:
+    """The reference orders the rows of *one* key.  Asked for one key, the
+    result is ordered; asked set-wide, rows of all keys come back unordered
+    (a total order over every key would be a full range-partitioned sort
+    with no meaning) — order per key downstream if needed."""
+    return df.orderBy(*_cols(list(order))) if key is not None else df
+
+
 def paginate(df: DataFrame, order: Sequence, page: int = 1, limit: int = 12) -> DataFrame:
     """``ORDER BY … LIMIT limit OFFSET (page-1)*limit``.
 

@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk.functions.frame import order_if_keyed
+
 USER_CARD = ["id", "name", "email", "role", "avatar_url", "created_at"]
 
 
@@ -94,7 +96,7 @@ def brand_booking_history(m, user_id: str | None = None) -> DataFrame:
              .select(F.col("bp.user_id").alias("history_user_id"), "b.*", "pp.package_name",
                      F.col("cp.username").alias("creator_username"), "p.payment_status",
                      F.col("p.amount").alias("paid_amount"))
-             .orderBy(F.col("history_user_id"), F.col("created_at").desc(), F.col("id")))
+             .transform(lambda d: order_if_keyed(d, user_id, F.col("created_at").desc(), F.col("id"))))
 
 
 def brand_campaign_history(m, user_id: str | None = None) -> DataFrame:
@@ -110,7 +112,7 @@ def brand_campaign_history(m, user_id: str | None = None) -> DataFrame:
              .join(inv, F.col("c.id") == F.col("_ic"), "left")
              .select(F.col("bp.user_id").alias("history_user_id"), "c.*",
                      F.coalesce(F.col("invite_count"), F.lit(0)).alias("invite_count"))
-             .orderBy(F.col("history_user_id"), F.col("created_at").desc(), F.col("id")))
+             .transform(lambda d: order_if_keyed(d, user_id, F.col("created_at").desc(), F.col("id"))))
 
 
 def creator_booking_history(m, user_id: str | None = None) -> DataFrame:
@@ -129,7 +131,7 @@ def creator_booking_history(m, user_id: str | None = None) -> DataFrame:
              .select(F.col("cp.user_id").alias("history_user_id"), "b.*", "pp.package_name",
                      F.col("bp.company_name").alias("brand_name"), "p.payment_status",
                      F.col("p.amount").alias("paid_amount"))
-             .orderBy(F.col("history_user_id"), F.col("created_at").desc(), F.col("id")))
+             .transform(lambda d: order_if_keyed(d, user_id, F.col("created_at").desc(), F.col("id"))))
 
 
 def creator_collab_history(m, user_id: str | None = None) -> DataFrame:
@@ -158,4 +160,4 @@ def creator_collab_history(m, user_id: str | None = None) -> DataFrame:
                          "c.collaboration_type", "c.created_at", "owner_name",
                          F.when(F.col("c.creator_id") == F.col("self_id"), "owner")
                           .otherwise("participant").alias("role_in_collab"))
-                 .orderBy(F.col("history_user_id"), F.col("created_at").desc(), F.col("id")))
+                 .transform(lambda d: order_if_keyed(d, user_id, F.col("created_at").desc(), F.col("id"))))

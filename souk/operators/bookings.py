@@ -13,12 +13,12 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.frame import paginate
+from souk.functions.frame import order_if_keyed, paginate
 from souk.functions.text import js_parse_int, js_truthy, like_any
 
 
-def _newest(df: DataFrame, col: str = "created_at") -> DataFrame:
-    return df.orderBy(F.col(col).desc(), F.col("id"))
+def _newest(df: DataFrame, key, col: str = "created_at") -> DataFrame:
+    return order_if_keyed(df, key, F.col(col).desc(), F.col("id"))
 
 
 # --------------------------------------------------------------------- campaigns
@@ -43,7 +43,7 @@ def brand_campaigns(m, brand_id: str | None = None) -> DataFrame:
     c = m["campaigns"]
     if brand_id is not None:
         c = c.filter(F.col("brand_id") == brand_id)
-    return _newest(c)
+    return _newest(c, brand_id)
 
 
 # --------------------------------------------------------------------- bookings
@@ -65,7 +65,7 @@ def bookings_for_brand(m, brand_id: str | None = None) -> DataFrame:
            .select("b.*", F.col("cp.username").alias("creator_username"),
                    F.col("u.name").alias("creator_name"), F.col("u.avatar_url").alias("creator_avatar"),
                    F.col("cp.user_id").alias("creator_user_id"), "pkg.package_name", "p.payment_status"))
-    return _newest(df)
+    return _newest(df, brand_id)
 
 
 def bookings_for_creator(m, creator_id: str | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def bookings_for_creator(m, creator_id: str | None = None) -> DataFrame:
            .join(p, F.col("p.booking_id") == F.col("b.id"), "left")
            .select("b.*", F.col("bp.company_name").alias("brand_name"),
                    F.col("u.avatar_url").alias("brand_avatar"), "pkg.package_name", "p.payment_status"))
-    return _newest(df)
+    return _newest(df, creator_id)
 
 
 def bookings_recent(m, n: int = 100) -> DataFrame:

@@ -54,19 +54,35 @@ def check_not_null(m, tables=None) -> DataFrame:
 
 def check_unique(m, tables=None) -> DataFrame:
     """Single and composite unique keys held by more than one row
-    (rows with a null in the key are exempt, as in SQL)."""
+    (rows with a null in the key are exempt, as in SQL).
+
+    Every table contributes one row per unique key it declares —
+    ``(table, key name, key values)`` — and all of them are counted by a
+    single grouped aggregate: one shuffle for the whole check, with partial
+    counts per task, so a duplicated hot key never gathers its rows."""
     parts = []
     for t in tables or SCHEMAS:
-        for key in UNIQUE_KEYS.get(t, (("id",),)):
-            df = m[t]
+        keys = UNIQUE_KEYS.get(t, (("id",),))
+        entries = []
+        for key in keys:
+            nn = F.lit(True)
             for k in key:
-                df = df.filter(F.col(k).isNotNull())
-            dup = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-            parts.append(dup.select(F.lit(t).alias("table_name"), F.lit(",".join(key)).alias("column_name"),
-                                    F.lit("unique").alias("rule"),
-                                    F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("row_id"),
-                                    F.col("n").cast("string").alias("detail")))
-    return _union(parts, m.spark)
+                nn = nn & F.col(k).isNotNull()
+            entries.append(F.when(nn, F.struct(F.lit(",".join(key)).alias("c"),
+                                              F.array(*[F.col(k).cast("string") for k in key]).alias("v"))))
+        cols = sorted({k for key in keys for k in key})
+        parts.append(m[t].select(*cols).select(
+            F.lit(t).alias("table_name"),
+            F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e")))
+    if not parts:
+        return _empty(m.spark)
+    allk = parts[0]
+    for p in parts[1:]:
+        allk = allk.unionByName(p)
+    dup = (allk.groupBy("table_name", F.col("e.c").alias("column_name"), F.col("e.v").alias("v"))
+               .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    return dup.select("table_name", "column_name", F.lit("unique").alias("rule"),
+                      F.array_join("v", "|").alias("row_id"), F.col("n").cast("string").alias("detail"))
 
 
 def check_enum(m, tables=None) -> DataFrame:
@@ -89,19 +105,33 @@ def check_rating_range(m) -> DataFrame:
 def check_foreign_keys(m, tables=None) -> DataFrame:
     """Child rows whose non-null foreign key has no parent row.
 
-    A left-anti join per key; AQE broadcasts the parent key set when its
-    measured size is under the threshold and shuffles both sides otherwise."""
-    parts = []
+    All references of all keys are unioned as ``(parent table, key value,
+    child row)`` and all parent keys as ``(parent table, key value)``; one
+    left-anti join on the pair finds every orphan.  That is one exchange per
+    side for the whole check instead of one join per foreign key, and AQE
+    may still broadcast the parent side when its measured size is small."""
+    refs, parents = [], {}
     for fk in FOREIGN_KEYS:
         if tables is not None and fk.table not in tables:
             continue
-        child = m[fk.table].select("id", fk.column).filter(F.col(fk.column).isNotNull())
-        parent = m[fk.parent].select(F.col("id").alias("_pid"))
-        orphans = child.join(parent, F.col(fk.column) == F.col("_pid"), "left_anti")
-        parts.append(orphans.select(F.lit(fk.table).alias("table_name"), F.lit(fk.column).alias("column_name"),
-                                    F.lit("foreign_key").alias("rule"), F.col("id").cast("string").alias("row_id"),
-                                    F.col(fk.column).cast("string").alias("detail")))
-    return _union(parts, m.spark)
+        refs.append(m[fk.table].filter(F.col(fk.column).isNotNull()).select(
+            F.lit(fk.parent).alias("_pt"), F.col(fk.column).cast("string").alias("_pv"),
+            F.lit(fk.table).alias("table_name"), F.lit(fk.column).alias("column_name"),
+            F.col("id").cast("string").alias("row_id")))
+        parents.setdefault(fk.parent, m[fk.parent].select(F.lit(fk.parent).alias("_qt"),
+                                                           F.col("id").cast("string").alias("_qv")))
+    if not refs:
+        return _empty(m.spark)
+    r = refs[0]
+    for x in refs[1:]:
+        r = r.unionByName(x)
+    ps = list(parents.values())
+    p = ps[0]
+    for x in ps[1:]:
+        p = p.unionByName(x)
+    orphans = r.join(p, (F.col("_pt") == F.col("_qt")) & (F.col("_pv") == F.col("_qv")), "left_anti")
+    return orphans.select("table_name", "column_name", F.lit("foreign_key").alias("rule"), "row_id",
+                          F.col("_pv").alias("detail"))
 
 
 def check_ranges(m, tables=None) -> DataFrame:

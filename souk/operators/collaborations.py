@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.frame import nest, page_count, paginate
+from souk.functions.frame import nest, order_if_keyed, page_count, paginate
 from souk.functions.text import js_parse_int, js_truthy, like_any
 
 LISTED = ("open", "in_progress")
@@ -119,7 +119,7 @@ def my_collaborations(m, creator_id: str | None = None) -> DataFrame:
     out = owned.unionByName(part)
     if creator_id is not None:
         out = out.filter(F.col("self_id") == creator_id)
-    return out.orderBy("self_id", "list", F.col("created_at").desc(), "id")
+    return order_if_keyed(out, creator_id, "list", F.col("created_at").desc(), "id")
 
 
 def collaboration_thread(m, collaboration_id: str | None = None) -> DataFrame:
@@ -135,7 +135,7 @@ def collaboration_thread(m, collaboration_id: str | None = None) -> DataFrame:
                .join(cp, F.col("cp.user_id") == F.col("u.id"))
                .select("m.*", F.col("u.name").alias("sender_name"), F.col("u.avatar_url").alias("sender_avatar"),
                        F.col("cp.username").alias("sender_username"))
-               .orderBy("collaboration_id", "created_at", "id"))
+               .transform(lambda d: order_if_keyed(d, collaboration_id, "created_at", "id")))
 
 
 def collaboration_reviews_for(m, creator_id: str | None = None) -> DataFrame:
@@ -153,4 +153,4 @@ def collaboration_reviews_for(m, creator_id: str | None = None) -> DataFrame:
               .join(c, F.col("cr.collaboration_id") == F.col("c.id"))
               .select("cr.*", F.col("u.name").alias("reviewer_name"), F.col("u.avatar_url").alias("reviewer_avatar"),
                       F.col("c.title").alias("collaboration_title"))
-              .orderBy("creator_id", F.col("created_at").desc(), "id"))
+              .transform(lambda d: order_if_keyed(d, creator_id, F.col("created_at").desc(), "id")))

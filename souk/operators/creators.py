@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.frame import nest, page_count, paginate, top_n_per_key
+from souk.functions.frame import nest, order_if_keyed, page_count, paginate, top_n_per_key
 from souk.functions.text import CI_AI, js_parse_float, js_parse_int, js_truthy, like_any
 
 
@@ -175,7 +175,7 @@ def earnings_statement(m, creator_id: str | None = None) -> DataFrame:
             .join(pkg, F.col("b.package_id") == F.col("pkg.id"), "left")
             .select("ce.*", F.col("b.created_at").alias("booking_date"),
                     F.col("u.name").alias("brand_name"), "pkg.package_name"))
-    return df.orderBy(F.col("created_at").desc(), F.col("id"))
+    return order_if_keyed(df, creator_id, F.col("created_at").desc(), F.col("id"))
 
 
 def earnings_total(m, creator_id: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.frame import top_n_per_key
+from souk.functions.frame import order_if_keyed, top_n_per_key
 
 
 def booking_thread(m, booking_id: str | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def booking_thread(m, booking_id: str | None = None) -> DataFrame:
     u = m["users"].alias("u")
     return (msg.join(u, F.col("m.sender_id") == F.col("u.id"))
                .select("m.*", F.col("u.name").alias("sender_name"), F.col("u.avatar_url").alias("sender_avatar"))
-               .orderBy("booking_id", "created_at", "id"))
+               .transform(lambda d: order_if_keyed(d, booking_id, "created_at", "id")))
 
 
 def inbox(m, user_id: str | None = None, n: int = 100) -> DataFrame:
@@ -40,7 +40,7 @@ def inbox(m, user_id: str | None = None, n: int = 100) -> DataFrame:
                .join(u2, F.col("m.receiver_id") == F.col("u2.id"))
                .select("m.*", F.col("u.name").alias("sender_name"), F.col("u.avatar_url").alias("sender_avatar"),
                        F.col("u2.name").alias("receiver_name"), F.col("u2.avatar_url").alias("receiver_avatar"))
-               .orderBy("inbox_user_id", F.col("created_at").desc(), "id"))
+               .transform(lambda d: order_if_keyed(d, user_id, F.col("created_at").desc(), "id")))
 
 
 def notification_feed(m, user_id: str | None = None, n: int = 50) -> DataFrame:
@@ -49,7 +49,7 @@ def notification_feed(m, user_id: str | None = None, n: int = 50) -> DataFrame:
     if user_id is not None:
         nt = nt.filter(F.col("user_id") == user_id)
     return (top_n_per_key(nt, "user_id", [F.col("created_at").desc(), F.col("id")], n)
-            .orderBy("user_id", F.col("created_at").desc(), "id"))
+            .transform(lambda d: order_if_keyed(d, user_id, F.col("created_at").desc(), "id")))
 
 
 def creator_reviews(m, creator_id: str | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def creator_reviews(m, creator_id: str | None = None) -> DataFrame:
     return (r.join(bp, F.col("r.brand_id") == F.col("bp.id"))
              .join(u, F.col("bp.user_id") == F.col("u.id"))
              .select("r.*", F.col("u.name").alias("brand_name"), F.col("u.avatar_url").alias("brand_avatar"))
-             .orderBy("creator_id", F.col("created_at").desc(), "id"))
+             .transform(lambda d: order_if_keyed(d, creator_id, F.col("created_at").desc(), "id")))
 
 
 def brand_reviews(m, brand_id: str | None = None) -> DataFrame:
@@ -80,4 +80,4 @@ def brand_reviews(m, brand_id: str | None = None) -> DataFrame:
              .join(b, F.col("r.booking_id") == F.col("b.id"))
              .select("r.*", F.col("u.name").alias("creator_name"), F.col("u.avatar_url").alias("creator_avatar"),
                      F.col("cp.username").alias("creator_username"), F.col("b.id").alias("booking_id_ref"))
-             .orderBy("brand_id", F.col("created_at").desc(), "id"))
+             .transform(lambda d: order_if_keyed(d, brand_id, F.col("created_at").desc(), "id")))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souk.functions.frame import order_if_keyed
+
+
 def _zero():
     return F.lit(Decimal("0.00"))
 
@@ -30,7 +33,7 @@ def withdrawal_history(m, creator_id: str | None = None) -> DataFrame:
     w = m["withdrawals"]
     if creator_id is not None:
         w = w.filter(F.col("creator_id") == creator_id)
-    return w.orderBy(F.col("created_at").desc(), F.col("id"))
+    return order_if_keyed(w, creator_id, F.col("created_at").desc(), F.col("id"))
 
 
 def _ledger(m) -> DataFrame:
