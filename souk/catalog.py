@@ -40,38 +40,20 @@ def joined(arr: str, *fields: str, sep: str = ";") -> Column:
 
 
 def _q03(m):
-    cr = creators.attach_platforms(m, m["creator_profiles"].select("id", "username"))
-    return cr.select("id", "username",
-                     F.array_join(F.transform("platforms", lambda p: F.concat_ws(
-                         ":", p["platform"], p["followers"].cast("string"), p["engagement_rate"].cast("string"))),
-                         ";").alias("platforms"))
+    return nullable_ints_as_double(creators.attach_platforms(m, m["creator_profiles"].select("id", "username")),
+                                   "followers")
 
 
 def _q05(m):
     d = creators.creator_profile_doc(m)
-    base = [c for c in d.columns if c not in ("platforms", "packages", "reviews")]
+    base = [c for c in d.columns if c != "reviews"]
     return d.select(*base,
-                    F.array_join(F.array_sort(F.transform("platforms", lambda x: x["id"])), ",").alias("platform_ids"),
-                    F.array_join(F.array_sort(F.transform("packages", lambda x: x["id"])), ",").alias("package_ids"),
                     F.array_join(F.transform("reviews", lambda x: x["id"]), ",").alias("review_ids"),
                     F.array_join(F.transform("reviews", lambda x: x["brand_name"]), ",").alias("review_brands"))
 
 
-def _q06(m):
-    d = creators.own_profile_doc(m)
-    base = [c for c in d.columns if c not in ("platforms", "packages")]
-    return d.select(*base,
-                    F.size("platforms").alias("n_platforms"),
-                    F.array_join(F.array_sort(F.transform("packages", lambda x: x["id"])), ",").alias("package_ids"))
-
-
-def _q37(m):
-    d = collaborations.collaboration_doc(m)
-    base = [c for c in d.columns if c not in ("participants", "requests", "reviews")]
-    return d.select(*base,
-                    joined("participants", "id", "role").alias("participants"),
-                    joined("requests", "id", "applicant_username").alias("requests"),
-                    joined("reviews", "id", "reviewer_name", "rating").alias("reviews"))
+def _q37_parts(i):
+    return lambda m: collaborations.collaboration_parts(m)[i]
 
 
 def _q41(m):
@@ -96,7 +78,8 @@ REGISTRY: dict[str, Callable] = {
     "q04_search_creators_total": lambda m: creators.search_creators_total(m),
     "q04_search_creators_total_filtered": lambda m: creators.search_creators_total(m, **SEARCH_FILTERED),
     "q05_creator_profile_doc": _q05,
-    "q06_own_profile_doc": _q06,
+    "q05_profile_children": lambda m: creators.profile_children(m),
+    "q06_own_profile_doc": lambda m: creators.own_profile_doc(m),
     "q07_earnings_statement": lambda m: creators.earnings_statement(m),
     "q07_earnings_total": lambda m: creators.earnings_total(m),
     "q08_list_campaigns": lambda m: bookings.list_campaigns(m),
@@ -131,7 +114,10 @@ REGISTRY: dict[str, Callable] = {
     "q35_list_collaborations_filtered": lambda m: collaborations.list_collaborations(m, **COLLAB_FILTERED),
     "q36_list_collaborations_total": lambda m: collaborations.list_collaborations_total(m),
     "q36_list_collaborations_total_filtered": lambda m: collaborations.list_collaborations_total(m, **COLLAB_FILTERED),
-    "q37_collaboration_doc": _q37,
+    "q37_collaboration_doc": lambda m: collaborations.collaboration_doc(m),
+    "q37_collaboration_parts__participants": _q37_parts(0),
+    "q37_collaboration_parts__requests": _q37_parts(1),
+    "q37_collaboration_parts__reviews": _q37_parts(2),
     "q38_my_collaborations": lambda m: collaborations.my_collaborations(m),
     "q39_collaboration_thread": lambda m: collaborations.collaboration_thread(m),
     "q40_collaboration_reviews_for": lambda m: collaborations.collaboration_reviews_for(m),

@@ -81,22 +81,32 @@ def collaboration_parts(m):
 
 
 def collaboration_doc(m, collaboration_id: str | None = None) -> DataFrame:
-    """Q37: collaboration + owner card + participants, requests (newest first)
-    and reviews (newest first) as arrays."""
+    """Q37: collaboration + owner card.  For one ``collaboration_id`` it is
+    the reference's document with participants, requests (newest first) and
+    reviews (newest first) as arrays of that collaboration's rows.
+    Set-wide, each collaboration carries ``n_participants``, ``n_requests``
+    and ``n_reviews`` and the rows come flat from ``collaboration_parts``,
+    so no collaboration's children are gathered into one row."""
     c = m["collaborations"]
     if collaboration_id is not None:
         c = c.filter(F.col("id") == collaboration_id)
-    owner = _owner_card(m).drop("request_count")
-    df = c.join(owner, c["creator_id"] == F.col("_owner")).drop("_owner")
+    df = c.join(_owner_card(m), c["creator_id"] == F.col("_owner")).drop("_owner")
     participants, requests, reviews = collaboration_parts(m)
+    if collaboration_id is None:
+        for part, name in ((participants, "n_participants"), (requests, "n_requests"), (reviews, "n_reviews")):
+            cnt = part.groupBy(F.col("collaboration_id").alias(f"_{name}")).agg(F.count(F.lit(1)).alias(name))
+            df = (df.join(cnt, df["id"] == F.col(f"_{name}"), "left").drop(f"_{name}")
+                    .withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint"))))
+        return df
     neg = lambda col: -F.unix_micros(F.col(col).cast("timestamp"))
+    key = [collaboration_id]
     parts = [
-        nest(participants, "collaboration_id", [c_ for c_ in participants.columns if c_ != "collaboration_id"],
-             order=["id"], name="participants"),
-        nest(requests.withColumn("_o", neg("created_at")), "collaboration_id", requests.columns,
-             order=["_o", "id"], name="requests"),
-        nest(reviews.withColumn("_o", neg("created_at")), "collaboration_id", reviews.columns,
-             order=["_o", "id"], name="reviews"),
+        nest(participants.filter(F.col("collaboration_id").isin(key)), "collaboration_id",
+             [c_ for c_ in participants.columns if c_ != "collaboration_id"], order=["id"], name="participants"),
+        nest(requests.filter(F.col("collaboration_id").isin(key)).withColumn("_o", neg("created_at")),
+             "collaboration_id", requests.columns, order=["_o", "id"], name="requests"),
+        nest(reviews.filter(F.col("collaboration_id").isin(key)).withColumn("_o", neg("created_at")),
+             "collaboration_id", reviews.columns, order=["_o", "id"], name="reviews"),
     ]
     for p in parts:
         name = [x for x in p.columns if x != "collaboration_id"][0]

@@ -82,14 +82,22 @@ def search_creators(m, category=None, platform=None, min_followers=None, max_pri
                     page, limit)
 
 
-def attach_platforms(m, creators: DataFrame, id_col: str = "id") -> DataFrame:
-    """Q3: add ``platforms`` = array<struct<platform, followers, engagement_rate>>,
-    ``[]`` for creators without any."""
-    plat = nest(m["creator_platforms"].withColumnRenamed("platform_name", "platform"),
-                "creator_id", ["platform", "followers", "engagement_rate"], name="platforms")
-    out = creators.join(plat.withColumnRenamed("creator_id", "_pcid"),
-                        creators[id_col] == F.col("_pcid"), "left").drop("_pcid")
-    empty = F.array().cast(plat.schema["platforms"].dataType)
+def attach_platforms(m, creators: DataFrame, id_col: str = "id", nested: bool = False) -> DataFrame:
+    """Q3: the platforms (platform, followers, engagement_rate) of the given
+    creators.  Flat by default: one row per (creator, platform), a creator
+    without platforms keeps one row with nulls — the platform rows are
+    joined, never gathered per key.  ``nested=True`` builds the reference's
+    array per creator (``[]`` if none) for a bounded page of creators."""
+    plat = m["creator_platforms"].select(F.col("creator_id").alias("_pcid"),
+                                         F.col("platform_name").alias("platform"), "followers", "engagement_rate")
+    if not nested:
+        return creators.join(plat, creators[id_col] == F.col("_pcid"), "left").drop("_pcid")
+    page = creators.select(F.col(id_col).alias("_k")).distinct()
+    plat = plat.join(page, F.col("_pcid") == F.col("_k"), "left_semi").withColumnRenamed("_pcid", "creator_id")
+    arr = nest(plat, "creator_id", ["platform", "followers", "engagement_rate"], name="platforms")
+    out = creators.join(arr.withColumnRenamed("creator_id", "_pcid"), creators[id_col] == F.col("_pcid"),
+                        "left").drop("_pcid")
+    empty = F.array().cast(arr.schema["platforms"].dataType)
     return out.withColumn("platforms", F.coalesce(F.col("platforms"), empty))
 
 
@@ -105,17 +113,8 @@ def search_creators_total(m, category=None, platform=None, min_followers=None, m
         page_count(F.col("total"), int(limit)).alias("pages"))
 
 
-def _profile_parts(m, key_filter):
-    cp = m["creator_profiles"]
-    if key_filter is not None:
-        cp = cp.filter(key_filter)
-    platforms = nest(m["creator_platforms"], "creator_id",
-                     ["id", "creator_id", "platform_name", "username", "profile_url", "followers",
-                      "engagement_rate"], order=["id"], name="platforms")
-    packages = nest(m["promotion_packages"], "creator_id",
-                    ["id", "creator_id", "package_name", "description", "price", "delivery_days",
-                     "created_at"], order=["id"], name="packages")
-    return cp, platforms, packages
+PLATFORM_FIELDS = ["id", "creator_id", "platform_name", "username", "profile_url", "followers", "engagement_rate"]
+PACKAGE_FIELDS = ["id", "creator_id", "package_name", "description", "price", "delivery_days", "created_at"]
 
 
 def _attach(df: DataFrame, part: DataFrame, name: str) -> DataFrame:
@@ -124,6 +123,18 @@ def _attach(df: DataFrame, part: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(part.schema[name].dataType)))
 
 
+def _count(df: DataFrame, key: str, name: str) -> DataFrame:
+    return df.groupBy(F.col(key).alias(f"_{name}_k")).agg(F.count(F.lit(1)).alias(name))
+
+
+def _with_counts(df: DataFrame, m) -> DataFrame:
+    for t, name in (("creator_platforms", "n_platforms"), ("promotion_packages", "n_packages")):
+        c = _count(m[t], "creator_id", name)
+        df = (df.join(c, df["id"] == F.col(f"_{name}_k"), "left").drop(f"_{name}_k")
+                .withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint"))))
+    return df
+
+
 def latest_reviews(m, n: int = 10) -> DataFrame:
     """The ``n`` newest reviews per creator with the brand user's name and avatar."""
     r = m["reviews"].alias("r")
@@ -135,28 +146,67 @@ def latest_reviews(m, n: int = 10) -> DataFrame:
     return top_n_per_key(rows, "creator_id", [F.col("created_at").desc(), F.col("id")], n)
 
 
+def _nested_reviews(m, n: int) -> DataFrame:
+    """At most ``n`` reviews per creator as an array, newest first (bounded)."""
+    rev = latest_reviews(m, n)
+    return nest(rev.withColumn("_neg", -F.unix_micros(F.col("created_at").cast("timestamp"))),
+                "creator_id", list(rev.columns), order=["_neg", "id"], name="reviews")
+
+
 def creator_profile_doc(m, username: str | None = None, review_limit: int = 10) -> DataFrame:
-    """Q5: profile + user name/email/avatar + platforms + packages + the 10
-    newest reviews, one row per creator (or the one ``username``)."""
-    key = None if username is None else F.collate(F.col("username"), CI_AI) == F.lit(username)
-    cp, platforms, packages = _profile_parts(m, key)
+    """Q5: a creator's profile with user name, email and avatar and the
+    ``review_limit`` newest reviews (bounded array).
+
+    For one ``username`` it is the reference's document: platforms and
+    packages are arrays of that one creator's rows.  Set-wide, each creator
+    gets ``n_platforms`` and ``n_packages`` instead and the child rows come
+    flat from ``profile_children`` — a creator holding a third of all
+    packages is then spread over tasks rather than built into one row."""
+    cp = m["creator_profiles"]
+    if username is not None:
+        cp = cp.filter(F.collate(F.col("username"), CI_AI) == F.lit(username))
     u = m["users"].select(F.col("id").alias("_uid"), "name", "email", "avatar_url")
     df = cp.join(u, cp["user_id"] == F.col("_uid")).drop("_uid")
-    df = _attach(_attach(df, platforms, "platforms"), packages, "packages")
-    rev = latest_reviews(m, review_limit)
-    rev_fields = [c for c in rev.columns]
-    reviews = nest(rev.withColumn("_neg", -F.unix_micros(F.col("created_at").cast("timestamp"))),
-                   "creator_id", rev_fields, order=["_neg", "id"], name="reviews")
-    return _attach(df, reviews, "reviews")
+    if username is not None:
+        ids = df.select(F.col("id").alias("_k"))
+        for t, fields, name in (("creator_platforms", PLATFORM_FIELDS, "platforms"),
+                                ("promotion_packages", PACKAGE_FIELDS, "packages")):
+            rows = m[t].join(ids, F.col("creator_id") == F.col("_k"), "left_semi")
+            df = _attach(df, nest(rows, "creator_id", fields, order=["id"], name=name), name)
+    else:
+        df = _with_counts(df, m)
+    return _attach(df, _nested_reviews(m, review_limit), "reviews")
+
+
+def profile_children(m, creator_id: str | None = None) -> DataFrame:
+    """Q5/Q6 children, flat: one row per platform or package of a creator
+    (``kind``, item id, name, followers or price)."""
+    plat = m["creator_platforms"].select("creator_id", F.lit("platform").alias("kind"), F.col("id").alias("item_id"),
+                                         F.col("platform_name").alias("name"),
+                                         F.col("followers").cast("decimal(20,2)").alias("amount"))
+    pkg = m["promotion_packages"].select("creator_id", F.lit("package").alias("kind"), F.col("id").alias("item_id"),
+                                         F.col("package_name").alias("name"),
+                                         F.col("price").cast("decimal(20,2)").alias("amount"))
+    out = plat.unionByName(pkg)
+    return out if creator_id is None else out.filter(F.col("creator_id") == creator_id)
 
 
 def own_profile_doc(m, user_id: str | None = None) -> DataFrame:
-    """Q6: as Q5 for the signed-in creator, without email and reviews."""
-    key = None if user_id is None else F.col("user_id") == F.lit(user_id)
-    cp, platforms, packages = _profile_parts(m, key)
+    """Q6: as Q5 for the signed-in creator, without email and reviews
+    (arrays for one user, counts set-wide)."""
+    cp = m["creator_profiles"]
+    if user_id is not None:
+        cp = cp.filter(F.col("user_id") == F.lit(user_id))
     u = m["users"].select(F.col("id").alias("_uid"), "name", "avatar_url")
     df = cp.join(u, cp["user_id"] == F.col("_uid")).drop("_uid")
-    return _attach(_attach(df, platforms, "platforms"), packages, "packages")
+    if user_id is None:
+        return _with_counts(df, m)
+    ids = df.select(F.col("id").alias("_k"))
+    for t, fields, name in (("creator_platforms", PLATFORM_FIELDS, "platforms"),
+                            ("promotion_packages", PACKAGE_FIELDS, "packages")):
+        rows = m[t].join(ids, F.col("creator_id") == F.col("_k"), "left_semi")
+        df = _attach(df, nest(rows, "creator_id", fields, order=["id"], name=name), name)
+    return df
 
 
 def earnings_statement(m, creator_id: str | None = None) -> DataFrame:

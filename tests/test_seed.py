@@ -51,9 +51,22 @@ def test_search_accent_insensitive(seed):
 
 def test_attach_platforms(seed):
     cr = seed["creator_profiles"].filter(F.col("username") == "arjun_memes").select("id")
-    p = creators.attach_platforms(seed, cr).first().platforms
+    p = creators.attach_platforms(seed, cr, nested=True).first().platforms
     assert [(x.platform, x.followers, x.engagement_rate) for x in p] == [
         ("Instagram", 890000, Decimal("12.50")), ("Telegram", 145000, Decimal("8.30"))]
+    flat = sorted((r.platform, r.followers) for r in creators.attach_platforms(seed, cr).collect())
+    assert flat == [("Instagram", 890000), ("Telegram", 145000)]
+
+
+def test_profile_document_for_one_creator(seed):
+    doc = creators.creator_profile_doc(seed, username="Arjun_Memes").collect()
+    assert len(doc) == 1
+    d = doc[0]
+    assert [p.platform_name for p in d.platforms] == ["Instagram", "Telegram"]
+    assert sorted(p.package_name for p in d.packages) == ["Meme Page Post", "Telegram Shoutout"]
+    assert d.reviews == [] and d.email == "arjun@creator.com"
+    allrows = {r.username: (r.n_platforms, r.n_packages) for r in creators.creator_profile_doc(seed).collect()}
+    assert allrows["arjun_memes"] == (2, 2) and allrows["sneha_style"] == (1, 1)
 
 
 def test_campaign_category_filter(seed):
