@@ -117,3 +117,58 @@ def in_batch_first(df: DataFrame, keys, seq: str, flag: str = "_first") -> DataF
     """Mark the first row per key by seq (first-wins uniqueness inside a batch)."""
     w = Window.partitionBy(*_cols(keys)).orderBy(F.col(seq))
     return df.withColumn(flag, F.row_number().over(w) == 1)
+
+
+# Rows of one key are split into seq ranges of this width; with unique seq a
+# range holds at most this many rows, whatever the key's total.
+SEQ_RANGE = 1 << 20
+
+
+def _range_of(seq: str, width: int) -> Column:
+    return F.floor(F.col(seq) / F.lit(width)).cast("bigint")
+
+
+def chunked_runs(df: DataFrame, key: str, seq: str, value: str, width: int = SEQ_RANGE) -> DataFrame:
+    """Runs of equal ``value`` along ``seq`` within ``key``: ``_start`` (the
+    row's value differs from the previous row's) and ``_run`` (running count
+    of starts) — ``lag`` and a running sum, computed without putting a whole
+    key into one task.
+
+    Each key is cut into seq ranges (``seq`` unique, so a range has at most
+    ``width`` rows); runs are found inside each range, each range is
+    summarised (first value, last value, starts), and a prefix over the
+    summaries — ``width`` times fewer rows — stitches the ranges together."""
+    d = df.withColumn("_rg", _range_of(seq, width))
+    wl = Window.partitionBy(key, "_rg").orderBy(seq)
+    d = (d.withColumn("_lprev", F.lag(value).over(wl))
+          .withColumn("_lstart", F.col("_lprev").isNull() | (F.col("_lprev") != F.col(value)))
+          .withColumn("_lrun", F.sum(F.col("_lstart").cast("bigint")).over(wl.rowsBetween(Window.unboundedPreceding, 0))))
+    s = d.groupBy(key, "_rg").agg(F.min_by(value, seq).alias("_fv"), F.max_by(value, seq).alias("_lv"),
+                                  F.sum(F.col("_lstart").cast("bigint")).alias("_ns"))
+    ws = Window.partitionBy(key).orderBy("_rg")
+    s = (s.withColumn("_plv", F.lag("_lv").over(ws))
+          .withColumn("_cont", F.coalesce(F.col("_fv") == F.col("_plv"), F.lit(False)))
+          .withColumn("_adj", F.col("_ns") - F.col("_cont").cast("bigint"))
+          .withColumn("_before", F.coalesce(F.sum("_adj").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
+                                            F.lit(0).cast("bigint"))))
+    d = d.join(s.select(key, "_rg", "_plv", "_cont", "_before"), [key, "_rg"])
+    start = F.when(F.col("_lprev").isNull(), ~F.col("_cont")).otherwise(F.col("_lstart"))
+    run = F.col("_before") + F.col("_lrun") - F.col("_cont").cast("bigint")
+    return (d.withColumn("_start", start).withColumn("_run", run)
+             .drop("_rg", "_lprev", "_lstart", "_lrun", "_plv", "_cont", "_before"))
+
+
+def chunked_last_before(df: DataFrame, key: str, seq: str, value: Column, name: str,
+                        width: int = SEQ_RANGE) -> DataFrame:
+    """``name`` = the last non-null ``value`` of an earlier row (by ``seq``)
+    of the same ``key`` — ``last(value, ignorenulls)`` over the preceding
+    rows — computed per seq range plus a prefix over range summaries, so no
+    key is sorted as a whole in one task."""
+    d = df.withColumn("_rg", _range_of(seq, width)).withColumn("_val", value)
+    wl = Window.partitionBy(key, "_rg").orderBy(seq)
+    d = d.withColumn("_local", F.last("_val", ignorenulls=True).over(wl.rowsBetween(Window.unboundedPreceding, -1)))
+    s = d.groupBy(key, "_rg").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(seq))).alias("_last"))
+    ws = Window.partitionBy(key).orderBy("_rg")
+    s = s.withColumn("_prev", F.last("_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(s.select(key, "_rg", "_prev"), [key, "_rg"])
+    return d.withColumn(name, F.coalesce("_local", "_prev")).drop("_rg", "_val", "_local", "_prev")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.frame import first_reason, last_by, update_by_key
+from souk.functions.frame import (SEQ_RANGE, chunked_last_before, chunked_runs, first_reason, last_by,
+                                 update_by_key)
 from souk.functions.ids import hmac_sha256_hex
 from souk.functions.text import col_truthy, extname
 from souk.operators import notify
@@ -96,7 +97,7 @@ DEFAULT_REJECTION = "Content did not meet requirements"
 SUBMITTABLE = ("accepted", "content_rejected")
 
 
-def content_review(m, cmds: DataFrame, batch_ts) -> JobResult:
+def content_review(m, cmds: DataFrame, batch_ts, width: int = SEQ_RANGE) -> JobResult:
     """T8 + T9 together: ``kind`` 'submit' (creator sends content) or
     'reject' (brand rejects it).
 
@@ -110,9 +111,11 @@ def content_review(m, cmds: DataFrame, batch_ts) -> JobResult:
     successful command of its booking was of the other kind (or, for the
     first one, when the stored status allows it): the successes are the
     first command of each run of equal kinds.  That is a ``lag`` and a
-    running count per booking — a sort-based window that spills, not a
-    gathered list — and a second running ``last`` gives every command the
-    status it saw, hence its reason."""
+    running count per booking, and a second running ``last`` gives every
+    command the status it saw, hence its reason.  Both are computed over
+    bounded seq ranges stitched by a prefix over range summaries
+    (``chunked_runs``, ``chunked_last_before``), so a booking holding a
+    third of all commands is still spread over many tasks."""
     b = m["bookings"].alias("bk")
     cp = user_of_creator(m)
     bp = m["brand_profiles"].select(F.col("id").alias("_bp_id"), F.col("user_id").alias("brand_user_id"))
@@ -135,18 +138,13 @@ def content_review(m, cmds: DataFrame, batch_ts) -> JobResult:
                                                               (has_file | col_truthy("content_url"), "no_content")))))
     cls0 = F.when(F.col("status0").isin(*SUBMITTABLE), "A").when(F.col("status0") == "content_submitted", "B")
     c = c.withColumn("_cls0", F.coalesce(cls0, F.lit("X")))
-    w = Window.partitionBy("booking_id").orderBy("seq")
     eff = c.filter(F.col("_pre").isNull() & F.col("_post").isNull()).select("cmd_id", "booking_id", "seq", "kind", "_cls0")
-    eff = (eff.withColumn("_prev", F.lag("kind").over(w))
-              .withColumn("_start", F.col("_prev").isNull() | (F.col("_prev") != F.col("kind")))
-              .withColumn("_run", F.sum(F.col("_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    eff = chunked_runs(eff, "booking_id", "seq", "kind", width)
     allowed0 = ((F.col("kind") == "submit") & (F.col("_cls0") == "A")) | ((F.col("kind") == "reject") & (F.col("_cls0") == "B"))
     eff = eff.withColumn("_valid", (F.col("_cls0") != "X") & F.col("_start") & ((F.col("_run") > 1) | allowed0))
     c = c.join(eff.select(F.col("cmd_id").alias("_ec"), "_valid"), F.col("cmd_id") == F.col("_ec"), "left").drop("_ec")
     c = c.withColumn("_valid", F.coalesce("_valid", F.lit(False)))
-    before = F.last(F.when(F.col("_valid"), F.col("kind")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("_kb", before)
+    c = chunked_last_before(c, "booking_id", "seq", F.when(F.col("_valid"), F.col("kind")), "_kb", width)
     state = F.when(F.col("_kb") == "submit", "B").when(F.col("_kb") == "reject", "A").otherwise(F.col("_cls0"))
     state_ok = F.when(is_submit, state == "A").otherwise(state == "B")
     c = c.withColumn("reason", F.coalesce(F.col("_pre"), F.when(~state_ok, F.lit("bad_status")), F.col("_post")))
@@ -262,16 +260,17 @@ def settle_payments(m, cmds: DataFrame, key: bytes | str, batch_ts) -> JobResult
 
 def release_escrow(m, cmds: DataFrame, batch_ts) -> JobResult:
     """T12 (admin): the booking needs a ``held`` escrow.  The first such
-    command per booking releases it and completes the booking; later ones
-    find it released.  Notifies the creator with the amount and writes an
+    command per booking (a grouped ``min`` of seq, partial per task)
+    releases it and completes the booking; later ones find it released.  Notifies the creator with the amount and writes an
     audit row.  Unlike T7 no earning is inserted."""
     held = m["escrow_wallet"].filter(F.col("status") == "held").select(
         F.col("booking_id").alias("_hb"), F.col("amount").alias("_amount"))
     held = held.dropDuplicates(["_hb"])
     c = cmds.join(held, F.col("booking_id") == F.col("_hb"), "left")
-    w = Window.partitionBy("booking_id").orderBy("seq")
-    c = c.withColumn("_n", F.when(F.col("_hb").isNotNull(), F.row_number().over(w)))
-    c = c.withColumn("reason", first_reason((F.col("_n") == 1, "no_held_escrow")))
+    first = (c.filter(F.col("_hb").isNotNull()).groupBy(F.col("booking_id").alias("_fb"))
+              .agg(F.min("seq").alias("_first_seq")))
+    c = c.join(first, F.col("booking_id") == F.col("_fb"), "left")
+    c = c.withColumn("reason", first_reason((F.col("_first_seq") == F.col("seq"), "no_held_escrow")))
     ok = c.filter(F.col("reason").isNull())
     rel = ok.select("booking_id")
     esc = _flag(m["escrow_wallet"], rel, "booking_id", "booking_id", "_r").withColumn(

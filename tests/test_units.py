@@ -92,3 +92,24 @@ def test_encode_uri_component(spark):
 def test_js_parsers():
     assert js_parse_int("12abc") == 12 and js_parse_float(" 3.5kg") == 3.5
     assert js_parse_int("abc") != js_parse_int("abc")  # NaN
+
+
+def test_chunked_scans_equal_plain_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from souk.functions.frame import chunked_last_before, chunked_runs
+    rnd = random.Random(7)
+    rows = [(f"k{rnd.randrange(3)}", s, rnd.choice(["a", "b"]), rnd.choice([None, "x", "y"]))
+            for s in rnd.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "k string, seq long, v string, w string")
+    w = Window.partitionBy("k").orderBy("seq")
+    prev = F.lag("v").over(w)
+    plain = (df.withColumn("_start", prev.isNull() | (prev != F.col("v")))
+               .withColumn("_run", F.sum(F.col("_start").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+               .withColumn("lb", F.last("w", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    want = sorted(tuple(r) for r in plain.collect())
+    for width in (1, 7, 50, 1 << 20):
+        got = chunked_last_before(chunked_runs(df, "k", "seq", "v", width), "k", "seq", F.col("w"), "lb", width)
+        assert sorted(tuple(r) for r in got.select(*plain.columns).collect()) == want, width
