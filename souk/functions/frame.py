@@ -159,15 +159,16 @@ def chunked_runs(df: DataFrame, key: str, seq: str, value: str, width: int = SEQ
 
 
 def chunked_last_before(df: DataFrame, key: str, seq: str, value: Column, name: str,
-                        width: int = SEQ_RANGE) -> DataFrame:
-    """``name`` = the last non-null ``value`` of an earlier row (by ``seq``)
-    of the same ``key`` — ``last(value, ignorenulls)`` over the preceding
-    rows — computed per seq range plus a prefix over range summaries, so no
-    key is sorted as a whole in one task."""
+                        width: int = SEQ_RANGE, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """``name`` = the last non-null ``value`` of an earlier row (by ``seq``,
+    then ``tiebreak``) of the same ``key`` — ``last(value, ignorenulls)``
+    over the preceding rows — computed per seq range plus a prefix over
+    range summaries, so no key is sorted as a whole in one task."""
     d = df.withColumn("_rg", _range_of(seq, width)).withColumn("_val", value)
-    wl = Window.partitionBy(key, "_rg").orderBy(seq)
+    wl = Window.partitionBy(key, "_rg").orderBy(seq, *tiebreak)
     d = d.withColumn("_local", F.last("_val", ignorenulls=True).over(wl.rowsBetween(Window.unboundedPreceding, -1)))
-    s = d.groupBy(key, "_rg").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(seq))).alias("_last"))
+    pos = F.struct(F.col(seq), *[F.col(t) for t in tiebreak])
+    s = d.groupBy(key, "_rg").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), pos)).alias("_last"))
     ws = Window.partitionBy(key).orderBy("_rg")
     s = s.withColumn("_prev", F.last("_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.join(s.select(key, "_rg", "_prev"), [key, "_rg"])

@@ -3,7 +3,7 @@ delete-rule closure shared with T5."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.frame import first_reason, last_by, update_by_key
@@ -154,8 +154,8 @@ def resolve_identities(m, logins: DataFrame, batch_ts) -> JobResult:
     new = ok.filter(F.col("_by_pid").isNull() & F.col("_by_mail").isNull())
     new = new.withColumn("_grp", F.when(col_truthy("email"), F.concat(F.lit("e:"), F.lower("email")))
                          .otherwise(F.concat(F.lit("p:"), F.col("provider"), F.lit(":"), F.col("provider_id"))))
-    w = Window.partitionBy("_grp").orderBy("seq")
-    new = new.withColumn("_first", F.first("cmd_id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = new.groupBy(F.col("_grp").alias("_g")).agg(F.min_by("cmd_id", "seq").alias("_first"))
+    new = new.join(firsts, F.col("_grp") == F.col("_g")).drop("_g")
     new = new.withColumn("_uid", det_uuid(F.lit("t02"), F.col("_first").cast("string")))
     creators = new.filter(F.col("cmd_id") == F.col("_first"))
     resolved = (matched

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from souk.functions.frame import SEQ_RANGE, chunked_last_before
 from souk.operators import notify, ratings
 from souk.streaming.runner import file_stream, latest_per_key, write_epoch
 
@@ -94,24 +95,29 @@ def presence_stream(spark: SparkSession, source: str, log: str, checkpoint: str,
 
 
 # ------------------------------------------------------------------ W3
-def deliver_online(notifications: DataFrame, presence: DataFrame) -> DataFrame:
+def deliver_online(notifications: DataFrame, presence: DataFrame, width: int = SEQ_RANGE) -> DataFrame:
     """W3 batch (an as-of join): a notification is pushed iff, at its
     creation time, the user's latest registration happened before it and
     that socket was not disconnected in between; otherwise it is only
-    stored.  One timeline per user (union of both inputs), two running
-    windows: the current socket, then the last disconnect of that socket."""
-    p = presence.select("user_id", F.col("ts").alias("t"), F.lit(1).alias("rank"), F.col("eid").cast("string").alias("k"),
-                        "kind", "socket_id", F.lit(None).cast("string").alias("notification_id"))
-    n = notifications.select("user_id", F.col("created_at").alias("t"), F.lit(0).alias("rank"), F.col("id").alias("k"),
-                             F.lit("notify").alias("kind"), F.lit(None).cast("string").alias("socket_id"),
-                             F.col("id").alias("notification_id"))
-    tl = p.unionByName(n)
-    w = Window.partitionBy("user_id").orderBy("t", "rank", "k")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    tl = (tl.withColumn("_cur", F.last(F.when(F.col("kind") == "register", F.col("socket_id")), True).over(upto))
-            .withColumn("_reg_t", F.last(F.when(F.col("kind") == "register", F.struct("t", "rank", "k")), True).over(upto)))
+    stored.  One timeline per user (union of both inputs, a notification
+    ordered before a presence event of the same instant) and three running
+    ``last`` values — current socket, last registration, last disconnect of
+    the then-current socket — each computed over bounded time ranges plus a
+    prefix over range summaries (``chunked_last_before``), so a user with a
+    third of all events is not sorted in one task."""
+    tl = delivery_timeline(notifications, presence)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    tl = tl.withColumn("_seq", F.timestamp_diff("MICROSECOND", epoch, F.col("t")) * 2 + F.col("rank"))
+    stamp = F.struct("t", "rank", "k")
+    is_reg = F.col("kind") == "register"
+    tie = ["k"]
+    tl = chunked_last_before(tl, "user_id", "_seq", F.when(is_reg, F.col("socket_id")), "_cur_b", width, tie)
+    tl = tl.withColumn("_cur", F.coalesce(F.when(is_reg, F.col("socket_id")), F.col("_cur_b")))
+    tl = chunked_last_before(tl, "user_id", "_seq", F.when(is_reg, stamp), "_reg_b", width, tie)
+    tl = tl.withColumn("_reg_t", F.coalesce(F.when(is_reg, stamp), F.col("_reg_b")))
     eff = (F.col("kind") == "disconnect") & (F.col("socket_id") == F.col("_cur"))
-    tl = tl.withColumn("_disc_t", F.last(F.when(eff, F.struct("t", "rank", "k")), True).over(upto))
+    tl = chunked_last_before(tl, "user_id", "_seq", F.when(eff, stamp), "_disc_b", width, tie)
+    tl = tl.withColumn("_disc_t", F.coalesce(F.when(eff, stamp), F.col("_disc_b")))
     out = tl.filter(F.col("kind") == "notify")
     online = F.col("_reg_t").isNotNull() & (F.col("_disc_t").isNull() | (F.col("_disc_t") < F.col("_reg_t")))
     return out.select(F.col("notification_id").alias("id"), "user_id", F.col("t").alias("created_at"),

@@ -52,3 +52,10 @@ def test_delivery_stream_equals_as_of_join(spark, small):
 
 def test_checkpoint_dir_is_session_setting(spark):
     assert spark.conf.get("spark.checkpoint.dir") == checkpoint_dir(spark)
+
+
+def test_as_of_join_independent_of_range_width(spark, small):
+    notes, pres = small["notifications"], small.fixture("presence_events")
+    want = _rows(sj.deliver_online(notes, pres))
+    assert _rows(sj.deliver_online(notes, pres, width=1 << 30)) == want
+    assert _rows(sj.deliver_online(notes, pres, width=1000)) == want
