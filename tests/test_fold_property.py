@@ -9,6 +9,7 @@ from souk.catalog import BATCH_TS, JOBS
 
 # job → (command table, key column whose repeats make commands interact, tables to compare)
 CASES = {
+    "t01_register_users": ("cmd_t01", "email", ["users", "creator_profiles", "brand_profiles"]),
     "t07_booking_status": ("cmd_t07", "booking_id", ["bookings", "escrow_wallet", "creator_earnings"]),
     "t12_release_escrow": ("cmd_t12", "booking_id", ["escrow_wallet", "bookings"]),
     "t13_request_withdrawals": ("cmd_t13", "actor_user_id", ["withdrawals"]),
@@ -20,6 +21,7 @@ CASES = {
     "t24_change_roles": ("cmd_t24", "user_id", ["users"]),
     "t25_verify_creators": ("cmd_t25", "creator_profile_id", ["creator_profiles"]),
     "t04_update_packages": ("cmd_t04_packages", "target_id", ["promotion_packages"]),
+    "t26_collab_reviews": ("cmd_t26", "collaboration_id", ["collaboration_reviews", "creator_profiles"]),
 }
 
 
