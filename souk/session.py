@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,15 +31,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints, staged tables and stream state.
 
-    Only when the session leaves it unset (local tests) a scratch folder is
-    created and registered, so cluster runs never fall back to a
-    machine-local path.
+    ``spark.checkpoint.dir`` names it; a directory the caller has set with
+    ``SparkContext.setCheckpointDir`` is kept.  Without either there is no
+    folder that the driver and all executors are known to share, so this
+    fails instead of falling back to a machine-local path.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="souk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if not named and not current:
+        raise RuntimeError("set spark.checkpoint.dir (or call SparkContext.setCheckpointDir) to a folder "
+                           "that the driver and all executors share")
+    if not current:
+        sc.setCheckpointDir(named)
+    return named or current
