@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact_dedup, packing
+from souk.llm import exact_dedup, langid, packing
+from souk.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; rows with remainder 2 are held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    profiles = langid.learn(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -33,6 +42,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
