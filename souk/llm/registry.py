@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact_dedup, langid, packing
+from souk.llm import exact_dedup, langid, packing, quality, samples
 from souk.llm.common import crc_mod
 
 
@@ -30,6 +30,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; rows with remainder 0 are held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = quality.learn(samples.labelled(docs, labels, "quality", ~held_out, 6000, 6000))
+    return quality.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -43,6 +51,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op6_quality": op6_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
