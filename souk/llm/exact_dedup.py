@@ -30,7 +30,12 @@ from pyspark.sql import types as T
 from souk.llm.common import Scratch, ascii_lower
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, uploaded as changes; many small stores must not preallocate files.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256_of(col):
@@ -78,14 +83,15 @@ def group_stream(spark: SparkSession, path: str, schema: T.StructType, scratch:
     def write_epoch(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/changed/epoch={epoch}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         (groups.writeStream.outputMode("update").option("checkpointLocation", f"{state}/log")
          .foreachBatch(write_epoch).trigger(availableNow=True).start().awaitTermination())
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     changed = spark.read.schema(groups.schema).parquet(f"{state}/changed")
     # n and top only grow, so a group's newest version is its largest
     return changed.groupBy("digest").agg(F.max("n").alias("n"), F.max("top").alias("top"))
