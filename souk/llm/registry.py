@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact_dedup, langid, packing, quality, samples
+from souk.llm import exact_dedup, langid, packing, quality, samples, toxicity
 from souk.llm.common import crc_mod
 
 
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; rows with remainder 2 are held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = toxicity.learn(samples.labelled(docs, labels, "toxic", ~held_out, 4000, 8000))
+    return toxicity.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, tokenised and packed into full windows of several sizes."""
     return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -49,6 +57,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op6_quality": op6_quality,
