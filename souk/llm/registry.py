@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact_dedup, langid, packing, quality, samples, toxicity
+from souk.llm import exact_dedup, langid, minhash, packing, quality, samples, toxicity
 from souk.llm.common import crc_mod
 
 
@@ -38,6 +38,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: two-word shingles, similarity 0.8 or more."""
+    out = minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), k=2)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document; rows with remainder 0 are held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
