@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact_dedup, langid, minhash, packing, quality, samples, toxicity
+from souk.llm import exact_dedup, langid, minhash, mixing, packing, quality, samples, toxicity
 from souk.llm.common import crc_mod
 
 
@@ -52,6 +52,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' target weights."""
+    out = mixing.mix(spark, _table(spark, sf_dir, "documents"))
+    return out.groupBy(F.col("id").alias("doc_id")).agg(
+        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"),
+        F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).alias("taken"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -68,6 +76,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
