@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact_dedup, langid, minhash, mixing, packing, quality, samples, toxicity
+from souk.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, quality, samples, toxicity
 from souk.llm.common import crc_mod
 
 
@@ -60,6 +60,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).alias("taken"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with a cosine of 0.9 or more, and their components."""
+    out = embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
