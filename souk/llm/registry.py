@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, quality, samples, toxicity
+from souk.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, quality, samples, secrets, standins, toxicity
 from souk.llm.common import crc_mod
 
 
@@ -38,6 +38,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of every document, with the forest's verdict;
+    documents with remainder 2 gave no labelled finding."""
+    out = secrets.find_secrets(spark, _table(spark, sf_dir, "documents"), standins.labelled_findings(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 4) == 2).alias("held_out"), "position", "part",
+                      F.sha2("value", 256).alias("value_sha256"), *secrets.FEATURES, "probability", "is_secret")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents: two-word shingles, similarity 0.8 or more."""
     out = minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), k=2)
@@ -80,6 +88,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
