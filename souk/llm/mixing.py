@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import Scratch
+from souk.llm.common import Scratch, few
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Larger than any quota, so it has no common factor with one.
@@ -76,31 +76,31 @@ def _boundary(sums: DataFrame) -> DataFrame:
             .select("sid", "b.at", "b.base", "b.rest"))
 
 
-def passes(rows: DataFrame, sources: DataFrame, seed: int, few, scratch: Scratch) -> DataFrame:
+def passes(rows: DataFrame, sources: DataFrame, seed: int, near, scratch: Scratch) -> DataFrame:
     """sources with ``full`` (whole passes), ``cut`` (the last pass takes the
     rows up to this order key; -1: none) and ``extra`` (and those of these keys)."""
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     s = sources.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     open_ = s.filter("rest > 0 and source_size > 0").select("sid", "full", "rest")
-    r = rows.join(few(open_), "sid").withColumn("key", order_key(F.col("full"), seed)).select("sid", "key", "size", "rest")
+    r = rows.join(near(open_), "sid").withColumn("key", order_key(F.col("full"), seed)).select("sid", "key", "size", "rest")
     first = _boundary(r.groupBy("sid", F.shiftright("key", 51).alias("at"), "rest").agg(F.sum("size").alias("n")).withColumn("base", F.lit(0).cast("long")))
-    one = r.join(few(first.select("sid", F.col("at").alias("at1"), "base")), "sid").filter(F.shiftright("key", 51) == F.col("at1"))
+    one = r.join(near(first.select("sid", F.col("at").alias("at1"), "base")), "sid").filter(F.shiftright("key", 51) == F.col("at1"))
     second = _boundary(one.groupBy("sid", F.shiftright("key", 39).alias("at"), "rest", "base").agg(F.sum("size").alias("n")))
-    two = r.drop("rest").join(few(second), "sid").filter(F.shiftright("key", 39) == F.col("at"))
+    two = r.drop("rest").join(near(second), "sid").filter(F.shiftright("key", 39) == F.col("at"))
     run = Window.partitionBy("sid").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    near = (two.groupBy("sid", "key", "at", "base", "rest").agg(F.sum("size").alias("n"))
+    ends = (two.groupBy("sid", "key", "at", "base", "rest").agg(F.sum("size").alias("n"))
             .withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(run), F.lit(0)))
             .withColumn("take", F.col("before") + F.col("n") <= F.col("rest")))
-    cuts = near.groupBy("sid").agg(F.coalesce(F.max(F.when(F.col("take"), F.col("key"))),
+    cuts = ends.groupBy("sid").agg(F.coalesce(F.max(F.when(F.col("take"), F.col("key"))),
                                               F.shiftleft(F.max("at"), 39) - 1).alias("cut"),
                                    (F.max("rest") - F.max(F.when(F.col("take"), F.col("before") + F.col("n")).otherwise(F.col("base")))).alias("gap"))
     # what is missing up to the target is filled by the largest documents beyond the cut that fit, one a round
     filled = cuts.withColumn("extra", F.array().cast("array<bigint>"))
     for _ in range(FILLS):
-        fits = (r.select("sid", "key", "size").join(few(filled), "sid")
+        fits = (r.select("sid", "key", "size").join(near(filled), "sid")
                 .filter("key > cut and size > 0 and size <= gap and not array_contains(extra, key)")
                 .groupBy("sid").agg(F.max(F.struct("size", "key")).alias("best")))
-        filled = scratch.keep(filled.join(few(fits), "sid", "left").select(
+        filled = scratch.keep(filled.join(near(fits), "sid", "left").select(
             "sid", "cut", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
             F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.key"))).alias("extra")), "cuts")
     every = F.when((F.col("rest") > 0) & (F.col("source_size") > 0), F.lit((1 << 63) - 1)).otherwise(F.lit(-1))
@@ -184,12 +184,12 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
                                      words(F.col(text_col)).alias("size")), "sizes")
     sources = scratch.keep(targets(sized, weights, cap), "sources")
     count = sources.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
-    few = F.broadcast if count["n"] <= FEW else (lambda df: df)
-    rows = sized.join(few(sources.select("sid", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    near = F.broadcast if count["n"] <= FEW else (lambda df: df)
+    rows = sized.join(near(sources.select("sid", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     per_pass = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
     end = F.greatest("cut", F.coalesce(F.array_max("extra"), F.lit(-1)))
     part = F.when(end < 0, 0).otherwise(_block(end, F.col("b")) + 1)
-    plan = scratch.keep(passes(rows, sources, seed, few, scratch).withColumn("b", per_pass).withColumn(
+    plan = scratch.keep(passes(rows, sources, seed, near, scratch).withColumn("b", per_pass).withColumn(
         "blocks", F.when(F.col("source_size") > 0, F.col("full") * F.col("b") + part).otherwise(0).cast("long")), "plan")
     shards = max(1, -(-int(count["words"] or 0) // shard_words))
 
@@ -199,7 +199,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     runs = parts.withColumn("start", start).filter("quota > 0")
     owner = runs.select("sid", "shard", F.explode(F.sequence("start", F.col("start") + F.col("quota") - 1)).alias("place"))
 
-    r = rows.join(few(plan.withColumnRenamed("blocks", "q")), "sid")
+    r = rows.join(near(plan.withColumnRenamed("blocks", "q")), "sid")
     key = order_key(F.col("full"), seed)
     last = ((key <= F.col("cut")) | F.array_contains("extra", key)).cast("long")
     r = r.withColumn("copies", F.when((F.col("size") > 0), F.col("full") + last).otherwise(0))
@@ -215,6 +215,20 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         r.filter("copy is null").select(*cols[:6], *none))
 
 
+def taken_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix
+    takes it; those of a shard lie together, in its order."""
+    out = mix(spark, docs, id_col=id_col, **settings).filter("shard is not null")
+    # repeated rows of an id are taken one by one: their number is that of the id's rows
+    took = out.groupBy("id", "copy").agg(F.min("shard").alias("shard"), F.min("position").alias("position"))
+    took = Scratch(spark, "mixing-rows").keep(took.select(F.col("id").alias("__id"), F.col("shard").alias("__shard"),
+                                                          F.col("position").alias("__position")), "taken")
+    cols = docs.columns
+    rows = docs.join(few(took), F.col(id_col).eqNullSafe(F.col("__id")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "__shard").sortWithinPartitions("__shard", "__position").select(cols)
+
+
 def _block(key: Column, b: Column) -> Column:
     """The hash range, of b equal ones, that an order key lies in."""
     return F.least(F.floor(key / _TOP * b), b - 1).cast("long")

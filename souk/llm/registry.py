@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, quality, samples, secrets, standins, toxicity
+import corpus_pipeline
+from souk.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, quality, samples, secrets, standins, toolcalls, toxicity
 from souk.llm.common import crc_mod
 
 
@@ -84,7 +85,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its tool calls and results linked, ordered,
+    checked and written as canonical JSON."""
+    calls, results = standins.tool_calls(spark, sf_dir)
+    rows = toolcalls.messages(spark, _table(spark, sf_dir, "conversations"), calls, results, standins.TOOL_SCHEMAS)
+    return toolcalls.conversations(rows)
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
@@ -94,6 +104,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLES = {
