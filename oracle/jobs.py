@@ -96,9 +96,9 @@ WITH info AS (
   FROM bookings b LEFT JOIN creator_profiles cp ON cp.id = b.creator_id LEFT JOIN brand_profiles bp ON bp.id = b.brand_id),
 c AS (
   SELECT c.*, i.*,
-    lower(regexp_extract(c.file_name, '(\\.[^./\\\\]+)$', 1)) AS ext,
+    lower(regexp_extract(c.file_name, '[^/\\\\](\\.[^./\\\\]*)$', 1)) AS ext,
     CASE WHEN c.kind = 'submit' AND coalesce(c.file_name, '') <> ''
-              AND NOT regexp_matches(lower(regexp_extract(c.file_name, '(\\.[^./\\\\]+)$', 1)), 'jpeg|jpg|png|gif|webp|mp4|mov|avi|mkv|webm')
+              AND NOT regexp_matches(lower(regexp_extract(c.file_name, '[^/\\\\](\\.[^./\\\\]*)$', 1)), 'jpeg|jpg|png|gif|webp|mp4|mov|avi|mkv|webm')
               AND NOT regexp_matches(coalesce(c.mime_type, ''), 'jpeg|jpg|png|gif|webp|mp4|mov|avi|mkv|webm') THEN 'file_type'
          WHEN i.bid IS NULL THEN 'not_found'
          WHEN c.kind = 'submit' AND coalesce(i.creator_user = c.actor_user_id, FALSE) = FALSE THEN 'not_your_booking'
@@ -125,7 +125,7 @@ r AS (SELECT *, coalesce(pre,
                     OR (kind = 'reject' AND coalesce(CASE kb WHEN 'submit' THEN 'B' WHEN 'reject' THEN 'A' END, cls0) = 'B'))
              THEN 'bad_status' END, post) AS reason,
         CASE WHEN coalesce(file_name, '') <> ''
-             THEN '/uploads/content/content_' || actor_user_id || '_' || CAST(cmd_id AS VARCHAR) || regexp_extract(file_name, '(\\.[^./\\\\]+)$', 1)
+             THEN '/uploads/content/content_' || actor_user_id || '_' || CAST(cmd_id AS VARCHAR) || regexp_extract(file_name, '[^/\\\\](\\.[^./\\\\]*)$', 1)
              ELSE content_url END AS url,
         CASE WHEN coalesce(file_name, '') <> ''
              THEN CASE WHEN ext IN ('.mp4', '.mov', '.avi', '.mkv', '.webm') THEN 'video' ELSE 'image' END

@@ -289,7 +289,7 @@ T19_NOTIF = T19 + notif(
 
 # ------------------------------------------------------------------ T20
 T20 = """
-WITH r AS (SELECT c.*, CASE WHEN coalesce(trim(c.message), '') = '' THEN 'empty_message'
+WITH r AS (SELECT c.*, CASE WHEN NOT coalesce(regexp_matches(c.message, '[^\\s\\x{A0}\\x{2028}\\x{2029}\\x{3000}\\x{FEFF}]'), false) THEN 'empty_message'
                             WHEN cp.id IS NULL THEN 'no_profile'
                             WHEN NOT EXISTS (SELECT 1 FROM collaboration_participants j WHERE j.collaboration_id = c.collaboration_id
                                              AND j.creator_id = cp.id) THEN 'not_participant' END AS reason

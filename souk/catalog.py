@@ -272,14 +272,14 @@ from souk.streaming.runner import run_folder, stage_files  # noqa: E402
 
 def _w1(m):
     base = run_folder(m.spark, "w1")
-    src = stage_files(m.fixture("notify_events"), base + "/in", files=5, key="event_key")
+    src = stage_files(m.fixture("notify_events"), base + "/in", key="event_key")
     sjobs.notification_stream(m, src, base + "/out", base + "/ckpt", files_per_trigger=2)
     return m.spark.read.schema(_SCHEMAS["notifications"]).parquet(base + "/out")
 
 
 def _w2(m):
     base = run_folder(m.spark, "w2")
-    src = stage_files(m.fixture("presence_events"), base + "/in", files=5, key="eid")
+    src = stage_files(m.fixture("presence_events"), base + "/in", key="eid")
     return sjobs.presence_stream(m.spark, src, base + "/log", base + "/ckpt", files_per_trigger=2)
 
 
@@ -289,7 +289,7 @@ def _w3(m):
 
 def _w4(m):
     base = run_folder(m.spark, "w4")
-    src = stage_files(m["reviews"].select("id", "creator_id", "rating"), base + "/in", files=5, key="id")
+    src = stage_files(m["reviews"].select("id", "creator_id", "rating"), base + "/in", key="id")
     return sjobs.rating_stream(m, src, base + "/log", base + "/ckpt", files_per_trigger=2).select("id", "rating")
 
 

@@ -75,9 +75,20 @@ def encode_uri_component(col) -> Column:
 def locale_amount(col) -> Column:
     """``Number.prototype.toLocaleString()`` on an en-US host:
     thousands separators and at most three fraction digits."""
-    return F.call_function("format_number", _c(col).cast("double"), F.lit("#,##0.###"))
+    exact = F.round(_c(col).cast("decimal(38,12)"), 3)  # half away from zero, as JavaScript rounds
+    return F.call_function("format_number", exact, F.lit("#,##0.###"))
 
 
 def extname(col) -> Column:
-    """Node ``path.extname``: the last ``.xxx`` of the final path part, lowercased."""
-    return F.lower(F.regexp_extract(_c(col), r"(\.[^./\\]+)$", 1))
+    """Node ``path.extname``: the last ``.xxx`` of the final path part, lowercased;
+    a part that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(_c(col), r"[^/\\](\.[^./\\]*)$", 1))
+
+
+#: What JavaScript's trim removes, as the inside of a character class.
+JS_SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def js_not_blank(col) -> Column:
+    """``text.trim()`` is truthy: false for null and for white space of any kind."""
+    return F.coalesce(_c(col).rlike(f"[^{JS_SPACE}]"), F.lit(False))

@@ -9,6 +9,7 @@ only the columns that check needs.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,12 @@ def _union(parts: list[DataFrame], spark) -> DataFrame:
 
 
 def _per_column(df: DataFrame, table: str, rule: str, tests: list[tuple[str, Column, Column]]) -> DataFrame:
-    """One scan: each row emits one violation per failing column test."""
+    """One scan: each row emits one violation per failing column test.  Rows
+    that fail none are filtered first, by tests the scan can push down."""
+    failing = reduce(lambda a, b: a | b, [bad for _, bad, _ in tests])
     hits = F.filter(F.array(*[F.when(bad, F.struct(F.lit(col).alias("c"), detail.cast("string").alias("d")))
                               for col, bad, detail in tests]), lambda x: x.isNotNull())
-    return (df.select(F.col("id").cast("string").alias("row_id"), F.explode(hits).alias("v"))
+    return (df.filter(failing).select(F.col("id").cast("string").alias("row_id"), F.explode(hits).alias("v"))
               .select(F.lit(table).alias("table_name"), F.col("v.c").alias("column_name"), F.lit(rule).alias("rule"),
                       "row_id", F.col("v.d").alias("detail")))
 
@@ -105,11 +108,10 @@ def check_rating_range(m) -> DataFrame:
 def check_foreign_keys(m, tables=None) -> DataFrame:
     """Child rows whose non-null foreign key has no parent row.
 
-    All references of all keys are unioned as ``(parent table, key value,
-    child row)`` and all parent keys as ``(parent table, key value)``; one
-    left-anti join on the pair finds every orphan.  That is one exchange per
-    side for the whole check instead of one join per foreign key, and AQE
-    may still broadcast the parent side when its measured size is small."""
+    All references of all keys and all parent keys are unioned as (parent
+    table, key value, is a reference, is a parent) and aggregated once, with
+    partial counts per task, so a hot key costs one row per task.  The few
+    values that are referenced but have no parent join the references again."""
     refs, parents = [], {}
     for fk in FOREIGN_KEYS:
         if tables is not None and fk.table not in tables:
@@ -129,9 +131,12 @@ def check_foreign_keys(m, tables=None) -> DataFrame:
     p = ps[0]
     for x in ps[1:]:
         p = p.unionByName(x)
-    orphans = r.join(p, (F.col("_pt") == F.col("_qt")) & (F.col("_pv") == F.col("_qv")), "left_anti")
-    return orphans.select("table_name", "column_name", F.lit("foreign_key").alias("rule"), "row_id",
-                          F.col("_pv").alias("detail"))
+    marks = r.select("_pt", "_pv", F.lit(1).alias("_ref"), F.lit(0).alias("_par")).unionByName(
+        p.select(F.col("_qt").alias("_pt"), F.col("_qv").alias("_pv"), F.lit(0).alias("_ref"), F.lit(1).alias("_par")))
+    lost = (marks.groupBy("_pt", "_pv").agg(F.max("_ref").alias("_ref"), F.max("_par").alias("_par"))
+                 .filter("_ref = 1 and _par = 0").select("_pt", "_pv"))
+    return r.join(lost, ["_pt", "_pv"]).select("table_name", "column_name", F.lit("foreign_key").alias("rule"), "row_id",
+                                                F.col("_pv").alias("detail"))
 
 
 def check_ranges(m, tables=None) -> DataFrame:

@@ -21,7 +21,7 @@ AVATAR_PREFIX = "https://api.dicebear.com/7.x/avataaars/svg?seed="
 
 
 # ------------------------------------------------------------------ T1
-def _accept_greedy(cands: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def _accept_greedy(cands: DataFrame) -> DataFrame:
     """Sequential first-wins acceptance under two unique keys (``_ek`` email,
     ``_uk`` username, the latter null for non-creators): a command is
     accepted iff no earlier *accepted* command shares either key.
@@ -38,7 +38,6 @@ def _accept_greedy(cands: DataFrame, max_rounds: int | None = None) -> DataFrame
     checkpoint_dir(spark)
     undecided = cands.select("cmd_id", "seq", "_ek", "_uk")
     accepted = None
-    rounds = 0
     while True:
         me = undecided.groupBy(F.col("_ek").alias("_ge")).agg(F.min("seq").alias("_me"))
         mu = (undecided.filter(F.col("_uk").isNotNull()).groupBy(F.col("_uk").alias("_gu"))
@@ -55,9 +54,6 @@ def _accept_greedy(cands: DataFrame, max_rounds: int | None = None) -> DataFrame
                     .join(now.select(F.col("_uk").alias("_y")).filter(F.col("_y").isNotNull()),
                           F.col("_uk") == F.col("_y"), "left_anti"))
         undecided = rest.checkpoint()
-        rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            break
     if accepted is None:
         return cands.limit(0).select("cmd_id", "seq", "_ek", "_uk")
     return accepted

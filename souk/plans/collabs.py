@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.frame import first_reason, last_by, update_by_key
-from souk.functions.text import col_truthy
+from souk.functions.text import col_truthy, js_not_blank
 from souk.operators import notify, ratings
 from souk.plans.base import JobResult, batch_time, new_id, rejects_of, with_profile
 from souk.sources.tables import conform
@@ -248,7 +248,7 @@ def post_collab_messages(m, cmds: DataFrame, batch_ts) -> JobResult:
     c = c.join(part, (F.col("collaboration_id") == F.col("_pc")) & (F.col("creator_profile_id") == F.col("_pcr")),
                "left")
     c = c.withColumn("reason", first_reason(
-        (F.coalesce(F.trim(F.col("message")) != "", F.lit(False)), "empty_message"),
+        (js_not_blank("message"), "empty_message"),
         (F.col("creator_profile_id").isNotNull(), "no_profile"),
         (F.col("_pc").isNotNull(), "not_participant")))
     ok = c.filter(F.col("reason").isNull())

@@ -19,16 +19,16 @@ def _pads(key: bytes) -> tuple[str, str]:
 
 _IPAD, _OPAD = _pads(TEST_KEY)
 
-N4 = "(select cast(floor(count(*)/4) as bigint) from {orders})"
-N8 = "(select cast(floor(count(*)/8) as bigint) from {orders})"
 N = "(select count(*) from {orders})"
+# a third of the commands aim at one booking, the rest at all of them
+TK = "(case when event_id%3=0 then 7 else (event_id*7) % " + N + " end)"
 
 _T11 = """
 select e.event_id cmd_id, e.event_id seq, 'u-'||b.brand_id actor_user_id,
        'ord-'||b.k order_id, 'pay_'||e.event_id payment_id,
        case when e.event_id%29=0 then 'bad-signature' else {sig} end signature,
        case when e.event_id%41=0 then 'bk-missing' else b.id end booking_id
-from (select event_id, (event_id*7) % """ + N4 + """ tk from {events} where event_type='purchase') e
+from (select event_id, """ + TK + """ tk from {events} where event_type='purchase') e
 join {bookings} b on b.k = e.tk
 """
 _MSG = "'ord-'||b.k||'|'||'pay_'||e.event_id"
@@ -47,7 +47,7 @@ join {bookings} b on b.k = e.tk
     "cmd_t07": """
 select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id,
        case when event_id%37=0 then 'bk-missing-'||event_id
-            else 'bk-'||((event_id*7) % """ + N4 + """) end booking_id,
+            else 'bk-'||""" + TK + """ end booking_id,
        case when event_id%31=0 then 'archived' when event_type='view' then 'accepted'
             when event_type='click' then 'cancelled' else 'completed' end status
 from {events} where event_type in ('view','click','purchase')
@@ -63,13 +63,13 @@ select e.event_id cmd_id, e.event_id seq, case when e.event_type='click' then 's
        case when e.event_id%3=2 then 'https://x.test/'||e.event_id end content_url,
        case when e.event_id%2=0 then 'note '||e.event_id end content_note,
        case when e.event_id%4=1 then null else 'blurry '||e.event_id end rejection_reason
-from (select event_id, event_type, (event_id*7) % """ + N8 + """ tk from {events}
+from (select event_id, event_type, """ + TK + """ tk from {events}
       where event_type in ('click','view')) e
 join {bookings} b on b.k = e.tk
 """,
     "cmd_t10": """
 select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id,
-       'bk-'||((event_id*7) % """ + N4 + """) booking_id, 'order_'||event_id order_id
+       'bk-'||""" + TK + """ booking_id, 'order_'||event_id order_id
 from {events} where event_type='purchase'
 """,
     "cmd_t11": {
@@ -80,7 +80,7 @@ from {events} where event_type='purchase'
     },
     "cmd_t12": """
 select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id,
-       'bk-'||((event_id*7) % """ + N4 + """) booking_id
+       'bk-'||""" + TK + """ booking_id
 from {events} where event_type='error'
 """,
     "cmd_t13": """
@@ -98,9 +98,8 @@ select e.event_id cmd_id, e.event_id seq, 'u-a-0' actor_user_id,
        case when e.event_id%11=0 then 'w-missing' else w.id end withdrawal_id,
        case e.event_id%3 when 0 then 'approved' when 1 then 'rejected' else 'paid' end status,
        case when e.event_id%2=0 then 'bad docs '||e.event_id end note
-from (select event_id, event_id % (select count(*) from {withdrawals}) + 1 tk from {events}
-      where event_type='error') e
-join (select id, row_number() over (order by id) rn from {withdrawals}) w on w.rn = e.tk
+from (select event_id, (user_id*7) % """ + N + """ tk from {events} where event_type='error') e
+join {withdrawals} w on w.id = 'w-'||(e.tk - e.tk%5 + 2)
 """,
 }
 
@@ -108,11 +107,22 @@ S = "(select count(*) from {supplier})"
 C = "(select count(*) from {customer})"
 
 
-def _pick(table: str, event_type: str, extra_cols: str = "") -> str:
-    """Events of one type, each paired with a row of ``table`` (row_number by id)."""
-    return (f"(select event_id, user_id, value{extra_cols}, event_id % (select count(*) from {{{table}}}) + 1 tk "
-            f"from {{events}} where event_type='{event_type}') e "
-            f"join (select *, row_number() over (order by id) rn from {{{table}}}) t on t.rn = e.tk")
+def _pick(table: str, event_type: str) -> str:
+    """Events of one type, each paired with a row of ``table`` that some key of
+    the source tables names (an equi-join on the id; no numbering of rows)."""
+    e = (f"(select event_id, user_id, value, (event_id*7) % {N} tk, event_id % (select count(*) from {{part}}) pk "
+         f"from {{events}} where event_type='{event_type}') e")
+    booking = f"{e} join {{bookings}} bb on bb.k = e.tk"
+    line = f"{e} join {{lineitem}} li on li.l_orderkey = e.tk and li.l_linenumber = 1"
+    request = "'cq-'||li.l_partkey||'-'||li.l_suppkey"
+    source, target = {
+        "promotion_packages": (booking, "bb.package_id"),
+        "campaigns": (booking, "'cm-'||substring(bb.brand_id,3)||'-'||(1+e.event_id%5)"),
+        "collaborations": (e, "'cl-'||e.pk"),
+        "collaboration_requests": (line, request),
+        "collaboration_participants": (line, f"case when e.event_id%2=0 then 'h-cl-'||e.pk else 'j-'||{request} end"),
+    }[table]
+    return f"{source} join {{{table}}} t on t.id = {target}"
 
 
 COMMAND_SQL.update({
@@ -203,7 +213,7 @@ select e.event_id cmd_id, e.event_id seq,
        case when e.event_id%13=0 then 'u-'||b.creator_id else 'u-'||b.brand_id end actor_user_id,
        case when e.event_id%29=0 then '' else b.id end booking_id,
        case when e.event_id%17=0 then 0 else cast(1+e.event_id%7 as int) end rating, 'nice '||e.event_id comment
-from (select event_id, (event_id*7) % """ + N4 + """ tk from {events} where event_type='view') e
+from (select event_id, """ + TK + """ tk from {events} where event_type='view') e
 join {bookings} b on b.k = e.tk
 """,
     "cmd_t16": """
@@ -238,7 +248,7 @@ from """ + _pick("collaborations", "purchase") + """
     "cmd_t20": """
 select e.event_id cmd_id, e.event_id seq,
        case when e.event_id%6=0 then 'u-c-'||(e.user_id % """ + S + """) else 'u-'||t.creator_id end actor_user_id,
-       t.collaboration_id, case when e.event_id%31=0 then '   ' else 'hi '||e.event_id end message
+       t.collaboration_id, case when e.event_id%31=0 then '   ' when e.event_id%31=1 then chr(10)||chr(9)||' ' else 'hi '||e.event_id end message
 from """ + _pick("collaboration_participants", "signup") + """
 """,
     "cmd_t21": """
@@ -259,7 +269,7 @@ from {events} where event_type='view'
     "cmd_t23": """
 select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id,
        case when event_id%2=0 then 'u-c-'||(user_id % """ + S + """) else 'u-b-'||(user_id % """ + C + """) end user_id
-from {events} where event_type='error' and event_id%4=0
+from {events} where event_type='error'
 """,
     "cmd_t24": """
 select event_id cmd_id, event_id seq, 'u-a-0' actor_user_id, 'u-b-'||(user_id % """ + C + """) user_id,

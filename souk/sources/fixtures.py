@@ -35,7 +35,7 @@ select 'u-a-0', 'Admin', 'a0@admin.test', 'admin', cast(null as varchar(20)), (s
 """,
     "creator_profiles": """
 select 'c-'||s_suppkey id, 'u-c-'||s_suppkey user_id, 'creator_'||s_suppkey username,
-       substring(d.text,1,200) bio,
+       d.text bio,
        case when s_suppkey%10=9 then null when s_suppkey%10=8 then '' when s_suppkey%5=0 then 'Technology'
             when s_suppkey%5=1 then 'Fashion' when s_suppkey%5=2 then 'Food' when s_suppkey%5=3 then 'Lifestyle'
             else 'Memes' end category,
@@ -159,7 +159,7 @@ select 'cq-'||l_partkey||'-'||l_suppkey id, 'cl-'||l_partkey collaboration_id, '
        case (l_partkey+l_suppkey)%3 when 0 then 'pending' when 1 then 'accepted' else 'rejected' end status,
        'let us work' message, min(l_shipdate) created_at
 from {lineitem} join {collaborations} cc on cc.pk=l_partkey
-where cc.creator_id<>'c-'||l_suppkey and l_linenumber<=2
+where cc.creator_id<>'c-'||l_suppkey
 group by l_partkey, l_suppkey
 """,
     "collaboration_participants": """
@@ -186,7 +186,8 @@ where c.pk%4 in (1,2)
 """,
     "messages": """
 select 'm-'||conv_id||'-'||turn id,
-       case role when 'user' then 'u-'||b.brand_id when 'assistant' then 'u-'||b.creator_id else 'u-a-0' end sender_id,
+       case when conv_id%13=0 and turn=1 then null
+            when role='user' then 'u-'||b.brand_id when role='assistant' then 'u-'||b.creator_id else 'u-a-0' end sender_id,
        case role when 'user' then 'u-'||b.creator_id else 'u-'||b.brand_id end receiver_id,
        case when role<>'system' then b.id end booking_id, v.text message,
        coalesce(e.ts,(select min(ts) from {events})) created_at

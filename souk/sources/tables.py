@@ -99,20 +99,36 @@ def derive_tables(spark: SparkSession, sf_dir: str, stage_dir: str | None = None
     return Market(spark, lambda name: conform(fixture(name), name), fixture)
 
 
+COMMITTED = "_COMMITTED"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def load_tables(spark: SparkSession, path: str) -> Market:
-    """Read the 21 tables (``{path}/{table}``) with their fixed schemas."""
-    return Market(
-        spark, lambda name: spark.read.schema(SCHEMAS[name]).parquet(os.path.join(path, name))
-    )
+    """Read the 21 tables (``{path}/{table}``) of a published version with
+    their fixed schemas.  A folder without the commit marker is refused."""
+    fs, marker = _hadoop(spark, f"{path}/{COMMITTED}")
+    if not fs.exists(marker):
+        raise FileNotFoundError(f"{path} holds no committed version")
+    return Market(spark, lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}"))
 
 
 def write_tables(m: Mapping[str, DataFrame], path: str, tables=None, mode: str = "errorifexists") -> str:
     """S3: publish tables under a new version directory ``path``.
 
-    Plain parquet has no MERGE or UPDATE, so every job writes whole new
-    table versions; readers switch by pointing ``load_tables`` at the new
-    directory, which makes a publication atomic per table set.
+    Plain parquet has no MERGE or UPDATE, so every job writes whole new table
+    versions.  The tables are written one after the other; the commit marker
+    comes last, and ``load_tables`` refuses a version without it, so a reader
+    sees all of a version or nothing of it.
     """
-    for name in tables or TABLES:
-        conform(m[name], name).write.mode(mode).parquet(os.path.join(path, name))
+    names = list(tables or TABLES)
+    spark = m[names[0]].sparkSession
+    fs, marker = _hadoop(spark, f"{path}/{COMMITTED}")
+    fs.delete(marker, False)
+    for name in names:
+        conform(m[name], name).write.mode(mode).parquet(f"{path}/{name}")
+    fs.create(marker, False).close()
     return path

@@ -20,9 +20,10 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/souk-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_files(df: DataFrame, path: str, files: int = 5, key: str | None = None) -> str:
-    """Write ``df`` as ``files`` parquet files (rows spread by ``key``) to act
-    as the input of a file-source stream."""
+def stage_files(df: DataFrame, path: str, key: str | None = None) -> str:
+    """Write ``df`` as the input folder of a file-source stream, rows spread by
+    ``key`` over as many files as the session has shuffle partitions."""
+    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = df.repartition(files, F.col(key)) if key else df.repartition(files)
     out.write.mode("overwrite").parquet(path)
     return path

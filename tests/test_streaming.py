@@ -17,9 +17,9 @@ def test_presence_restart_equals_batch(spark, small):
     base = run_folder(spark, "t-w2")
     early = ev.filter(F.col("eid") < 500)
     late = ev.filter(F.col("eid") >= 500)
-    stage_files(early, base + "/in/a", files=2, key="eid")
+    stage_files(early, base + "/in/a", key="eid")
     sj.presence_stream(spark, base + "/in/*", base + "/log", base + "/ckpt", files_per_trigger=1)
-    stage_files(late, base + "/in/b", files=3, key="eid")
+    stage_files(late, base + "/in/b", key="eid")
     got = sj.presence_stream(spark, base + "/in/*", base + "/log", base + "/ckpt", files_per_trigger=1)
     assert _rows(got) == _rows(sj.presence_state(ev))
 
@@ -27,7 +27,7 @@ def test_presence_restart_equals_batch(spark, small):
 def test_rating_stream_single_batch_equals_batch(spark, small):
     from souk.operators.ratings import creator_ratings
     base = run_folder(spark, "t-w4")
-    src = stage_files(small["reviews"].select("id", "creator_id", "rating"), base + "/in", files=1)
+    src = stage_files(small["reviews"].select("id", "creator_id", "rating"), base + "/in")
     got = sj.rating_stream(small, src, base + "/log", base + "/ckpt").select("id", "rating")
     assert _rows(got) == _rows(creator_ratings(small).select("id", "rating"))
 
