@@ -99,8 +99,9 @@ class Model:
     base: float | None = None  # the score of every text, if only one class was seen
 
 
-def learn(rows: DataFrame, shards: int = 4) -> Model:
-    """rows: id, y, text, a bounded sample (``samples.labelled``)."""
+def learn(rows: DataFrame, shard_rows: int = 2500) -> Model:
+    """rows: id, y, text, a bounded sample (``samples.labelled``), fitted in
+    shards of about ``shard_rows``; small samples are passed over more often."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +118,8 @@ def learn(rows: DataFrame, shards: int = 4) -> Model:
         counts = {r["y"]: r["n"] for r in few.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if len(counts) < 2:
             return Model(np.zeros(DIMS, np.float32), (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
-        return Model(ftrl.fit(few, DIMS, shards))
+        n = sum(counts.values())
+        return Model(ftrl.fit(few, DIMS, max(1, n // shard_rows), epochs=min(20, max(4, 8000 // n))))
     finally:
         few.unpersist()
 
