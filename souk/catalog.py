@@ -299,3 +299,21 @@ REGISTRY.update({
     "w3_deliver_online": _w3,
     "w4_rating_stream": _w4,
 })
+
+
+# ---------------------------------------------------------------- keyed calls
+from souk.keyed import KEYED  # noqa: E402
+
+
+def _keyed(name: str):
+    fn, param, _, key = KEYED[name]
+
+    def run(m):
+        out = fn(m, **{param: key})
+        return nullable_ints_as_double(out, "delivery_days") if "delivery_days" in out.columns else out
+
+    run.__doc__ = f"{name} for one key"
+    return run
+
+
+REGISTRY.update({f"{name}__keyed": _keyed(name) for name in KEYED})
