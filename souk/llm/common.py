@@ -50,6 +50,16 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a table of a few numbers each that may be broadcast (some 40 MB).
+FEW_ROWS = 1_000_000
+
+
+def few(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """A kept table of a few numbers a row, marked for broadcast if its counted
+    rows are within the bound; beyond it, it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,7 +159,7 @@ def shingles(h: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.n
     ends = np.cumsum(counts)
     salt = np.uint64(0x9E3779B97F4A7C15)
     left = ends[rows] - np.arange(len(h))  # words from here to the row's end
-    x = np.full(len(h), np.uint64(k) * salt, np.uint64)
+    x = np.full(len(h), k, np.uint64) * salt
     for j in range(k):
         at = np.minimum(np.arange(len(h)) + j, len(h) - 1)
         inside = left > j

@@ -7,16 +7,18 @@
    only representatives go on.
 3. Banding: representatives with an equal band share a bucket.  Each member of
    a bucket is paired with the bucket's smallest id (a star, not all pairs).
-4. Verification: pairs whose signatures agree too rarely are dropped (five
-   standard errors below the threshold); the rest are confirmed on the full
+4. Verification: pairs whose signatures agree too rarely are dropped (four
+   standard errors below the threshold: 3 of 10^5 at similarity 0.8); the rest are confirmed on the full
    shingle sets, read again from the texts.
 5. Components of the confirmed links by alternating large-star / small-star.
 6. A star misses a link between two members when one of them is not like the
-   smallest id.  So buckets that still hold more than one component are
-   compared member by member ACROSS components, on signatures, in blocks of
-   bounded size inside tasks; only pairs that pass are emitted, and confirmed
-   as in 4.  A link is lost only if its two documents share no band: with 32
-   bands of 5 rows in 3 of 10^6 cases at similarity 0.8, and rarer above.
+   smallest id.  So in buckets that still hold more than one component, members
+   are compared ACROSS components, on signatures, in blocks of bounded size
+   inside tasks.  What is emitted is not the pairs but requests: this document,
+   that component.  A request is answered on full sets, against all members of
+   the component, and gives one link or none.  A link is lost only if its two
+   documents share no band, with 32 bands of 5 rows in 3 of 10^6 cases at
+   similarity 0.8, or by step 4; both get rarer above.
 
 Defined cases: null and empty texts and texts without words have no shingle
 and are linked with nothing; a text with fewer words than k has one shingle,
@@ -34,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import Scratch, hash_words, lowered, mix, not_space, shingles, slices, text_buffer
+from souk.llm.common import Scratch, few, hash_words, lowered, mix, not_space, shingles, slices, text_buffer
 from souk.llm.components import components
 
 #: Members of a mixed bucket that one task compares with as many others at a time.
 BLOCK = 1024
+#: Members of a family whose sets one task holds with as many others.
+SETS = 256
+#: Members of a component, and documents to compare with it, that one task holds.
+MEMBERS = 512
 SIGNED = "id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
 
 
@@ -115,14 +121,6 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal minima, for all rows of a against all rows of b."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for j in range(a.shape[1]):
-        out += a[:, j][:, None] == b[:, j][None, :]
-    return out / a.shape[1]
-
-
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<u2") for x in col.to_pylist()])
 
@@ -143,46 +141,142 @@ def signature_filter(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFra
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * |A and B| >= percent * |A or B|.
-    docs: (id, text), one row per id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.keep(sets_of(docs.join(ids, "id", "left_semi").select("id", "text"), k), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
-
-
-def across_components(members: DataFrame, reps: DataFrame, floor: float, scratch: Scratch) -> DataFrame:
-    """members: (key, id, root) of buckets with several roots.  Pairs of
-    members with different roots whose signatures agree enough."""
-    size = members.groupBy("key").agg(F.count("*").alias("n"))
-    m = members.join(size, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.join(reps.select("id", "signature"), "id")
+    """Links that connect what the pairs with 100 * |A and B| >= percent * |A or B|
+    (on the full shingle sets) connect.  pairs: kept; docs: (id, text).
+
+    Pairs are dealt by their family (the component of the pairs' graph) and two
+    blocks of it, so a set is sent once per block pair that needs it, and a
+    task holds at most 2 * SETS sets.
+    """
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    sets = scratch.keep(sets_of(docs.join(few(ids), "id", "left_semi").select("id", "text"), k), "sets")
+    family = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    blocks = family.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks"))
+    place = family.join(blocks, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    p = (pairs.join(place.select(F.col("id").alias("a"), "root", F.col("block").alias("x")), "a")
+         .join(place.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
+         .select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"))
+    p = scratch.keep(p, "dealt-pairs")
+    need = p.select(F.col("root").alias("r"), F.col("i").alias("bi"), F.col("j").alias("bj"),
+                    F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+
+    def run(left, right):
+        ids, off = right.column("id").to_numpy(), np.concatenate(([0], np.cumsum(np.diff(right.column("shingles").combine_chunks().offsets))))
+        values = right.column("shingles").combine_chunks().flatten().to_numpy()
+        at = {int(d): n for n, d in enumerate(ids)}
+        near = list(range(len(ids)))
+
+        def root(v):
+            while near[v] != v:
+                near[v] = near[near[v]]
+                v = near[v]
+            return v
+
+        found = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            if a not in at or b not in at:
+                continue
+            u, v = at[a], at[b]
+            if root(u) == root(v):
+                continue
+            x, y = values[off[u]:off[u + 1]], values[off[v]:off[v + 1]]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                near[root(u)] = root(v)
+                found.append((a, b))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return p.groupBy("root", "i", "j").cogroup(need.groupBy("r", "bi", "bj")).applyInArrow(run, "a long, b long")
+
+
+def requests(members: DataFrame, reps: DataFrame, floor: float, parts: int) -> DataFrame:
+    """members: (key, band, id, root, weight) of buckets with several roots, the
+    weight being the size of the root's component.  Returns (id, root): a member
+    of the lighter component, and the heavier one that some member of the bucket
+    with an agreeing signature belongs to.  A pair that shares several buckets
+    is looked at in its first one only."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.join(reps, "id")
     # a member goes to each pair of its block with another: to one group if the bucket is one block
     turn = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = m.select("key", "id", "root", "signature", "block", turn).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "signature")
+    dealt = m.select("key", "band", "id", "root", "weight", "signature", "bands", "block", turn).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "band", "block", "id", "root", "weight", "signature", "bands")
 
     def run(keys, table):
         i, j = keys[1].as_py(), keys[2].as_py()
-        block, ids, root = (table.column(c).to_numpy() for c in ("block", "id", "root"))
+        band, block, ids, root, weight = (table.column(c).to_numpy() for c in ("band", "block", "id", "root", "weight"))
         sig = _matrix(table.column("signature").combine_chunks())
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :band[0]]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = set()
+        for s in range(0, len(left), 64):
+            rows = left[s: s + 64]
+            a, b = np.nonzero(root[rows][:, None] != root[right][None, :])
+            a, b = rows[a], right[b]
+            if i == j:
+                once = a < b
+                a, b = a[once], b[once]
+            if len(a):
+                first = ~(bands[a] == bands[b]).any(axis=1)
+                a, b = a[first], b[first]
+                close = (sig[a] == sig[b]).mean(axis=1) >= floor
+                a, b = a[close], b[close]
+                swap = (weight[a] > weight[b]) | ((weight[a] == weight[b]) & (root[a] > root[b]))
+                x, y = np.where(swap, b, a), np.where(swap, a, b)
+                found.update(zip(ids[x].tolist(), root[y].tolist(), strict=True))
+        found = sorted(found)
+        return pa.table({"id": pa.array([f[0] for f in found], pa.int64()), "root": pa.array([f[1] for f in found], pa.int64())})
+
+    # the work of a group grows with its square, not with its bytes: keep the tasks apart
+    return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "id long, root long").distinct()
+
+
+def answer(asked: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """asked: kept (id, root).  The requests whose document is like some member
+    of that component, on full sets, as links (a, b) = (id, root).
+
+    Members and requests of a component are dealt to blocks of at most about
+    MEMBERS of each, one task group per pair of blocks.
+    """
+    wanted = asked.select("root").distinct()
+    linked = roots.join(wanted, "root", "left_semi").select("id", "root")
+    members = scratch.keep(linked.unionByName(wanted.select(F.col("root").alias("id"), "root")).distinct(), "asked-members")
+    ids = scratch.keep(members.select("id").unionByName(asked.select("id")).distinct(), "asked-ids")
+    sets = scratch.keep(sets_of(docs.join(few(ids), "id", "left_semi").select("id", "text"), k), "asked-sets")
+    size = (members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mb"))
+            .join(asked.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("qb")), "root"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    m = members.join(size, "root").select("root", place("mb").alias("i"), every("qb").alias("j"), "id").join(sets, "id")
+    q = asked.join(size, "root").select(F.col("root").alias("r"), place("qb").alias("qj"), every("mb").alias("qi"), "id").join(sets, "id")
+    q = q.select("r", "qi", "qj", F.col("id").alias("doc"), F.col("shingles").alias("asked"))
+
+    def run(left, right):
+        xs, ids = left.column("asked").combine_chunks(), left.column("doc").to_pylist()
+        sets = right.column("shingles").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        values, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        at, off = xs.flatten().to_numpy(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
         found = []
-        for s in range(0, len(left), 256):
-            rows = left[s: s + 256]
-            if (root[rows][:, None] == root[right][None, :]).all():
-                continue
-            ok = (agreement(sig[rows], sig[right]) >= floor) & (root[rows][:, None] != root[right][None, :])
-            x, y = np.nonzero(ok)
-            found.append(np.stack([ids[rows[x]], ids[right[y]]]))
-        p = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        p = np.unique(np.sort(p, axis=0), axis=1)
-        return pa.table({"a": pa.array(p[0]), "b": pa.array(p[1])})
+        for d, s, e in zip(ids, off[:-1], off[1:], strict=True):
+            x = at[s:e]
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            n = hi - lo
+            hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(owner[hits], minlength=len(size))
+            if (100 * common >= percent * (len(x) + size - common)).any():
+                found.append(d)
+        root = left.column("r")[0] if left.num_rows else None
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([root.as_py()] * len(found) if root else [], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    groups = q.repartition(parts, "r", "qi", "qj").groupBy("r", "qi", "qj").cogroup(m.repartition(parts, "root", "i", "j").groupBy("root", "i", "j"))
+    return groups.applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5,
@@ -191,16 +285,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     reachable by links), kept (the row is its component's)."""
     scratch = Scratch(spark, "minhash")
     signed = scratch.keep(signatures(docs, k, bands, rows, id_col, text_col), "signatures")
-    some = signed.filter("n_shingles > 0 and id is not null")
+    some = signed.filter("n_shingles > 0 and id is not null")  # the others are linked with nothing
     classes = scratch.keep(some.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     reps = scratch.keep(reps.select("id", "signature", "bands"), "representatives")
 
     share = percent / 100
-    floor = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5
-    in_bucket = reps.select("id", F.explode("bands").alias("key"))
+    floor = share - 4 * (share * (1 - share) / (bands * rows)) ** 0.5
+    in_bucket = reps.select("id", F.posexplode("bands").alias("band", "key"))
     least = in_bucket.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    buckets = scratch.keep(in_bucket.join(least.select("key", "center"), "key"), "buckets")
+    centers = scratch.keep(least.select("key", "center"), "centers")
+    buckets = scratch.keep(in_bucket.join(few(centers), "key"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     stars = buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
@@ -208,11 +303,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     links = scratch.keep(confirm(close, texts, k, percent, scratch), "star-links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
-    placed = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("weight")), "root")
+    placed = buckets.join(sized, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
     left = scratch.keep(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    missed = scratch.keep(across_components(left, reps, floor, scratch).join(close, ["a", "b"], "left_anti"), "cross-pairs")
-    more = confirm(missed, texts, k, percent, scratch)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = scratch.keep(requests(left, reps, floor, parts), "requests")
+    more = scratch.keep(answer(asked, roots, texts, k, percent, parts, scratch), "more-links")
     # rows of one id with different texts are in several classes: they are one document
     same_id = some.join(classes, ["d1", "d2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
     all_links = links.unionByName(more).unionByName(same_id)
