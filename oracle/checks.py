@@ -38,8 +38,9 @@ def unique_sql() -> str:
         for key in UNIQUE_KEYS.get(t, (("id",),)):
             nn = " AND ".join(f"{k} IS NOT NULL" for k in key)
             kid = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in key) + ")"
-            parts.append(f"{_row(t, ','.join(key), 'unique', kid, 'COUNT(*)')} FROM {src(t)} WHERE {nn} "
-                         f"GROUP BY {', '.join(key)} HAVING COUNT(*) > 1")
+            folded = ", ".join(f"strip_accents(lower(CAST({k} AS VARCHAR)))" for k in key)
+            parts.append(f"{_row(t, ','.join(key), 'unique', f'min({kid})', 'COUNT(*)')} FROM {src(t)} WHERE {nn} "
+                         f"GROUP BY {folded} HAVING COUNT(*) > 1")
     return "\nUNION ALL\n".join(parts)
 
 

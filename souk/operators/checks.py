@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souk.functions.text import CI_AI
 from souk.sources.schema import (DEFAULTS, ENUMS, FOREIGN_KEYS, NOT_NULL, RATING_CHECKS, SCHEMAS,
                                  TIME_COLUMN, UNIQUE_KEYS, VARCHAR_LIMITS)
 
@@ -62,7 +63,9 @@ def check_unique(m, tables=None) -> DataFrame:
     Every table contributes one row per unique key it declares —
     ``(table, key name, key values)`` — and all of them are counted by a
     single grouped aggregate: one shuffle for the whole check, with partial
-    counts per task, so a duplicated hot key never gathers its rows."""
+    counts per task, so a duplicated hot key never gathers its rows.  Keys
+    compare as the default collation does, without case and accents; the
+    smallest spelling names a violation."""
     parts = []
     for t in tables or SCHEMAS:
         keys = UNIQUE_KEYS.get(t, (("id",),))
@@ -82,10 +85,11 @@ def check_unique(m, tables=None) -> DataFrame:
     allk = parts[0]
     for p in parts[1:]:
         allk = allk.unionByName(p)
-    dup = (allk.groupBy("table_name", F.col("e.c").alias("column_name"), F.col("e.v").alias("v"))
-               .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
-    return dup.select("table_name", "column_name", F.lit("unique").alias("rule"),
-                      F.array_join("v", "|").alias("row_id"), F.col("n").cast("string").alias("detail"))
+    raw = F.array_join("e.v", "|")
+    dup = (allk.groupBy("table_name", F.col("e.c").alias("column_name"), F.collate(raw, CI_AI).alias("v"))
+               .agg(F.count(F.lit(1)).alias("n"), F.min(raw).alias("row_id")).filter(F.col("n") > 1))
+    return dup.select("table_name", "column_name", F.lit("unique").alias("rule"), "row_id",
+                      F.col("n").cast("string").alias("detail"))
 
 
 def check_enum(m, tables=None) -> DataFrame:

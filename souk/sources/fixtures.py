@@ -218,6 +218,10 @@ union all
 select id, brand_id, creator_id, package_id, campaign_id, status, price, notes, content_url, content_type,
        rejection_reason, created_at
 from {bookings} where k%101=1
+union all
+select upper(id), brand_id, creator_id, package_id, campaign_id, status, price, notes, content_url, content_type,
+       rejection_reason, created_at
+from {bookings} where k%101=9
 """,
     "faulty_reviews": """
 select id, booking_id, brand_id, creator_id,

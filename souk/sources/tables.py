@@ -127,6 +127,8 @@ def write_tables(m: Mapping[str, DataFrame], path: str, tables=None, mode: str =
     names = list(tables or TABLES)
     spark = m[names[0]].sparkSession
     fs, marker = _hadoop(spark, f"{path}/{COMMITTED}")
+    if mode == "errorifexists" and fs.exists(marker):
+        raise FileExistsError(f"{path} holds a committed version")
     fs.delete(marker, False)
     for name in names:
         conform(m[name], name).write.mode(mode).parquet(f"{path}/{name}")

@@ -113,3 +113,24 @@ def test_chunked_scans_equal_plain_windows(spark):
     for width in (1, 7, 50, 1 << 20):
         got = chunked_last_before(chunked_runs(df, "k", "seq", "v", width), "k", "seq", F.col("w"), "lb", width)
         assert sorted(tuple(r) for r in got.select(*plain.columns).collect()) == want, width
+
+
+def test_amounts_round_half_away_from_zero(spark):
+    from souk.functions.text import locale_amount
+
+    df = spark.createDataFrame([(100.0625,), (1234.5,), (0.0005,), (7.0,)], "x double")
+    assert [r[0] for r in df.select(locale_amount("x")).collect()] == ["100.063", "1,234.5", "0.001", "7"]
+
+
+def test_extname_as_node(spark):
+    from souk.functions.text import extname
+
+    df = spark.createDataFrame([("a.MP4",), (".mp4",), ("x/.png",), ("a.b.jpg",), ("a.",), ("none",)], "x string")
+    assert [r[0] for r in df.select(extname("x")).collect()] == [".mp4", "", "", ".jpg", ".", ""]
+
+
+def test_blank_as_javascript_trims(spark):
+    from souk.functions.text import js_not_blank
+
+    df = spark.createDataFrame([(" \n\t",), (" 　﻿",), ("",), (None,), (" x ",)], "x string")
+    assert [r[0] for r in df.select(js_not_blank("x")).collect()] == [False, False, False, False, True]
