@@ -10,7 +10,7 @@ from souk.functions.frame import first_reason, last_by, update_by_key
 from souk.functions.ids import det_uuid
 from souk.functions.text import col_truthy, encode_uri_component
 from souk.operators import notify
-from souk.plans.base import JobResult, batch_time, new_id, rejects_of
+from souk.plans.base import JobResult, batch_time, decidable, new_id, rejects_of
 from souk.session import checkpoint_dir
 from souk.sources.schema import ENUMS, FOREIGN_KEYS, TABLES, delete_order
 from souk.sources.tables import conform
@@ -117,6 +117,57 @@ def register_users(m, cmds: DataFrame, batch_ts) -> JobResult:
 PROVIDER_COLUMN = {"google": "google_id", "facebook": "facebook_id"}
 
 
+def _resolve_rounds(logins: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The logins decided as if one after the other, and the users afterwards.
+
+    logins: (cmd_id, seq, provider, _col, provider_id, _em); state: (uid, em,
+    google_id, facebook_id, social_provider, made_by) of the users they may touch.
+
+    A login touches its provider id, its email, and the users holding them now.
+    One whose provider id is held only reads; any other writes (it links the id
+    to the email's user, or creates a user).  Rounds decide what ``decidable``
+    gives.
+    """
+    spark = logins.sparkSession
+    checkpoint_dir(spark)
+    state = state.checkpoint()
+    undecided = logins.checkpoint()
+    decided = None
+    while not undecided.isEmpty():
+        ids = state.select("uid", F.explode(F.array(
+            F.struct(F.lit("google_id").alias("c"), F.col("google_id").alias("v")),
+            F.struct(F.lit("facebook_id").alias("c"), F.col("facebook_id").alias("v")))).alias("k"))
+        by_id = ids.filter("k.v is not null").select(F.col("uid").alias("_hp"), F.col("k.c").alias("_kc"), F.col("k.v").alias("_kv"))
+        by_mail = state.select(F.col("uid").alias("_he"), F.col("em").alias("_ke"))
+        u = (undecided.join(by_id, (F.col("_col") == F.col("_kc")) & (F.col("provider_id") == F.col("_kv")), "left")
+                      .join(by_mail, F.col("_em") == F.col("_ke"), "left").drop("_kc", "_kv", "_ke"))
+        u = u.withColumn("_w", F.col("_hp").isNull())
+        touched = F.array(F.concat_ws(":", F.lit("p"), "_col", "provider_id"), F.concat(F.lit("e:"), F.col("_em")),
+                          F.concat(F.lit("u:"), F.col("_hp")), F.concat(F.lit("u:"), F.col("_he")))
+        now = decidable(u, touched)
+        made = det_uuid(F.lit("t02"), F.col("cmd_id").cast("string"))
+        now = now.select("cmd_id", "provider", "_col", "provider_id", "_em",
+                         F.coalesce("_hp", "_he", made).alias("user_id"),
+                         F.when(F.col("_hp").isNotNull(), "provider").when(F.col("_he").isNotNull(), "email")
+                         .otherwise("created").alias("method")).checkpoint()
+        decided = now if decided is None else decided.unionByName(now)
+        links = now.filter("method = 'email'").select(F.col("user_id").alias("_lu"), F.col("_col").alias("_lc"),
+                                                      F.col("provider_id").alias("_lv"), F.col("provider").alias("_lp"))
+        new = now.filter("method = 'created'").select(
+            F.col("user_id").alias("uid"),
+            F.coalesce("_em", F.lower(F.concat("provider", F.lit("_"), "provider_id", F.lit("@noemail.local")))).alias("em"),
+            F.when(F.col("_col") == "google_id", F.col("provider_id")).alias("google_id"),
+            F.when(F.col("_col") == "facebook_id", F.col("provider_id")).alias("facebook_id"),
+            F.col("provider").alias("social_provider"), F.col("cmd_id").alias("made_by"))
+        pick = lambda c: F.when(F.col("_lc") == c, F.col("_lv")).otherwise(F.col(c)).alias(c)
+        state = (state.join(links, F.col("uid") == F.col("_lu"), "left")
+                      .select("uid", "em", pick("google_id"), pick("facebook_id"),
+                              F.coalesce("_lp", "social_provider").alias("social_provider"), "made_by")
+                      .unionByName(new)).checkpoint()
+        undecided = undecided.join(now.select("cmd_id"), "cmd_id", "left_anti").checkpoint()
+    return decided, state
+
+
 def resolve_identities(m, logins: DataFrame, batch_ts) -> JobResult:
     """A social login resolves to (1) the user holding that provider id,
     else (2) the user with that email, whose provider id is then linked,
@@ -125,68 +176,42 @@ def resolve_identities(m, logins: DataFrame, batch_ts) -> JobResult:
     as '_' plus '_' and the first 8 characters of the new id.  Providers
     without an id column ('github') fail as in the reference.
 
-    Inside a batch, logins that create a user are grouped by email (or by
-    provider id when there is no email): the first creates, later ones
-    resolve to it (linking their provider id).  Matching and linking use
-    the users as they were at batch start plus the users created in the
-    batch; a link that overwrites a provider id used by a later login of
-    the same batch is not re-matched."""
+    Logins of a batch take effect one after the other, by seq: links and users
+    made by earlier ones are seen by later ones (``_resolve_rounds``)."""
     u = m["users"]
     c = logins.withColumn("_col", F.when(F.col("provider") == "google", "google_id")
                           .when(F.col("provider") == "facebook", "facebook_id"))
-    by_g = u.filter(F.col("google_id").isNotNull()).select(F.col("google_id").alias("_pid"), F.lit("google_id").alias("_pc"),
-                                                            F.col("id").alias("_by_pid"))
-    by_f = u.filter(F.col("facebook_id").isNotNull()).select(F.col("facebook_id").alias("_pid"),
-                                                              F.lit("facebook_id").alias("_pc"), F.col("id").alias("_by_pid"))
-    by_pid = by_g.unionByName(by_f).dropDuplicates(["_pid", "_pc"])
-    by_mail = u.select(F.lower("email").alias("_em"), F.col("id").alias("_by_mail")).dropDuplicates(["_em"])
-    c = (c.join(by_pid, (F.col("provider_id") == F.col("_pid")) & (F.col("_col") == F.col("_pc")), "left")
-          .join(by_mail, col_truthy("email") & (F.lower("email") == F.col("_em")), "left"))
+    c = c.withColumn("_em", F.when(col_truthy("email"), F.lower("email")))
     c = c.withColumn("reason", first_reason((F.col("_col").isNotNull(), "unknown_provider")))
     ok = c.filter(F.col("reason").isNull())
-    matched = ok.filter(F.col("_by_pid").isNotNull()).select("cmd_id", F.col("_by_pid").alias("user_id"),
-                                                             F.lit("provider").alias("method"))
-    linked = ok.filter(F.col("_by_pid").isNull() & F.col("_by_mail").isNotNull())
-    new = ok.filter(F.col("_by_pid").isNull() & F.col("_by_mail").isNull())
-    new = new.withColumn("_grp", F.when(col_truthy("email"), F.concat(F.lit("e:"), F.lower("email")))
-                         .otherwise(F.concat(F.lit("p:"), F.col("provider"), F.lit(":"), F.col("provider_id"))))
-    firsts = new.groupBy(F.col("_grp").alias("_g")).agg(F.min_by("cmd_id", "seq").alias("_first"))
-    new = new.join(firsts, F.col("_grp") == F.col("_g")).drop("_g")
-    new = new.withColumn("_uid", det_uuid(F.lit("t02"), F.col("_first").cast("string")))
-    creators = new.filter(F.col("cmd_id") == F.col("_first"))
-    resolved = (matched
-                .unionByName(linked.select("cmd_id", F.col("_by_mail").alias("user_id"), F.lit("email").alias("method")))
-                .unionByName(new.select("cmd_id", F.col("_uid").alias("user_id"),
-                                        F.when(F.col("cmd_id") == F.col("_first"), "created")
-                                        .when(col_truthy("email"), "email").otherwise("provider").alias("method"))))
-    # provider ids written: links to existing users and in-batch links to created users (last wins)
-    links = (linked.select(F.col("_by_mail").alias("id"), "_col", "provider_id", "provider", "seq")
-             .unionByName(new.select(F.col("_uid").alias("id"), "_col", "provider_id", "provider", "seq")))
-    lg = last_by(links.filter(F.col("_col") == "google_id"), "id", "seq", ["provider_id", "provider"]) \
-        .select("id", F.col("provider_id").alias("google_id"), F.col("provider").alias("_sp_g"), F.col("seq").alias("_sg"))
-    lf = last_by(links.filter(F.col("_col") == "facebook_id"), "id", "seq", ["provider_id", "provider"]) \
-        .select(F.col("id").alias("_fid"), F.col("provider_id").alias("facebook_id"),
-                F.col("provider").alias("_sp_f"), F.col("seq").alias("_sf"))
-    sets = lg.join(lf, lg["id"] == lf["_fid"], "full").select(
-        F.coalesce("id", "_fid").alias("id"), "google_id", "facebook_id",
-        F.when(F.coalesce("_sg", F.lit(-1)) >= F.coalesce("_sf", F.lit(-1)), F.col("_sp_g"))
-         .otherwise(F.col("_sp_f")).alias("social_provider"))
+    state = u.select(F.col("id").alias("uid"), F.lower("email").alias("em"), "google_id", "facebook_id",
+                     "social_provider", F.lit(None).cast(logins.schema["cmd_id"].dataType).alias("made_by"))
+    given = ok.select(F.explode(F.array(F.concat_ws(":", "_col", "provider_id"), F.concat(F.lit("e:"), F.col("_em")),
+                                        F.concat(F.lit("e:"), F.lower(F.concat("provider", F.lit("_"), "provider_id", F.lit("@noemail.local")))))).alias("k"))
+    keys = state.select("uid", F.explode(F.array(F.concat(F.lit("google_id:"), "google_id"), F.concat(F.lit("facebook_id:"), "facebook_id"),
+                                                 F.concat(F.lit("e:"), "em"))).alias("k"))
+    near = keys.join(given.filter("k is not null").distinct(), "k", "left_semi").select("uid").distinct()
+    decided, after = _resolve_rounds(ok.select("cmd_id", "seq", "provider", "_col", "provider_id", "_em"),
+                                     state.join(near, "uid", "left_semi"))
+    if decided is None:
+        return JobResult(tables={"users": u, "creator_profiles": m["creator_profiles"]}, rejects=rejects_of(c),
+                         outputs={"resolved": ok.select("cmd_id", F.lit("").alias("user_id"), F.lit("").alias("method"))})
+    resolved = decided.select("cmd_id", "user_id", "method")
+    creators = ok.join(decided.filter("method = 'created'").select(F.col("cmd_id").alias("_mc"), F.col("user_id").alias("_uid")),
+                       F.col("cmd_id") == F.col("_mc"))
     new_users = creators.select(
         F.col("_uid").alias("id"), F.col("name"),
         F.when(col_truthy("email"), F.col("email")).otherwise(
             F.concat(F.col("provider"), F.lit("_"), F.col("provider_id"), F.lit("@noemail.local"))).alias("email"),
         F.lit("creator").alias("role"), "avatar_url", batch_time(batch_ts).alias("created_at"))
-    users_all = m["users"].unionByName(conform(new_users, "users"))
-    s = sets.select("id", F.lit(True).alias("_hit"), F.col("google_id").alias("_g"), F.col("facebook_id").alias("_f"),
-                    F.col("social_provider").alias("_s"))
-    j = users_all.join(s.withColumnRenamed("id", "_sid"), users_all["id"] == F.col("_sid"), "left")
+    users_all = u.unionByName(conform(new_users, "users"))
+    s = after.select(F.col("uid").alias("_sid"), F.col("google_id").alias("_g"), F.col("facebook_id").alias("_f"),
+                     F.col("social_provider").alias("_s"))
+    values = {"google_id": "_g", "facebook_id": "_f", "social_provider": "_s"}
+    j = users_all.join(s, users_all["id"] == F.col("_sid"), "left")
     users_out = j.select(*[
-        F.when(F.col("_hit") & F.col("_g").isNotNull(), F.col("_g")).otherwise(users_all["google_id"]).alias(col)
-        if col == "google_id" else
-        F.when(F.col("_hit") & F.col("_f").isNotNull(), F.col("_f")).otherwise(users_all["facebook_id"]).alias(col)
-        if col == "facebook_id" else
-        F.when(F.col("_hit"), F.col("_s")).otherwise(users_all["social_provider"]).alias(col)
-        if col == "social_provider" else users_all[col] for col in users_all.columns])
+        F.when(F.col("_sid").isNotNull(), F.col(values[col])).otherwise(users_all[col]).alias(col)
+        if col in values else users_all[col] for col in users_all.columns])
     profiles = creators.select(
         new_id("t02c", "cmd_id").alias("id"), F.col("_uid").alias("user_id"),
         F.concat(F.regexp_replace(F.lower(F.coalesce(F.when(col_truthy("name"), F.col("name")), F.lit("user"))),

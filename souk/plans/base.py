@@ -91,3 +91,23 @@ def user_of_brand(m) -> DataFrame:
 
 def render(events: DataFrame, job: str) -> DataFrame:
     return notify.render(events, job)
+
+
+def decidable(undecided: DataFrame, touched) -> DataFrame:
+    """The commands whose outcome no other undecided command can change.
+
+    undecided: cmd_id, seq and ``_w`` (the command writes), each with an array
+    ``touched`` of the keys it reads or writes.  A reader qualifies if no
+    earlier writer shares a key with it; a writer if it is the first writer of
+    all its keys and leaves no earlier reader behind.  The smallest command
+    always qualifies.  Grouped minima and joins: a hot key costs a row per task,
+    and as many rounds as it has writes that depend on each other."""
+    keys = F.explode(F.array_distinct(F.filter(touched, lambda x: x.isNotNull()))).alias("k")
+    g = undecided.select("cmd_id", "seq", "_w", keys)
+    first_w = g.groupBy("k").agg(F.min(F.when(F.col("_w"), F.col("seq"))).alias("mw"))
+    late = g.join(first_w, "k").groupBy("cmd_id").agg(F.max(F.coalesce(F.col("mw") < F.col("seq"), F.lit(False))).alias("late"))
+    g = g.join(late, "cmd_id")
+    left = g.groupBy("k").agg(F.min(F.when(~F.col("_w") & F.col("late"), F.col("seq"))).alias("mb"))
+    held = (g.join(left, "k").groupBy("cmd_id")
+             .agg(F.max(F.col("late") | (F.col("_w") & F.coalesce(F.col("mb") < F.col("seq"), F.lit(False)))).alias("held")))
+    return undecided.join(held.filter(~F.col("held")).select("cmd_id"), "cmd_id", "left_semi")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from souk.functions.frame import first_reason, last_by, update_by_key
 from souk.operators.checks import apply_defaults
 from souk.plans.accounts import cascade_delete
-from souk.plans.base import JobResult, batch_time, new_id, rejects_of, with_profile
+from souk.plans.base import JobResult, batch_time, decidable, new_id, rejects_of, with_profile
+from souk.session import checkpoint_dir
 from souk.sources.schema import ENUMS, NOT_NULL, SCHEMAS
 from souk.sources.tables import conform
 
@@ -85,17 +86,40 @@ def update_rows(m, table: str, cmds: DataFrame, batch_ts=None) -> JobResult:
 PROFILE_COLS = ("bio", "category", "city", "country", "username")
 
 
+def _name_rounds(cmds: DataFrame, names: DataFrame) -> DataFrame:
+    """cmds: (cmd_id, seq, pid, un); names: (hid, hn), the profiles' names in
+    lower case.  (cmd_id, taken): whether another profile holds the name when
+    the command's turn comes.  A command whose name is free renames its
+    profile, any other only reads; rounds decide what ``decidable`` gives."""
+    checkpoint_dir(cmds.sparkSession)
+    names, undecided, decided = names.checkpoint(), cmds.checkpoint(), None
+    while not undecided.isEmpty():
+        u = undecided.join(names, F.col("un") == F.col("hn"), "left").withColumn("_w", F.col("hid").isNull())
+        touched = F.array(F.concat(F.lit("p:"), "pid"), F.concat(F.lit("n:"), "un"), F.concat(F.lit("p:"), "hid"))
+        now = decidable(u, touched).select("cmd_id", "pid", "un", "_w", (F.col("hid").isNotNull() & (F.col("hid") != F.col("pid"))).alias("taken")).checkpoint()
+        decided = now if decided is None else decided.unionByName(now)
+        moved = now.filter("_w").select(F.col("pid").alias("_p"), F.col("un").alias("_n"))
+        names = names.join(moved, F.col("hid") == F.col("_p"), "left").select("hid", F.coalesce("_n", "hn").alias("hn")).checkpoint()
+        undecided = undecided.join(now.select("cmd_id"), "cmd_id", "left_anti").checkpoint()
+    return cmds.limit(0).select("cmd_id", F.lit(False).alias("taken")) if decided is None else decided.select("cmd_id", "taken")
+
+
 def update_own_profile(m, cmds: DataFrame, batch_ts=None) -> JobResult:
     """T4 for the signed-in creator's profile (bio, category, city, country,
     username; nulls overwrite).  Reasons: no profile → username missing →
-    username held by another profile (case-insensitive).  Last command per
+    username held by another profile (case-insensitive) when the command's turn
+    comes: names taken or freed earlier in the batch count.  Last command per
     profile wins."""
     c = with_profile(cmds, m, "creator")
-    taken = m["creator_profiles"].select(F.lower("username").alias("_tu"), F.col("id").alias("_tid"))
-    c = c.join(taken, (F.lower("username") == F.col("_tu")) & (F.col("_tid") != F.col("creator_profile_id")), "left")
+    wants = c.filter(F.col("creator_profile_id").isNotNull() & F.col("username").isNotNull()).select(
+        "cmd_id", "seq", F.col("creator_profile_id").alias("pid"), F.lower("username").alias("un"))
+    names = m["creator_profiles"].select(F.col("id").alias("hid"), F.lower("username").alias("hn"))
+    near = names.join(wants.select("un").distinct(), F.col("hn") == F.col("un"), "left_semi").unionByName(
+        names.join(wants.select("pid").distinct(), F.col("hid") == F.col("pid"), "left_semi")).distinct()
+    c = c.join(_name_rounds(wants, near).withColumnRenamed("cmd_id", "_dc"), F.col("cmd_id") == F.col("_dc"), "left")
     c = c.withColumn("reason", first_reason((F.col("creator_profile_id").isNotNull(), "profile_not_found"),
                                             (F.col("username").isNotNull(), "not_null"),
-                                            (F.col("_tid").isNull(), "username_taken")))
+                                            (~F.coalesce("taken", F.lit(False)), "username_taken")))
     ok = c.filter(F.col("reason").isNull())
     last = last_by(ok, "creator_profile_id", "seq", list(PROFILE_COLS)).withColumnRenamed("creator_profile_id", "id")
     return JobResult(tables={"creator_profiles": update_by_key(m["creator_profiles"], last, "id", list(PROFILE_COLS))},

@@ -141,9 +141,9 @@ from {events} where event_type='signup'
     "cmd_t02": """
 select event_id cmd_id, event_id seq,
        case when event_id%9=0 then 'github' when event_id%2=0 then 'google' else 'facebook' end provider,
-       'pid'||event_id provider_id,
+       'pid'||user_id provider_id,
        case when event_id%4=0 then 'c'||(user_id % """ + S + """)||'@creator.test'
-            when event_id%4=1 then 'social'||event_id||'@new.test' end email,
+            when event_id%4=1 then 'social'||user_id||'@new.test' end email,
        'Social  User '||user_id name, 'https://img.test/'||user_id avatar_url
 from {events} where event_type='signup'
 """,
