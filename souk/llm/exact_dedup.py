@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.common import Scratch, ascii_lower
+from souk.llm.common import Scratch, ascii_lower, few
 
+#: Hits (an id and a digest each) that may be broadcast; more are joined by shuffle.
+HITS = 200_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: State on disk, uploaded as changes; many small stores must not preallocate files.
 STATE_SETTINGS = {
@@ -100,7 +102,7 @@ def group_stream(spark: SparkSession, path: str, schema: T.StructType, scratch:
 def _check_bytes(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch: Scratch,
                  id_col: str, text_col: str) -> DataFrame:
     """(digest, text key) classes of the rows that share a digest, from their full texts."""
-    hits = rows.join(groups.filter("n > 1").select("digest"), "digest").select("id", "digest").distinct()
+    hits = few(scratch.keep(rows.join(groups.filter("n > 1").select("digest"), "digest").select("id", "digest").distinct(), "hits"), HITS)
     texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(ascii_lower(F.col(text_col)), F.lit("")).alias("body"))
     return texts.join(hits, F.col("doc").eqNullSafe(F.col("id")))
 
@@ -149,7 +151,7 @@ def keep_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     kept = marks.filter("kept").select("id", "digest")
     # an id that has rows on both sides (repeated rows, or texts of two groups) is settled by its texts
     mixed = scratch.keep(kept.join(lost, kept["id"].eqNullSafe(lost["id"]), "left_semi").select("id", "digest"), "mixed")
-    gone = lost.select("id").distinct()
+    gone = few(scratch.keep(lost.select("id").distinct(), "gone"))
     plain = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]), "left_anti")
     if mixed.isEmpty():
         return plain
