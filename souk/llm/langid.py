@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import slices
+from souk.llm.common import slices, trimmed
 from souk.llm.samples import at_most
 
 UND = "und"
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: s
                     codes, n = np.unique(np.concatenate(all_grams), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": codes, "n": n.astype(np.int64)})
 
-    counts = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("place", place - 1).filter(F.col("place") < profile_size).select("lang", "gram", "place").toPandas()
     languages = sorted(top["lang"].unique())
@@ -156,4 +156,4 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", doc_gra
 
     out = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     out_arrow = to_arrow_schema(out)
-    return given.mapInArrow(score, out)
+    return given.mapInArrow(trimmed(score), out)

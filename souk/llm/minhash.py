@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import Scratch, few, hash_words, lowered, mix, not_space, shingles, slices, text_buffer
+from souk.llm.common import Scratch, few, hash_words, lowered, mix, not_space, shingles, slices, text_buffer, trimmed
 from souk.llm.components import components
 
 #: Members of a mixed bucket that one task compares with as many others at a time.
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(b.column(1), 1 << 20):
+            for i, j in slices(b.column(1)):
                 part = b.slice(i, j - i)
                 x, off = shingle_sets(part.column(1), k)
                 n = np.diff(off)
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text
                      pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "n_shingles", "d1", "d2", "signature", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(run), SIGNED)
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -118,7 +118,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                     [part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x.view(np.int64)))],
                     names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, shingles array<long>")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
