@@ -9,9 +9,11 @@ DataFrame operations only.
    sources are capped one after the other, smallest cap per weight first.
 2. ``passes``: a source's target is so many whole passes over its documents and
    a part of one more.  Each pass puts the documents in an order of its own, by
-   a hash; the last one is cut where its words would exceed the target, and what
-   is missing then is filled by the largest documents that fit.  The cut is found by descending twice through 4,096 hash ranges and then through
-   the rows of one range, with sums taken before each shuffle.
+   a hash; in the last one each document is taken that still fits the target.
+   The documents up to the first that does not fit are found by descending twice
+   through 4,096 hash ranges and then through the rows of one range, with sums
+   taken before each shuffle; then the same again among those behind it that
+   fit what is missing, until no document of the source does.
 3. Blocks are hash ranges of a pass, of about ``block_words`` words.  A source's
    quota is its number of blocks; block numbers are permuted by multiplication
    with a prime modulo the quota.
@@ -30,6 +32,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +44,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PRIME = 2_147_483_647
 #: Sources whose table is broadcast; with more of them it is joined by shuffle.
 FEW = 50_000
-#: Rounds that fill what is missing to a target after the cut.
-FILLS = 4
+#: The largest order key.
+LAST = (1 << 63) - 1
 _TOP = float(1 << 63)
 
 
@@ -76,14 +80,11 @@ def _boundary(sums: DataFrame) -> DataFrame:
             .select("sid", "b.at", "b.base", "b.rest"))
 
 
-def passes(rows: DataFrame, sources: DataFrame, seed: int, near, scratch: Scratch) -> DataFrame:
-    """sources with ``full`` (whole passes), ``cut`` (the last pass takes the
-    rows up to this order key; -1: none) and ``extra`` (and those of these keys)."""
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    s = sources.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    open_ = s.filter("rest > 0 and source_size > 0").select("sid", "full", "rest")
-    r = rows.join(near(open_), "sid").withColumn("key", order_key(F.col("full"), seed)).select("sid", "key", "size", "rest")
-    first = _boundary(r.groupBy("sid", F.shiftright("key", 51).alias("at"), "rest").agg(F.sum("size").alias("n")).withColumn("base", F.lit(0).cast("long")))
+def _cut(r: DataFrame, near) -> DataFrame:
+    """r: (sid, key, size, rest).  For each sid, by key: the rows up to ``cut`` fit
+    ``rest`` together and leave ``gap`` of it; the row at ``stop`` does not fit any more."""
+    ranges = r.groupBy("sid", F.shiftright("key", 51).alias("at"), "rest").agg(F.sum("size").alias("n"), F.max("key").alias("end"))
+    first = _boundary(ranges.withColumn("base", F.lit(0).cast("long")))
     one = r.join(near(first.select("sid", F.col("at").alias("at1"), "base")), "sid").filter(F.shiftright("key", 51) == F.col("at1"))
     second = _boundary(one.groupBy("sid", F.shiftright("key", 39).alias("at"), "rest", "base").agg(F.sum("size").alias("n")))
     two = r.drop("rest").join(near(second), "sid").filter(F.shiftright("key", 39) == F.col("at"))
@@ -91,21 +92,50 @@ def passes(rows: DataFrame, sources: DataFrame, seed: int, near, scratch: Scratc
     ends = (two.groupBy("sid", "key", "at", "base", "rest").agg(F.sum("size").alias("n"))
             .withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(run), F.lit(0)))
             .withColumn("take", F.col("before") + F.col("n") <= F.col("rest")))
-    cuts = ends.groupBy("sid").agg(F.coalesce(F.max(F.when(F.col("take"), F.col("key"))),
-                                              F.shiftleft(F.max("at"), 39) - 1).alias("cut"),
-                                   (F.max("rest") - F.max(F.when(F.col("take"), F.col("before") + F.col("n")).otherwise(F.col("base")))).alias("gap"))
-    # what is missing up to the target is filled by the largest documents beyond the cut that fit, one a round
-    filled = cuts.withColumn("extra", F.array().cast("array<bigint>"))
-    for _ in range(FILLS):
-        fits = (r.select("sid", "key", "size").join(near(filled), "sid")
-                .filter("key > cut and size > 0 and size <= gap and not array_contains(extra, key)")
-                .groupBy("sid").agg(F.max(F.struct("size", "key")).alias("best")))
-        filled = scratch.keep(filled.join(near(fits), "sid", "left").select(
-            "sid", "cut", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
-            F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.key"))).alias("extra")), "cuts")
-    every = F.when((F.col("rest") > 0) & (F.col("source_size") > 0), F.lit((1 << 63) - 1)).otherwise(F.lit(-1))
-    return (s.join(filled.drop("gap"), "sid", "left").withColumn("cut", F.coalesce("cut", every))
-            .withColumn("extra", F.coalesce("extra", F.array().cast("array<bigint>"))).drop("rest"))
+    cuts = ends.groupBy("sid").agg(F.coalesce(F.max(F.when(F.col("take"), F.col("key"))), F.shiftleft(F.max("at"), 39) - 1).alias("cut"),
+                                   F.coalesce(F.min(F.when(~F.col("take"), F.col("key"))), F.lit(LAST)).alias("stop"),
+                                   F.max(F.when(F.col("take"), F.col("before") + F.col("n")).otherwise(F.col("base"))).alias("used"))
+    # where all rows together do not reach the rest, there is no boundary: all are taken
+    whole = ranges.groupBy("sid", "rest").agg(F.sum("n").alias("all"), F.max("end").alias("end"))
+    return whole.join(near(cuts), "sid", "left").select(
+        "sid", F.coalesce("cut", "end").alias("cut"), F.coalesce("stop", F.lit(LAST)).alias("stop"),
+        (F.col("rest") - F.coalesce("used", "all")).alias("gap"))
+
+
+def passes(rows: DataFrame, sources: DataFrame, seed: int, near, scratch: Scratch) -> DataFrame:
+    """sources with ``full`` (whole passes) and ``steps`` of the last pass: it takes
+    the rows with an order key beyond ``lo`` up to ``hi`` that have a ``unit`` (the
+    words of the rows at one place) of at most ``fit``, for each step."""
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    s = sources.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+    open_ = s.filter("rest > 0 and source_size > 0").select("sid", "full", "rest")
+    r = rows.join(near(open_), "sid").withColumn("key", order_key(F.col("full"), seed)).select("sid", "key", "size", "unit", "rest")
+    step = lambda lo, hi, fit: F.array(F.struct(lo.alias("lo"), hi.alias("hi"), fit.cast("double").alias("fit")))
+    state = scratch.keep(_cut(r, near).select("sid", "stop", "gap", step(F.lit(-1).cast("long"), F.col("cut"), F.lit(math.inf)).alias("steps")), "cuts")
+    # a row that does not fit never will, so each round has fewer rows, and each takes or drops some
+    fits = (F.col("size") > 0) & (F.col("key") > F.col("stop")) & (F.col("unit") <= F.col("gap"))
+    beyond = r.drop("rest")
+    while True:
+        beyond = scratch.keep(beyond.join(near(state.select("sid", "stop", "gap")), "sid").filter(fits).select(
+            "sid", "key", "size", "unit", F.col("gap").alias("rest")), "beyond")
+        if beyond.isEmpty():
+            break
+        found = _cut(beyond, near).select("sid", "cut", F.col("stop").alias("next_stop"), F.col("gap").alias("next_gap"))
+        more = F.when(F.col("cut").isNull(), F.col("steps")).otherwise(F.concat("steps", step(F.col("stop"), F.col("cut"), F.col("gap"))))
+        state = scratch.keep(state.join(near(found), "sid", "left").select(
+            "sid", F.coalesce("next_stop", "stop").alias("stop"), F.coalesce("next_gap", "gap").alias("gap"), more.alias("steps")), "cuts")
+        beyond = beyond.drop("rest")
+    return s.drop("rest").join(state.select("sid", "steps"), "sid", "left")
+
+
+def _units(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with ``unit``: the words of the rows of the source that repeat the id and the size, which are taken together."""
+    again = scratch.keep(rows.filter("size > 0").groupBy("sid", "id", "size").agg(F.count("*").alias("n")).filter("n > 1"), "repeats")
+    if again.isEmpty():
+        return rows.withColumn("unit", F.col("size"))
+    a = few(again.select(F.col("sid").alias("rs"), F.col("id").alias("ri"), F.col("size").alias("rz"), "n"))
+    same = (F.col("sid") == F.col("rs")) & (F.col("size") == F.col("rz")) & F.col("id").eqNullSafe(F.col("ri"))
+    return rows.join(a, same, "left").withColumn("unit", F.col("size") * F.coalesce("n", F.lit(1))).drop("rs", "ri", "rz", "n")
 
 
 def _draw(k: Column, total: Column, n: Column, u: Column) -> Column:
@@ -186,8 +216,9 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     count = sources.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
     near = F.broadcast if count["n"] <= FEW else (lambda df: df)
     rows = sized.join(near(sources.select("sid", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    rows = _units(rows, scratch)
     per_pass = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
-    end = F.greatest("cut", F.coalesce(F.array_max("extra"), F.lit(-1)))
+    end = F.coalesce(F.array_max(F.transform("steps", lambda t: t["hi"])), F.lit(-1))
     part = F.when(end < 0, 0).otherwise(_block(end, F.col("b")) + 1)
     plan = scratch.keep(passes(rows, sources, seed, near, scratch).withColumn("b", per_pass).withColumn(
         "blocks", F.when(F.col("source_size") > 0, F.col("full") * F.col("b") + part).otherwise(0).cast("long")), "plan")
@@ -200,8 +231,9 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     owner = runs.select("sid", "shard", F.explode(F.sequence("start", F.col("start") + F.col("quota") - 1)).alias("place"))
 
     r = rows.join(near(plan.withColumnRenamed("blocks", "q")), "sid")
-    key = order_key(F.col("full"), seed)
-    last = ((key <= F.col("cut")) | F.array_contains("extra", key)).cast("long")
+    r = r.withColumn("key", order_key(F.col("full"), seed))
+    taken = F.exists("steps", lambda t: (F.col("key") > t["lo"]) & (F.col("key") <= t["hi"]) & (F.col("unit") <= t["fit"]))
+    last = F.coalesce(taken, F.lit(False)).cast("long")
     r = r.withColumn("copies", F.when((F.col("size") > 0), F.col("full") + last).otherwise(0))
     copies = F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     r = r.select("id", "sid", "source", "size", "source_size", "target", "b", "q", copies.alias("copy"))

@@ -112,6 +112,32 @@ def test_mix_meets_the_targets(spark):
     assert mixing.mix(spark, d.limit(0)).count() == 0
 
 
+def test_nothing_that_still_fits_is_left_out(spark):
+    """One giant document among many small ones: the last pass goes on behind it."""
+    rng = np.random.default_rng(8)
+    rows, giants = [], 4000
+    for s in range(9):
+        sizes = [giants, *rng.integers(5, 15, 400).tolist()]
+        rows += [(1000 * s + i, "w " * int(n), f"s{s}") for i, n in enumerate(sizes)]
+        rows += [(1000 * s + 7, "w " * sizes[7], f"s{s}"), (None, "w w w", f"s{s}"), (None, "w w w", f"s{s}")]  # taken together
+    out = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=200, shard_words=1500).collect()
+    times, target, total = {}, {}, {}
+    for r in out:
+        key = (r["source"], r["id"], r["size"])
+        times.setdefault(key, []).append(r["copy"])
+        target[r["source"]], total[r["source"]] = r["target"], r["source_size"]
+    late = 0
+    for s, t in target.items():
+        full = int(t // total[s])
+        taken = sum(n * sum(c is not None for c in copies) for (x, _, n), copies in times.items() if x == s)
+        units = {k: k[2] * (2 if k[1] is None or k[1] % 1000 == 7 else 1) for k in times if k[0] == s}
+        left = [units[k] for k in units if full not in times[k]]
+        assert taken <= t + 1e-6
+        assert t - full * total[s] < 1e-6 or all(n > t - taken for n in left)
+        late += giants in left
+    assert late > 1  # the giant lay at the cut, or behind it
+
+
 def test_taken_rows_keep_the_columns(spark):
     d = fx.docs(spark, n=100)
     out = mixing.taken_rows(spark, d, block_words=100, shard_words=700)
