@@ -15,7 +15,8 @@ DataFrame operations and Spark ML only.
    a sample of at most about ``max_rows``; ``scan`` scores all candidates.
 
 The dictionary holds the words that at least ``min_docs`` documents use; it is
-a table, and is joined only with the distinct parts of the candidates.
+a table, and is joined only with the distinct parts of the candidates.  Words
+and letter pairs are counted over all documents.
 
 Defined cases: null and empty texts have no candidate; null ids and paths are
 kept, a null path counts as the empty one; repeated rows give their candidates
@@ -75,15 +76,13 @@ def _class(c: Column) -> Column:
     return F.greatest(F.position(c, F.lit(ALPHABET)), F.lit(1)) - 1
 
 
-def transitions(docs: DataFrame, id_col: str, text_col: str, max_docs: int) -> list[float]:
-    """Log probabilities of the letter pairs in the words of a sample of
-    documents, by ALPHABET: 38 x 38 numbers."""
-    some = at_most(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", max_docs)
-    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), SPACE, " "), r"[^a-z0-9 ]", "#")
-    chars = some.select(F.split(plain, "").alias("c"))
-    pairs = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))
-    seen = chars.filter("size(c) > 1").select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()
-    n = {r["p"]: r["n"] for r in seen if len(r["p"]) == 2}  # bounded by the alphabet
+def transitions(docs: DataFrame, text_col: str) -> list[float]:
+    """Log probabilities of the letter pairs in the words of all documents, by
+    ALPHABET: 38 x 38 numbers."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.col(text_col)), SPACE, " "), r"[^a-z0-9 ]", "#")
+    pairs = F.regexp_extract_all(plain, F.lit("(?=(..))"), 1)  # a match at every character but the last
+    seen = docs.select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()
+    n = {r["p"]: r["n"] for r in seen}  # bounded by the alphabet
     total = {a: sum(n.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
     return [math.log((n.get(a + b, 0) + 0.5) / (total[a] + 20)) for a in ALPHABET for b in ALPHABET]
 
@@ -155,11 +154,11 @@ def scan(described: DataFrame, model: RandomForestClassificationModel | float, t
 
 
 def find_secrets(spark: SparkSession, docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 path_col: str = "source", min_docs: int = 20, max_docs: int = 2000) -> DataFrame:
+                 path_col: str = "source", min_docs: int = 20) -> DataFrame:
     """Scan ``docs`` with a forest fitted on ``findings``: the columns of ``candidates`` and a label."""
     scratch = Scratch(spark, "secrets")
     known = scratch.keep(dictionary(docs, text_col, min_docs), "dictionary")
-    pairs = transitions(docs, id_col, text_col, max_docs)
+    pairs = transitions(docs, text_col)
     labelled = scratch.keep(describe(findings, known, pairs), "findings")
     model = train(labelled)
     found = scratch.keep(candidates(docs, id_col, text_col, path_col), "candidates")

@@ -1,6 +1,8 @@
 """Language, quality, toxicity and secrets: units, edge cases, held-out accuracy at sf0.01."""
 
 import collections
+import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -120,6 +122,17 @@ def test_secret_candidates_and_verdicts(spark):
     assert secrets.find_secrets(spark, d.limit(0), labels.limit(0)).count() == 0
 
 
+def test_letter_pairs_of_all_documents(spark):
+    """Every one of more documents than a sample held counts, the last script too."""
+    texts = [None, "", "x", "İß 漢\t\n  😀z", *(f"Ab{i % 7}_q word{i}" for i in range(5000)), "zz zz"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [re.sub("[^a-z0-9 ]", "#", re.sub(secrets.SPACE, " ", (t or "").lower())) for t in texts]
+    n = collections.Counter(t[i:i + 2] for t in plain for i in range(len(t) - 1))
+    total = collections.Counter(t[i] for t in plain for i in range(len(t) - 1))
+    want = [math.log((n[a + b] + 0.5) / (total[a] + 20)) for a in secrets.ALPHABET for b in secrets.ALPHABET]
+    assert np.allclose(secrets.transitions(d, "text"), want, rtol=0, atol=1e-12)
+
+
 def test_registered_queries_are_complete():
     names = [n for n in ent.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
