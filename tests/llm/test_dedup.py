@@ -90,6 +90,11 @@ def test_minhash_matches_brute_force(spark, monkeypatch, k):
     assert all(r["n_shingles"] == by[r["id"]] for r in got if r["id"] is not None)
 
 
+def test_signature_floor_loses_less_than_the_bands():
+    lost = sum(math.comb(160, i) * 0.8 ** i * 0.2 ** (160 - i) for i in range(160) if i / 160 < minhash.signature_floor(80, 160))
+    assert lost < (1 - 0.8 ** 5) ** 32
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(201, 202), (202, 203), (203, 201), (300, 300)]
     got = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "cc")).collect()}
