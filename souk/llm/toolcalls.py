@@ -17,9 +17,10 @@ arguments, write canonical JSON.
    ``BLOCK`` messages, in canonical JSON: keys sorted, no blanks, UTF-8,
    numbers as JSON reads them, arguments as objects.
 
-Only conversations in which a call needs a later one are sorted by Kahn's
-method, each in one task that gets its calls' identifiers without texts and
-arguments; in all others the order by turn is a topological one already.
+Only calls that are linked by needs, directly or not, with a call that needs a
+later one are sorted by Kahn's method, each such component in one task that gets
+its calls' identifiers without texts and arguments; for all others the order by
+turn is a topological one already.
 
 Defined cases: rows with a null conversation or call id are ``unlinked`` and
 keep their place by turn; null texts are empty; arguments that are null or no
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import Scratch
+from souk.llm.components import components
 
 #: Messages of a conversation that are serialised into one row.
 BLOCK = 4096
@@ -163,41 +165,83 @@ def topological(nodes: list[tuple], needs: dict) -> tuple[list, set]:
     return out + [n[-1] for n in rest], {n[-1] for n in rest}
 
 
-def order(linked: DataFrame) -> DataFrame:
+def _wants(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, need, known, back) for each need: it names a call of
+    the conversation, and one that is not before the call."""
+    wants = calls.select("conv_id", "call_id", F.col("mark").alias("own"), F.explode("needs").alias("need"))
+    theirs = calls.select("conv_id", F.col("call_id").alias("need"), F.col("mark").alias("theirs"))
+    return wants.join(theirs, ["conv_id", "need"], "left").select(
+        "conv_id", "call_id", "need", F.col("theirs").isNotNull().alias("known"), F.coalesce(F.col("theirs") >= F.col("own"), F.lit(False)).alias("back"))
+
+
+def tangles(calls: DataFrame, wants: DataFrame, scratch: Scratch) -> DataFrame:
+    """The calls, with ``root``, of the components of needs (conv_id, root) in
+    which a call needs one that is not before it."""
+    back = wants.filter("back").select("conv_id", "call_id")
+    convs = back.select("conv_id").distinct()
+    # two calls of one hash only share a group
+    node = lambda c: F.xxhash64("conv_id", c)
+    edges = wants.filter("known").join(convs, "conv_id", "left_semi").select(node("call_id").alias("u"), node("need").alias("v"))
+    roots = components(edges, scratch).select(F.col("id").alias("node"), "root")
+    placed = calls.join(convs, "conv_id", "left_semi").withColumn("node", node("call_id")).join(roots, "node", "left")
+    placed = scratch.keep(placed.withColumn("root", F.coalesce("root", "node")).drop("node"), "placed")
+    hit = placed.join(back.distinct(), ["conv_id", "call_id"], "left_semi").select("conv_id", "root").distinct()
+    return placed.join(hit, ["conv_id", "root"], "left_semi")
+
+
+def order(spark: SparkSession, linked: DataFrame) -> DataFrame:
     """(conv_id, call_id, step, turn_after, on_cycle, unknown_needs) of the calls
     proper of conversations in which a call needs one that is not before it.
 
-    Everywhere else (turn, place, id) is a topological order already.  The
-    others' calls come to a task by conversation, identifiers alone."""
-    calls = linked.filter("role_of = 'call'").select("conv_id", "call_id", "turn", "place", "needs")
-    mark = F.struct(F.coalesce("turn", F.lit(0)), F.coalesce("place", F.lit(0)), "call_id")
-    wants = calls.select("conv_id", mark.alias("own"), F.explode("needs").alias("need"))
-    known = calls.select("conv_id", F.col("call_id").alias("need"), mark.alias("theirs"))
-    odd = wants.join(known, ["conv_id", "need"], "left").filter("theirs is null or theirs >= own").select("conv_id").distinct()
+    Everywhere else (turn, place, id) is a topological order already.  Kahn's
+    order is sorted by ``until``, the largest (turn, place, id) of a call and all
+    that it needs, directly or not; calls of equal ``until`` are in one component
+    of needs.  So Kahn's method runs on components, identifiers alone, and
+    only on those with a need that is not before its call."""
+    scratch = Scratch(spark, "toolcalls-order")
+    calls = linked.filter("role_of = 'call'").select(
+        "conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "needs")
+    calls = scratch.keep(calls.withColumn("mark", F.struct("turn", "place", "call_id")), "calls")
+    wants = scratch.keep(_wants(calls), "wants")
 
     def run(table):
         rows = table.to_pylist()
-        needs = {r["call_id"]: [n for n in r["needs"] or () if n is not None] for r in rows}
-        turn = {r["call_id"]: r["turn"] or 0 for r in rows}
-        seq, cyclic = topological([(r["turn"] or 0, r["place"] or 0, r["call_id"]) for r in rows], needs)
-        after, last = [], None
-        for i in seq:  # a call comes no earlier than those it follows
-            last = turn[i] if last is None else max(last, turn[i])
-            after.append(last)
+        mark = {r["call_id"]: (r["turn"], r["place"], r["call_id"]) for r in rows}
+        seq, cyclic = topological(list(mark.values()), {r["call_id"]: [n for n in r["needs"] or () if n is not None] for r in rows})
+        until, most = [], None
+        for i in seq:
+            most = mark[i] if most is None else max(most, mark[i])
+            until.append(mark[i] if i in cyclic else most)
+        turn, place, last = ([u[k] for u in until] for k in range(3))
         return pa.table({"conv_id": pa.array([rows[0]["conv_id"]] * len(seq), pa.int64()), "call_id": pa.array(seq, pa.string()),
-                         "step": pa.array(range(len(seq)), pa.int64()), "turn_after": pa.array(after, pa.int64()),
-                         "on_cycle": pa.array([i in cyclic for i in seq], pa.bool_()),
-                         "unknown_needs": pa.array([sum(n not in needs for n in needs[i]) for i in seq], pa.int64())})
-
-    return calls.join(odd, "conv_id", "left_semi").groupBy("conv_id").applyInArrow(
-        run, "conv_id long, call_id string, step long, turn_after long, on_cycle boolean, unknown_needs long")
+                         "until_turn": pa.array(turn, pa.int64()), "until_place": pa.array(place, pa.int64()), "until_id": pa.array(last, pa.string()),
+                         "at": pa.array(range(len(seq)), pa.int64()), "on_cycle": pa.array([i in cyclic for i in seq], pa.bool_())})
+
+    local = tangles(calls, wants, scratch).groupBy("conv_id", "root").applyInArrow(
+        run, "conv_id long, call_id string, until_turn long, until_place long, until_id string, at long, on_cycle boolean")
+    odd = wants.filter("not known or back").select("conv_id").distinct()
+    unknown = wants.filter("not known and need is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("unknown_needs"))
+    until = F.struct(F.coalesce("until_turn", "turn").alias("turn"), F.coalesce("until_place", "place").alias("place"), F.coalesce("until_id", "call_id").alias("id"))
+    all_ = (calls.join(odd, "conv_id", "left_semi").join(local, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
+            .select("conv_id", "call_id", "turn", until.alias("until"), F.coalesce("at", F.lit(0)).alias("at"),
+                    F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.coalesce("unknown_needs", F.lit(0)).alias("unknown_needs")))
+    all_ = scratch.keep(all_.withColumn("span", F.floor(F.col("until.turn") / SPAN)), "order")
+    # numbers inside spans of turns, as in messages; those on a cycle behind all others
+    before = Window.partitionBy("conv_id").orderBy("on_cycle", "span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = all_.groupBy("conv_id", "on_cycle", "span").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # a call comes no earlier than those it follows
+    sorted_ = all_.filter(~F.col("on_cycle")).groupBy("conv_id").agg(F.max("until.turn").alias("latest"))
+    step = F.col("base") + F.row_number().over(Window.partitionBy("conv_id", "on_cycle", "span").orderBy("until", "at")) - 1
+    return all_.join(spans, ["conv_id", "on_cycle", "span"]).join(sorted_, "conv_id", "left").select(
+        "conv_id", "call_id", step.cast("long").alias("step"),
+        F.when(F.col("on_cycle"), F.greatest("latest", "turn")).otherwise(F.col("until.turn")).alias("turn_after"), "on_cycle", "unknown_needs")
 
 
 def messages(spark: SparkSession, turns: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per turn, call and result: conv_id, seq (from 0 in its
     conversation), kind, call_id, role_of, valid, json (canonical)."""
     c, r = link(calls, results)
-    c = validate(c, schemas).join(order(c), ["conv_id", "call_id"], "left")
+    c = validate(c, schemas).join(order(spark, c), ["conv_id", "call_id"], "left")
     proper = F.col("role_of") == "call"
     c = c.withColumn("turn_after", F.coalesce("turn_after", "turn")).withColumn("step", F.when(proper, F.coalesce("step", F.lit(0))))
     slot = lambda turn, kind, step, place, res: F.struct(

@@ -1,11 +1,14 @@
 """Tool-call linking, ordering, validation and canonical JSON."""
 
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from souk.llm import registry, standins, toolcalls
+from souk.llm.common import Scratch
 
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "additionalProperties": False,
                  "properties": {"x": {"type": "integer", "minimum": 0}, "tags": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}}}}}
@@ -62,6 +65,36 @@ def test_linking(spark):
     assert toolcalls.messages(spark, turns.limit(0), calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
+def test_a_large_conversation_is_sorted_in_parts(spark):
+    """The order is Kahn's over the whole conversation, though no task holds it."""
+    rng, rows = random.Random(6), []
+    for conv, n in ((1, 1500), (2, 40)):
+        for t in range(n):
+            needs = [f"c{t + 2}"] if rng.random() < 0.05 else [f"c{t - 2}"] if t > 5 and t % 9 else []
+            if rng.random() < 0.05:
+                needs += [f"c{rng.randrange(max(0, t - 9), t + 9)}", "none", None]
+            rows.append((conv, f"c{t}", t // 3 if t % 50 else None, t % 3, needs, "call"))
+    rows += [(3, "c0", 0, 0, ["c0"], "call"), (3, "c1", 1, 0, None, "call"), (4, "c0", 0, 0, ["none"], "call")]
+    linked = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, place long, needs array<string>, role_of string")
+    got = toolcalls.order(spark, linked).collect()
+    for conv in (1, 2, 3, 4):
+        mine = [r for r in rows if r[0] == conv]
+        needs = {r[1]: [x for x in r[4] or () if x is not None] for r in mine}
+        seq, cyclic = toolcalls.topological([(r[2] or 0, r[3], r[1]) for r in mine], needs)
+        turn, after = {r[1]: r[2] or 0 for r in mine}, 0
+        out = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["step"])
+        assert [r["call_id"] for r in out] == seq and [r["step"] for r in out] == list(range(len(seq)))
+        for r in out:
+            after = max(after, turn[r["call_id"]])
+            assert (r["turn_after"], r["on_cycle"]) == (after, r["call_id"] in cyclic)
+            assert r["unknown_needs"] == sum(x not in needs for x in needs[r["call_id"]])
+        assert conv != 1 or 50 < len(cyclic) < 1000
+    scratch = Scratch(spark, "test-order")
+    calls = scratch.keep(linked.withColumn("mark", F.struct(F.coalesce("turn", F.lit(0)), "place", "call_id")), "calls")
+    sizes = [r["count"] for r in toolcalls.tangles(calls, toolcalls._wants(calls), scratch).groupBy("conv_id", "root").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 300
+
+
 def test_every_row_of_the_table_is_there(spark):
     sf = "/root/testdata/sf0.001"
     calls, results = standins.tool_calls(spark, sf)
