@@ -117,8 +117,8 @@ def dedup(spark: SparkSession, docs: DataFrame, stream: DataFrame | None = None,
     groups = scratch.keep(group_stream(spark, fp._scratch_path, fp.schema, scratch, max_files_per_trigger), "top")
     rows = _located(fp)
     found = _check_bytes(docs, rows, groups, scratch, id_col, text_col)
-    if digest is not sha256_of:  # a weaker digest may give an id's other texts, too
-        found = found.filter(digest(F.col("body")) == F.col("digest"))
+    # an id may have other texts, too, and a null id is any of several rows'
+    found = found.filter(digest(F.col("body")) == F.col("digest"))
     classes = scratch.keep(found.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest")
                            .agg(F.count("*").alias("texts")).filter("texts > 1"), "collisions")
     out = rows.join(groups, "digest", "left")

@@ -50,6 +50,21 @@ def test_exact_checks_full_bytes(spark):
             assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(ids), len(ids), i == max(ids))
 
 
+def test_exact_repeated_ids_with_different_texts(spark):
+    rows = [(5, "a"), (5, "b"), (6, "A"), (None, "a"), (None, "c"), (None, "d"), (7, "d"), (8, None), (8, "e"), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(fx.lower(t), []).append(i)
+    got = exact_dedup.dedup(spark, d).collect()
+    want = [(i, hashlib.sha256(fx.lower(t).encode()).hexdigest(), max((x for x in groups[fx.lower(t)] if x is not None), default=None),
+             len(groups[fx.lower(t)])) for i, t in rows]
+    assert sorted(map(str, want)) == sorted(str((r["id"], r["digest"], r["keep_id"], r["group_size"])) for r in got)
+    assert sum(r["kept"] for r in got) == len(groups)
+    kept = exact_dedup.keep_rows(spark, d).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(map(str, [(5, "b"), (6, "A"), (None, "c"), (7, "d"), (8, None), (8, "e")]))
+
+
 def test_exact_stream_goes_on_from_its_state(spark, tmp_path):
     schema = "id long, digest string, n_bytes int"
     path, state = str(tmp_path / "fp"), str(tmp_path / "state")
