@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from souk.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, quality, samples, secrets, standins, toolcalls, toxicity
+from souk.llm import (embedding_dedup, exact_dedup, filter_audit, langid, minhash, mixing, packing, quality, samples, secrets, standins,
+                      toolcalls, toxicity)
 from souk.llm.common import crc_mod
 
 
@@ -93,6 +94,12 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.conversations(rows)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over every document, in every order, for each source."""
+    failed = filter_audit.failures(_table(spark, sf_dir, "documents"))
+    return filter_audit.audit(spark, filter_audit.mask_counts(failed, _table(spark, sf_dir, "labels"))).drop("filter")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
@@ -105,6 +112,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_tool_calls": op10_tool_calls,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES = {
@@ -116,5 +124,48 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY body)
+""",
+    "op12_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+f AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM w),
+known AS (
+  SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+         || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+         count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM f LEFT JOIN known USING (doc_id) GROUP BY 1, 2),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, filter_order[1:step - 1] AS earlier
+  FROM (SELECT DISTINCT part FROM m), orders, range(1, 6) g(step)),
+marked AS (
+  SELECT steps.*, n, good, toxic, contains(failed, filter) AS fails, failed = filter AS alone,
+         len(list_filter(string_split(earlier, ''), lambda x: x <> '' AND contains(failed, x))) > 0 AS gone
+  FROM steps JOIN m USING (part)),
+counted AS (
+  SELECT part, filter_order, step::int AS step, filter,
+         sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::bigint AS kept,
+         sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::bigint AS removed,
+         sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::bigint AS redundant,
+         sum(CASE WHEN alone THEN n ELSE 0 END)::bigint AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::bigint AS good_lost,
+         sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::bigint AS toxic_lost
+  FROM marked GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter))::bigint AS shapley
+FROM counted
 """,
 }
