@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from souk.llm import (embedding_dedup, exact_dedup, filter_audit, langid, minhash, mixing, packing, quality, samples, secrets, standins,
-                      toolcalls, toxicity)
+from souk.llm import (decontaminate, embedding_dedup, exact_dedup, filter_audit, langid, minhash, mixing, packing, quality, samples, secrets,
+                      standins, toolcalls, toxicity)
 from souk.llm.common import crc_mod
 
 
@@ -100,6 +100,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, filter_audit.mask_counts(failed, _table(spark, sf_dir, "labels"))).drop("filter")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item: shared windows of ten words."""
+    out = decontaminate.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
@@ -113,6 +120,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_tool_calls": op10_tool_calls,
     "op12_filter_audit": op12_filter_audit,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES = {
@@ -167,5 +175,32 @@ counted AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        (sum(removed) OVER (PARTITION BY part, filter))::bigint AS shapley
 FROM counted
+""",
+    "op13_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE item_id IS NOT NULL),
+il AS (SELECT item_id, words, least(len(words), 10) AS n FROM i WHERE len(words) > 0),
+iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(words[s:s + n - 1], ' ') AS w
+  FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM il)),
+dw AS (
+  SELECT r, n, s, array_to_string(words[s:s + n - 1], ' ') AS w
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS s
+        FROM d, (SELECT DISTINCT n FROM iw) WHERE len(words) >= n)),
+found AS (SELECT r, s, n, item_id FROM dw JOIN iw USING (n, w)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM found)) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT r, item_id::varchar AS item FROM found) GROUP BY r)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """,
 }
