@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from souk.llm import (decontaminate, embedding_dedup, exact_dedup, filter_audit, langid, minhash, mixing, packing, quality, samples, secrets,
-                      standins, toolcalls, toxicity)
+                      spelling, standins, toolcalls, toxicity)
 from souk.llm.common import crc_mod
 
 
@@ -94,6 +94,12 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.conversations(rows)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents, its near words, form and root."""
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"), slip=spelling.every_nth_run_slips(199))
+    return spelling.groups(spark, words)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over every document, in every order, for each source."""
     failed = filter_audit.failures(_table(spark, sf_dir, "documents"))
@@ -119,10 +125,21 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_tool_calls": op10_tool_calls,
+    "op11_spelling": op11_spelling,
     "op12_filter_audit": op12_filter_audit,
     "op13_decontamination": op13_decontamination,
 }
 
+def _crc_table() -> list[int]:
+    """The byte table of CRC-32 (reflected polynomial), for an engine without the function."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    return table
+
+
 ORACLES = {
     "op9_exact_dedup": """
 WITH d AS (
@@ -133,6 +150,38 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY body)
 """,
+    "op11_spelling": r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::varchar, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS raw FROM documents),
+low AS (
+  SELECT id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs),
+bytes AS (SELECT run, hex(encode(id || ':' || run)) AS x FROM low),
+hashed AS (
+  SELECT run, xor(4294967295::ubigint, list_reduce(
+           list_prepend(4294967295::ubigint, list_transform(range(0, length(x), 2), lambda i: ('0x' || x[i + 1:i + 2])::ubigint)),
+           lambda c, b: xor(c >> 8, (CRC_TABLE::ubigint[])[((xor(c, b) & 255) + 1)::bigint]))) AS h
+  FROM bytes),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))::bigint] || run[(h % length(run))::bigint + 2:] ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+cut AS (
+  SELECT word, pos, word[1:pos - 1] || word[pos + 1:] AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.less = b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.less = b.less AND a.pos = b.pos AND a.word <> b.word),
+near AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.other, (-w.n, encode(p.other))) AS best, max(w.n) AS m
+  FROM pairs p JOIN words w ON w.word = p.other GROUP BY p.word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN best END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+up AS (
+  SELECT word, word AS root, 0 AS d FROM forms
+  UNION ALL SELECT up.word, f.form, d + 1 FROM up JOIN forms f ON f.word = up.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, d) AS root FROM up GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::double AS form_n FROM forms JOIN last USING (word)
+""".replace("CRC_TABLE", str(_crc_table())),
     "op12_filter_audit": r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
