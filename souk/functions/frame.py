@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk.session import checkpoint_dir
+
 
 def _cols(cols) -> list[Column]:
     if isinstance(cols, (str, Column)):
@@ -119,57 +121,41 @@ def in_batch_first(df: DataFrame, keys, seq: str, flag: str = "_first") -> DataF
     return df.withColumn(flag, F.row_number().over(w) == 1)
 
 
-# Rows of one key are split into seq ranges of this width; with unique seq a
-# range holds at most this many rows, whatever the key's total.
-SEQ_RANGE = 1 << 20
-
-
-def _range_of(seq: str, width: int) -> Column:
-    return F.floor(F.col(seq) / F.lit(width)).cast("bigint")
-
-
-def chunked_runs(df: DataFrame, key: str, seq: str, value: str, width: int = SEQ_RANGE) -> DataFrame:
-    """Runs of equal ``value`` along ``seq`` within ``key``: ``_start`` (the
-    row's value differs from the previous row's) and ``_run`` (running count
-    of starts) — ``lag`` and a running sum, computed without putting a whole
-    key into one task.
-
-    Each key is cut into seq ranges (``seq`` unique, so a range has at most
-    ``width`` rows); runs are found inside each range, each range is
-    summarised (first value, last value, starts), and a prefix over the
-    summaries — ``width`` times fewer rows — stitches the ranges together."""
-    d = df.withColumn("_rg", _range_of(seq, width))
-    wl = Window.partitionBy(key, "_rg").orderBy(seq)
-    d = (d.withColumn("_lprev", F.lag(value).over(wl))
-          .withColumn("_lstart", F.col("_lprev").isNull() | (F.col("_lprev") != F.col(value)))
-          .withColumn("_lrun", F.sum(F.col("_lstart").cast("bigint")).over(wl.rowsBetween(Window.unboundedPreceding, 0))))
-    s = d.groupBy(key, "_rg").agg(F.min_by(value, seq).alias("_fv"), F.max_by(value, seq).alias("_lv"),
-                                  F.sum(F.col("_lstart").cast("bigint")).alias("_ns"))
-    ws = Window.partitionBy(key).orderBy("_rg")
-    s = (s.withColumn("_plv", F.lag("_lv").over(ws))
-          .withColumn("_cont", F.coalesce(F.col("_fv") == F.col("_plv"), F.lit(False)))
-          .withColumn("_adj", F.col("_ns") - F.col("_cont").cast("bigint"))
-          .withColumn("_before", F.coalesce(F.sum("_adj").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
-                                            F.lit(0).cast("bigint"))))
-    d = d.join(s.select(key, "_rg", "_plv", "_cont", "_before"), [key, "_rg"])
-    start = F.when(F.col("_lprev").isNull(), ~F.col("_cont")).otherwise(F.col("_lstart"))
-    run = F.col("_before") + F.col("_lrun") - F.col("_cont").cast("bigint")
-    return (d.withColumn("_start", start).withColumn("_run", run)
-             .drop("_rg", "_lprev", "_lstart", "_lrun", "_plv", "_cont", "_before"))
-
-
-def chunked_last_before(df: DataFrame, key: str, seq: str, value: Column, name: str,
-                        width: int = SEQ_RANGE, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """``name`` = the last non-null ``value`` of an earlier row (by ``seq``,
-    then ``tiebreak``) of the same ``key`` — ``last(value, ignorenulls)``
-    over the preceding rows — computed per seq range plus a prefix over
-    range summaries, so no key is sorted as a whole in one task."""
-    d = df.withColumn("_rg", _range_of(seq, width)).withColumn("_val", value)
-    wl = Window.partitionBy(key, "_rg").orderBy(seq, *tiebreak)
-    d = d.withColumn("_local", F.last("_val", ignorenulls=True).over(wl.rowsBetween(Window.unboundedPreceding, -1)))
-    pos = F.struct(F.col(seq), *[F.col(t) for t in tiebreak])
-    s = d.groupBy(key, "_rg").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), pos)).alias("_last"))
-    ws = Window.partitionBy(key).orderBy("_rg")
-    s = s.withColumn("_prev", F.last("_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(s.select(key, "_rg", "_prev"), [key, "_rg"])
-    return d.withColumn(name, F.coalesce("_local", "_prev")).drop("_rg", "_val", "_local", "_prev")
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` cut into ``ranges`` (the session's shuffle partitions) slices of the
+    total order by keys and ``order``, about equal in rows however the keys or
+    the order values are spread; ``_rg`` numbers them in that order.  A key
+    with a third of all rows lies in a third of the slices.
+
+    The cuts are sampled, so the rows are checkpointed with their numbers:
+    whatever reads them later sees the same ones."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(n, *keys, *order).withColumn("_rg", F.spark_partition_id()).checkpoint()
+
+
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                ranges: int | None = None, after: bool = False) -> DataFrame:
+    """Per row and for each name of ``values``: the last non-null value of an
+    earlier row (by ``order``) of the same keys, as ``last(value, ignorenulls)``
+    over the preceding rows would give; with ``after`` the first one of a later row.
+
+    One segmented scan: the running values inside each slice of ``ranged``, a
+    summary row for each slice of the keys that lie in several (at most two
+    keys a slice do without filling it, so no more than twice as many rows as
+    slices), a prefix over the summaries and a broadcast of it."""
+    cols = list(df.columns)
+    d = ranged(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, order, ranges)
+    by = [F.col(c).desc() if after else F.col(c) for c in order]
+    before = lambda *p: Window.partitionBy(*p).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.select(*cols, "_rg", *[F.last(f"_v_{n}", ignorenulls=True).over(before(*keys, "_rg")).alias(f"_l_{n}") for n in values])
+
+    wide = d.groupBy(*keys).agg(F.min("_rg").alias("_lo"), F.max("_rg").alias("_hi")).filter("_lo < _hi").select(*keys)
+    pos = F.struct(*order)
+    pick = F.min_by if after else F.max_by
+    own = d.join(F.broadcast(wide), list(keys), "left_semi").groupBy(*keys, "_rg").agg(
+        *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_s_{n}") for n in values])
+    over = Window.partitionBy(*keys).orderBy(F.col("_rg").desc() if after else "_rg").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.select(*keys, "_rg", *[F.last(f"_s_{n}", ignorenulls=True).over(over).alias(f"_c_{n}") for n in values])
+    out = local.join(F.broadcast(carried), [*keys, "_rg"], "left")
+    return out.select(*cols, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values])

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.frame import (SEQ_RANGE, chunked_last_before, chunked_runs, first_reason, last_by,
-                                 update_by_key)
+from souk.functions.frame import first_reason, last_before, last_by, update_by_key
 from souk.functions.ids import hmac_sha256_hex
 from souk.functions.text import col_truthy, extname
 from souk.operators import notify
@@ -97,7 +96,7 @@ DEFAULT_REJECTION = "Content did not meet requirements"
 SUBMITTABLE = ("accepted", "content_rejected")
 
 
-def content_review(m, cmds: DataFrame, batch_ts, width: int = SEQ_RANGE) -> JobResult:
+def content_review(m, cmds: DataFrame, batch_ts, ranges: int | None = None) -> JobResult:
     """T8 + T9 together: ``kind`` 'submit' (creator sends content) or
     'reject' (brand rejects it).
 
@@ -106,16 +105,17 @@ def content_review(m, cmds: DataFrame, batch_ts, width: int = SEQ_RANGE) -> JobR
     a file or a URL.  Reject: booking exists → actor is the brand → status
     content_submitted.
 
-    The status gate depends on earlier commands of the same booking.  A
-    command that passes every other gate succeeds exactly when the previous
-    successful command of its booking was of the other kind (or, for the
-    first one, when the stored status allows it): the successes are the
-    first command of each run of equal kinds.  That is a ``lag`` and a
-    running count per booking, and a second running ``last`` gives every
-    command the status it saw, hence its reason.  Both are computed over
-    bounded seq ranges stitched by a prefix over range summaries
-    (``chunked_runs``, ``chunked_last_before``), so a booking holding a
-    third of all commands is still spread over many tasks."""
+    The status gate depends on earlier commands of the same booking.  Take
+    the commands that pass every other gate.  Of these a command succeeds
+    exactly when the last success was of the other kind or, before any
+    success, when the stored status allows it.  So with ``p`` the kind of the
+    last such command before it, it succeeds if p differs from its kind, or if
+    there is none and the status allows it; and the status any command sees is
+    the stored one as long as all such commands before it are of the booking's
+    first kind and that was not allowed, else that of p.  This takes one
+    segmented scan for p (``last_before``, whose slices hold equal numbers of
+    commands however many are of one booking) and the first command of each
+    kind per booking, a partial aggregate."""
     b = m["bookings"].alias("bk")
     cp = user_of_creator(m)
     bp = m["brand_profiles"].select(F.col("id").alias("_bp_id"), F.col("user_id").alias("brand_user_id"))
@@ -138,14 +138,17 @@ def content_review(m, cmds: DataFrame, batch_ts, width: int = SEQ_RANGE) -> JobR
                                                               (has_file | col_truthy("content_url"), "no_content")))))
     cls0 = F.when(F.col("status0").isin(*SUBMITTABLE), "A").when(F.col("status0") == "content_submitted", "B")
     c = c.withColumn("_cls0", F.coalesce(cls0, F.lit("X")))
-    eff = c.filter(F.col("_pre").isNull() & F.col("_post").isNull()).select("cmd_id", "booking_id", "seq", "kind", "_cls0")
-    eff = chunked_runs(eff, "booking_id", "seq", "kind", width)
-    allowed0 = ((F.col("kind") == "submit") & (F.col("_cls0") == "A")) | ((F.col("kind") == "reject") & (F.col("_cls0") == "B"))
-    eff = eff.withColumn("_valid", (F.col("_cls0") != "X") & F.col("_start") & ((F.col("_run") > 1) | allowed0))
-    c = c.join(eff.select(F.col("cmd_id").alias("_ec"), "_valid"), F.col("cmd_id") == F.col("_ec"), "left").drop("_ec")
-    c = c.withColumn("_valid", F.coalesce("_valid", F.lit(False)))
-    c = chunked_last_before(c, "booking_id", "seq", F.when(F.col("_valid"), F.col("kind")), "_kb", width)
-    state = F.when(F.col("_kb") == "submit", "B").when(F.col("_kb") == "reject", "A").otherwise(F.col("_cls0"))
+    c = c.withColumn("_eff", F.when(F.col("_pre").isNull() & F.col("_post").isNull(), F.col("kind")))
+    c = last_before(c, ["booking_id"], ["seq", "cmd_id"], {"_p": F.col("_eff")}, ranges)
+    first = c.filter(F.col("_eff").isNotNull()).groupBy(F.col("booking_id").alias("_fb")).agg(
+        F.min(F.when(is_submit, F.col("seq"))).alias("_first_s"), F.min(F.when(~is_submit, F.col("seq"))).alias("_first_r"))
+    c = c.join(first, F.col("booking_id") == F.col("_fb"), "left").drop("_fb")
+    # the first kind was not allowed by the stored status, and the other kind has not come yet
+    submit_first = F.coalesce(F.col("_first_s") < F.col("_first_r"), F.col("_first_r").isNull())
+    refused = F.when(submit_first, F.col("_cls0") != "A").otherwise(F.col("_cls0") != "B")
+    other = F.when(submit_first, F.col("_first_r")).otherwise(F.col("_first_s"))
+    none_yet = (F.col("_cls0") == "X") | F.col("_p").isNull() | (refused & (other.isNull() | (F.col("seq") <= other)))
+    state = F.when(none_yet, F.col("_cls0")).when(F.col("_p") == "submit", "B").otherwise("A")
     state_ok = F.when(is_submit, state == "A").otherwise(state == "B")
     c = c.withColumn("reason", F.coalesce(F.col("_pre"), F.when(~state_ok, F.lit("bad_status")), F.col("_post")))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from souk.functions.frame import SEQ_RANGE, chunked_last_before
+from souk.functions.frame import last_before
 from souk.operators import notify, ratings
 from souk.streaming.runner import file_stream, latest_per_key, write_epoch
 
@@ -95,34 +95,29 @@ def presence_stream(spark: SparkSession, source: str, log: str, checkpoint: str,
 
 
 # ------------------------------------------------------------------ W3
-def deliver_online(notifications: DataFrame, presence: DataFrame, width: int = SEQ_RANGE) -> DataFrame:
+def deliver_online(notifications: DataFrame, presence: DataFrame, ranges: int | None = None) -> DataFrame:
     """W3 batch (an as-of join): a notification is pushed iff, at its
     creation time, the user's latest registration happened before it and
     that socket was not disconnected in between; otherwise it is only
-    stored.  One timeline per user (union of both inputs, a notification
-    ordered before a presence event of the same instant) and three running
-    ``last`` values — current socket, last registration, last disconnect of
-    the then-current socket — each computed over bounded time ranges plus a
-    prefix over range summaries (``chunked_last_before``), so a user with a
-    third of all events is not sorted in one task."""
-    tl = delivery_timeline(notifications, presence)
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    tl = tl.withColumn("_seq", F.timestamp_diff("MICROSECOND", epoch, F.col("t")) * 2 + F.col("rank"))
+    stored (a notification comes before a presence event of the same instant).
+
+    Two segmented scans (``last_before``): over the presence events, the next
+    disconnect of each registration's user and socket; over one timeline per
+    user of registrations and notifications, the last registration with the
+    end found for it.  The slices hold equal numbers of rows, so neither a
+    user with a third of all events nor one crowded instant meets one task."""
     stamp = F.struct("t", "rank", "k")
-    is_reg = F.col("kind") == "register"
-    tie = ["k"]
-    tl = chunked_last_before(tl, "user_id", "_seq", F.when(is_reg, F.col("socket_id")), "_cur_b", width, tie)
-    tl = tl.withColumn("_cur", F.coalesce(F.when(is_reg, F.col("socket_id")), F.col("_cur_b")))
-    tl = chunked_last_before(tl, "user_id", "_seq", F.when(is_reg, stamp), "_reg_b", width, tie)
-    tl = tl.withColumn("_reg_t", F.coalesce(F.when(is_reg, stamp), F.col("_reg_b")))
-    eff = (F.col("kind") == "disconnect") & (F.col("socket_id") == F.col("_cur"))
-    tl = chunked_last_before(tl, "user_id", "_seq", F.when(eff, stamp), "_disc_b", width, tie)
-    tl = tl.withColumn("_disc_t", F.coalesce(F.when(eff, stamp), F.col("_disc_b")))
-    out = tl.filter(F.col("kind") == "notify")
-    online = F.col("_reg_t").isNotNull() & (F.col("_disc_t").isNull() | (F.col("_disc_t") < F.col("_reg_t")))
+    ends = delivery_timeline(notifications, presence).filter(F.col("kind") != "notify")
+    ends = last_before(ends, ["user_id", "socket_id"], ["t", "rank", "k"],
+                       {"_end": F.when((F.col("kind") == "disconnect") & F.col("socket_id").isNotNull(), stamp)}, ranges, after=True)
+    regs = ends.filter(F.col("kind") == "register")
+    notes = delivery_timeline(notifications, presence).filter(F.col("kind") == "notify")
+    tl = regs.unionByName(notes, allowMissingColumns=True)
+    at = F.when(F.col("kind") == "register", F.struct("socket_id", "_end"))
+    out = last_before(tl, ["user_id"], ["t", "rank", "k"], {"_reg": at}, ranges).filter(F.col("kind") == "notify")
+    online = F.col("_reg").isNotNull() & (F.col("_reg._end").isNull() | (F.col("_reg._end") > stamp))
     return out.select(F.col("notification_id").alias("id"), "user_id", F.col("t").alias("created_at"),
-                      F.coalesce(online, F.lit(False)).alias("delivered"),
-                      F.when(online, F.col("_cur")).alias("socket_id"))
+                      online.alias("delivered"), F.when(online, F.col("_reg.socket_id")).alias("socket_id"))
 
 
 DELIVERY_IN = T.StructType([

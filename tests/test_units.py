@@ -94,25 +94,33 @@ def test_js_parsers():
     assert js_parse_int("abc") != js_parse_int("abc")  # NaN
 
 
-def test_chunked_scans_equal_plain_windows(spark):
+def test_segmented_scan_equals_plain_windows(spark):
     import random
 
     from pyspark.sql import Window
 
-    from souk.functions.frame import chunked_last_before, chunked_runs
+    from souk.functions.frame import last_before
     rnd = random.Random(7)
-    rows = [(f"k{rnd.randrange(3)}", s, rnd.choice(["a", "b"]), rnd.choice([None, "x", "y"]))
-            for s in rnd.sample(range(1000), 300)]
-    df = spark.createDataFrame(rows, "k string, seq long, v string, w string")
-    w = Window.partitionBy("k").orderBy("seq")
-    prev = F.lag("v").over(w)
-    plain = (df.withColumn("_start", prev.isNull() | (prev != F.col("v")))
-               .withColumn("_run", F.sum(F.col("_start").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("lb", F.last("w", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    want = sorted(tuple(r) for r in plain.collect())
-    for width in (1, 7, 50, 1 << 20):
-        got = chunked_last_before(chunked_runs(df, "k", "seq", "v", width), "k", "seq", F.col("w"), "lb", width)
-        assert sorted(tuple(r) for r in got.select(*plain.columns).collect()) == want, width
+    rows = [(rnd.choice(["hot", "hot", "k1", "k2", None]), s // 3, s, rnd.choice(["a", "b"]), rnd.choice([None, None, "x", "y"]))
+            for s in rnd.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "k string, seq long, id long, v string, w string").filter("k is not null")
+    for after in (False, True):
+        by = [F.col(c).desc() if after else F.col(c) for c in ("seq", "id")]
+        w = Window.partitionBy("k").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        want = df.select("*", F.last("v", ignorenulls=True).over(w).alias("lv"), F.last("w", ignorenulls=True).over(w).alias("lw"))
+        for ranges in (1, 3, 40):
+            got = last_before(df, ["k"], ["seq", "id"], {"lv": F.col("v"), "lw": F.col("w")}, ranges, after)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (after, ranges)
+
+
+def test_slices_hold_equal_numbers_of_rows(spark):
+    """A user with a third of all rows, half of them at one instant, fills no slice."""
+    from souk.functions.frame import ranged
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 500)).alias("user"),
+                                    F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("t"), "id")
+    sizes = [r["count"] for r in ranged(df, ["user"], ["t", "id"], 30).groupBy("user", "_rg").count().collect()]
+    assert max(sizes) <= 2 * 30_000 / 30 and sum(sizes) == 30_000
 
 
 def test_amounts_round_half_away_from_zero(spark):
