@@ -172,6 +172,7 @@ REGISTRY.update({
 
 # ---------------------------------------------------------------- table jobs
 from souk.plans import bookings as bjobs  # noqa: E402
+from souk.plans import payments as pjobs  # noqa: E402
 from souk.plans import withdrawals as wjobs  # noqa: E402
 from souk.sources.commands import TEST_KEY  # noqa: E402
 
@@ -189,6 +190,8 @@ JOBS: dict[str, tuple[Callable, tuple[str, ...]]] = {
                            ("payments", "rejects", "orders")),
     "t11_settle_payments": (lambda m: bjobs.settle_payments(m, m.fixture("cmd_t11"), TEST_KEY, BATCH_TS),
                             ("payments", "escrow_wallet", "rejects", "notifications")),
+    "t10_t11_payments": (lambda m: pjobs.payment_batch(m, m.fixture("cmd_payment_batch"), TEST_KEY, BATCH_TS),
+                         ("payments", "escrow_wallet", "rejects", "notifications", "orders")),
     "t12_release_escrow": (lambda m: bjobs.release_escrow(m, m.fixture("cmd_t12"), BATCH_TS),
                            ("escrow_wallet", "bookings", "rejects", "notifications", "audit")),
     "t13_request_withdrawals": (lambda m: wjobs.request_withdrawals(m, m.fixture("cmd_t13"), BATCH_TS),

@@ -243,6 +243,13 @@ def settle_payments(m, cmds: DataFrame, key: bytes | str, batch_ts) -> JobResult
         F.col("order_id").alias("razorpay_order_id"), F.col("payment_id").alias("razorpay_payment_id"),
         F.lit("completed").alias("payment_status"))
     payments = update_by_key(m["payments"], last, "razorpay_order_id", ["razorpay_payment_id", "payment_status"])
+    escrow, notes = held_escrow(m, ok, batch_ts)
+    return JobResult(tables={"payments": payments, "escrow_wallet": escrow}, rejects=rejects_of(c), notifications=notes)
+
+
+def held_escrow(m, ok: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+    """ok: the accepted callbacks.  The escrow after them (a row per booking
+    held, amounts kept) and the creators' notifications, one per callback."""
     held = ok.select("booking_id", "_price").dropDuplicates(["booking_id"])
     esc = m["escrow_wallet"]
     esc_upd = _flag(esc, held, "booking_id", "booking_id", "_h").withColumn(
@@ -256,9 +263,7 @@ def settle_payments(m, cmds: DataFrame, key: bytes | str, batch_ts) -> JobResult
              .join(user_of_creator(m), F.col("_bcreator") == F.col("_cp_id")))
     ev = notify.events_frame(who, event="payment_received", event_key=F.col("cmd_id"), user_id="creator_user_id",
                              ref_id="booking_id", created_at=batch_time(batch_ts))
-    return JobResult(tables={"payments": payments,
-                             "escrow_wallet": esc_upd.unionByName(conform(esc_new, "escrow_wallet"))},
-                     rejects=rejects_of(c), notifications=notify.render(ev, "t11"))
+    return esc_upd.unionByName(conform(esc_new, "escrow_wallet")), notify.render(ev, "t11")
 
 
 def release_escrow(m, cmds: DataFrame, batch_ts) -> JobResult:

@@ -103,6 +103,36 @@ join {withdrawals} w on w.id = 'w-'||(e.tk - e.tk%5 + 2)
 """,
 }
 
+# orders and callbacks of one batch: a third for one accepted booking, the others for the accepted
+# bookings whose number and the event's agree modulo a fifteenth of all, or for any booking
+_FIFTEENTH = f"(1 + cast(({N} - {N} % 15) / 15 as bigint))"
+_PAY = """
+select e.event_id * """ + N + """ + e.k cmd_id, e.event_id * """ + N + """ + e.k seq,
+       case when e.event_type in ('purchase','click') then 'order' else 'callback' end kind, 'u-b-1' actor_user_id,
+       case when e.event_id%43=0 then 'bk-missing' else 'bk-'||e.k end booking_id, e.oid order_id,
+       case when e.event_type not in ('purchase','click') then 'pay_'||e.event_id end payment_id,
+       case when e.event_type in ('purchase','click') then cast(null as varchar(64)) when e.event_id%29=0 then 'bad-signature' else {sig} end signature
+from (
+  select event_id, event_type, k,
+         case when event_id%47=0 then 'po-any-'||(event_id%5) when event_type not in ('purchase','click') and event_id%16=1 then 'ord-'||k
+              else 'po-'||k||'-'||(case when event_id%3=0 then event_id%211 else event_id%6 end) end oid
+  from (
+    select event_id, event_type, (select min(k) from {bookings} where status='accepted') k from {events} where event_id%3=0
+    union all
+    select a.event_id, a.event_type, b.k
+    from (select event_id, event_type, event_id % """ + _FIFTEENTH + """ em from {events} where event_id%3<>0) a
+    join (select k, k % """ + _FIFTEENTH + """ bm from {bookings} where status='accepted') b on b.bm = a.em
+    union all
+    select a.event_id, a.event_type, b.k
+    from (select event_id, event_type, (event_id*7) % """ + N + """ tk from {events} where event_id%3=1) a
+    join {bookings} b on b.k = a.tk and b.status<>'accepted') x) e
+"""
+_PAY_MSG = "e.oid||'|'||'pay_'||e.event_id"
+COMMAND_SQL["cmd_payment_batch"] = {
+    "spark": _PAY.replace("{sig}", f"sha2(concat(unhex('{_OPAD}'), unhex(sha2(concat(unhex('{_IPAD}'), cast({_PAY_MSG} as binary)), 256))), 256)"),
+    "duckdb": _PAY.replace("{sig}", f"sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode({_PAY_MSG}))))"),
+}
+
 S = "(select count(*) from {supplier})"
 C = "(select count(*) from {customer})"
 
