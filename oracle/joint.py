@@ -3,7 +3,7 @@ each key is carried from command to command by a recursive query."""
 
 from __future__ import annotations
 
-from oracle.jobs import TS, notif, rejects, uid
+from oracle.jobs import TS, locale, notif, rejects, uid
 from oracle.queries import dbl
 
 
@@ -82,10 +82,94 @@ PAY_ORDERS = PAY + """
 SELECT cmd_id, booking_id, order_id, CAST(round(bprice * 100) AS BIGINT) AS amount_paise, 'INR' AS currency
 FROM r WHERE reason IS NULL AND kind = 'order'"""
 
+def details() -> str:
+    """The payout details as JSON without those not given."""
+    given = ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || to_json({c}) END""" for c in ("upi_id", "bank_account", "ifsc_code", "account_holder"))
+    return f"'{{' || concat_ws(',', {given}) || '}}'"
+
+
+# ------------------------------------------------------------------ T13 + T14
+# a creator's state is what counts as withdrawn, how many are pending, and the status of every withdrawal touched
+WD = f"""
+WITH RECURSIVE c AS (
+  SELECT c.*, cp.id AS cpid, try_cast(regexp_extract(amount, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+))', 1) AS DOUBLE) AS amt
+  FROM cmd_withdrawal_batch c LEFT JOIN creator_profiles cp ON cp.user_id = c.actor_user_id),
+asked AS (
+  SELECT *, CASE WHEN coalesce(amount, '') = '' OR amt IS NULL OR amt < 100 THEN 'min_amount'
+                 WHEN coalesce(upi_id, '') = '' AND coalesce(bank_account, '') = '' THEN 'no_payout_details'
+                 WHEN cpid IS NULL THEN 'no_profile' END AS early, {uid("'t13'", "CAST(cmd_id AS VARCHAR)")} AS rid
+  FROM c WHERE kind = 'request'),
+judged AS (
+  SELECT d.cmd_id, d.seq, d.actor_user_id, d.withdrawal_id, d.status, d.note, coalesce(w.creator_id, a.cpid) AS creator,
+         coalesce(w.amount, CAST(a.amt AS DECIMAL(12,2))) AS wamount, w.status AS stored,
+         CASE WHEN d.status IS NULL OR d.status NOT IN ('approved', 'rejected') THEN 'invalid_status'
+              WHEN w.id IS NULL AND a.rid IS NULL THEN 'not_found' END AS early
+  FROM c d LEFT JOIN withdrawals w ON w.id = d.withdrawal_id
+  LEFT JOIN asked a ON a.rid = d.withdrawal_id AND a.early IS NULL AND a.seq < d.seq WHERE d.kind = 'decide'),
+happens AS (
+  SELECT cmd_id, seq, cpid AS creator, 'request' AS kind, rid AS wid, amt, CAST(amt AS DECIMAL(12,2)) AS money, CAST(NULL AS VARCHAR) AS status,
+         CAST(NULL AS VARCHAR) AS stored FROM asked WHERE early IS NULL
+  UNION ALL SELECT cmd_id, seq, creator, 'decide', withdrawal_id, NULL, wamount, status, stored FROM judged WHERE early IS NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY seq) AS i FROM happens),
+earned AS (SELECT creator_id, sum(amount) AS total FROM creator_earnings WHERE status = 'paid' GROUP BY creator_id),
+held AS (
+  SELECT creator_id, sum(CASE WHEN status IN ('pending', 'approved') THEN amount ELSE 0 END) AS total,
+         count(*) FILTER (status = 'pending') AS pending FROM withdrawals GROUP BY creator_id),
+begin_ AS (
+  SELECT n.creator, coalesce(e.total, 0)::DECIMAL(18,2) AS earned, coalesce(h.total, 0)::DECIMAL(18,2) AS withdrawn, coalesce(h.pending, 0)::BIGINT AS pending
+  FROM (SELECT DISTINCT creator FROM numbered) n LEFT JOIN earned e ON e.creator_id = n.creator LEFT JOIN held h ON h.creator_id = n.creator),
+steps AS (
+  SELECT creator, 0::BIGINT AS i, CAST(NULL AS BIGINT) AS cmd_id, earned, withdrawn, pending, CAST(map([], []) AS MAP(VARCHAR, VARCHAR)) AS seen,
+         CAST(NULL AS VARCHAR) AS late FROM begin_
+  UNION ALL
+  SELECT creator, i, cmd_id, earned,
+         (withdrawn + CASE WHEN late IS NOT NULL THEN 0 WHEN kind = 'request' THEN money
+                           WHEN was IN ('pending', 'approved') AND status = 'rejected' THEN -money
+                           WHEN was NOT IN ('pending', 'approved') AND status = 'approved' THEN money ELSE 0 END)::DECIMAL(18,2),
+         pending + CASE WHEN late IS NOT NULL THEN 0 WHEN kind = 'request' THEN 1 WHEN was = 'pending' THEN -1 ELSE 0 END,
+         CASE WHEN late IS NULL THEN map_concat(seen, map([wid], [coalesce(status, 'pending')])) ELSE seen END, late
+  FROM (
+    SELECT x.*, CASE WHEN kind = 'request' THEN
+                       CASE WHEN amt > CAST(earned AS DOUBLE) - CAST(withdrawn AS DOUBLE) THEN 'insufficient_balance'
+                            WHEN pending > 0 THEN 'pending_exists' END
+                     WHEN was IS NULL THEN 'not_found' END AS late
+    FROM (
+      SELECT s.creator, n.i, n.cmd_id, s.earned, s.withdrawn, s.pending, s.seen, n.kind, n.wid, n.amt, n.money, n.status,
+             coalesce(s.seen[n.wid], n.stored) AS was
+      FROM steps s JOIN numbered n ON n.creator = s.creator AND n.i = s.i + 1) x) y),
+lates AS (SELECT cmd_id, late FROM steps WHERE cmd_id IS NOT NULL),
+req AS (SELECT a.*, coalesce(early, late) AS reason FROM asked a LEFT JOIN lates USING (cmd_id)),
+dec AS (SELECT j.*, coalesce(early, late) AS reason FROM judged j LEFT JOIN lates USING (cmd_id)),
+r AS (SELECT cmd_id, reason FROM req UNION ALL SELECT cmd_id, reason FROM dec),
+last AS (SELECT withdrawal_id, arg_max(status, seq) AS status FROM dec WHERE reason IS NULL GROUP BY withdrawal_id),
+dec_who AS (SELECT d.*, u.id AS uid FROM dec d JOIN creator_profiles cp ON cp.id = d.creator JOIN users u ON u.id = cp.user_id WHERE d.reason IS NULL)
+"""
+WD_ROWS = dbl(WD + f"""
+SELECT q.* REPLACE (coalesce(l.status, q.status) AS status) FROM (
+  SELECT * FROM withdrawals UNION ALL
+  SELECT rid, cpid, CAST(amt AS DECIMAL(12,2)), 'pending', {details()}, {TS} FROM req r WHERE reason IS NULL) q
+LEFT JOIN last l ON l.withdrawal_id = q.id""", "amount")
+WD_NOTIF = WD + "SELECT * FROM (" + notif(
+    "t13", "req WHERE reason IS NULL", "actor_user_id", None,
+    f"'Withdrawal request of ₹' || {locale('amt')} || ' submitted. We''ll process it within 2-3 business days.'", None) + " UNION ALL " + notif(
+    "t14", "dec_who", "uid", None,
+    f"CASE WHEN status = 'approved' THEN '✅ Your withdrawal of ₹' || {locale('CAST(wamount AS DOUBLE)')} || "
+    "' has been approved! Funds will be transferred within 1-2 business days.' "
+    f"ELSE '❌ Your withdrawal request of ₹' || {locale('CAST(wamount AS DOUBLE)')} || ' was rejected. ' || "
+    "CASE WHEN coalesce(note, '') <> '' THEN note ELSE 'Please contact support.' END END", None) + ") n"
+WD_AUDIT = WD + f"""
+SELECT {uid("'t14'", "'a'", "CAST(cmd_id AS VARCHAR)")} AS id,
+       'Approved withdrawal #' || withdrawal_id || ' of ₹' || CAST(wamount AS VARCHAR) || ' for creator #' || creator AS action,
+       actor_user_id AS admin_id, {TS} AS created_at FROM dec WHERE reason IS NULL AND status = 'approved'"""
+
 SQL: dict[str, str] = {
     "t10_t11_payments__payments": PAY_PAYMENTS,
     "t10_t11_payments__escrow_wallet": PAY_ESCROW,
     "t10_t11_payments__rejects": PAY + rejects(),
     "t10_t11_payments__notifications": PAY_NOTIF,
     "t10_t11_payments__orders": PAY_ORDERS,
+    "t13_t14_withdrawals__withdrawals": WD_ROWS,
+    "t13_t14_withdrawals__rejects": WD + rejects(),
+    "t13_t14_withdrawals__notifications": WD_NOTIF,
+    "t13_t14_withdrawals__audit": WD_AUDIT,
 }

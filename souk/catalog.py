@@ -198,6 +198,8 @@ JOBS: dict[str, tuple[Callable, tuple[str, ...]]] = {
                                 ("withdrawals", "rejects", "notifications")),
     "t14_decide_withdrawals": (lambda m: wjobs.decide_withdrawals(m, m.fixture("cmd_t14"), BATCH_TS),
                                ("withdrawals", "rejects", "notifications", "audit")),
+    "t13_t14_withdrawals": (lambda m: wjobs.withdrawal_batch(m, m.fixture("cmd_withdrawal_batch"), BATCH_TS),
+                            ("withdrawals", "rejects", "notifications", "audit")),
 }
 
 

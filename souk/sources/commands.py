@@ -133,6 +133,38 @@ COMMAND_SQL["cmd_payment_batch"] = {
     "duckdb": _PAY.replace("{sig}", f"sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode({_PAY_MSG}))))"),
 }
 
+# four events make two requests and two decisions: on the request before, on one three back, or on a stored withdrawal
+_WD = """
+select event_id cmd_id, event_id seq, case when event_id%4<2 then 'request' else 'decide' end kind,
+       case when event_id%4>=2 then 'u-a-0' when event_id%61=0 then 'u-b-1' when event_id%3=0 then 'u-c-1'
+            else 'u-c-'||(user_id % (select count(*) from {supplier})) end actor_user_id,
+       case when event_id%4<2 then cast(cast(value * (case when event_id%7=0 then 90000 else 30 end) as decimal(12,2)) as string) end amount,
+       case when event_id%4<2 and event_id%19<>0 and event_id%5<>0 then 'upi'||event_id end upi_id,
+       case when event_id%4<2 and event_id%19<>0 and event_id%5=0 then 'acct'||event_id end bank_account,
+       case when event_id%5=0 then 'IFSC'||event_id end ifsc_code, case when event_id%5=0 then 'Holder '||event_id end account_holder,
+       case when event_id%4=2 and event_id%10=0 then w.id when event_id%4=2 then {one} when event_id%4=3 then {two} end withdrawal_id,
+       case when event_id%4>=2 then case event_id%5 when 0 then 'rejected' when 1 then 'rejected' when 2 then 'paid' else 'approved' end end status,
+       case when event_id%4=2 then 'bad docs '||event_id end note
+from {events}
+left join (select id, cast(substring(id, 3) as bigint) wk from {withdrawals}) w
+  on w.wk = (event_id*7) % """ + N + """ - ((event_id*7) % """ + N + """) % 5 + 2
+"""
+
+
+def _request_id(cmd: str, hashed: str) -> str:
+    return f"regexp_replace(substr({hashed.replace('?', cmd)}, 1, 32), '^(........)(....)(....)(....)(............)$', "
+
+
+def _withdrawals(hashed: str, shape: str) -> str:
+    one, two = (_request_id(f"cast(event_id - {n} as string)", hashed) + shape + ")" for n in (1, 3))
+    return _WD.replace("{one}", one).replace("{two}", two)
+
+
+COMMAND_SQL["cmd_withdrawal_batch"] = {
+    "spark": _withdrawals("sha2('t13|'||?, 256)", "'$1-$2-$3-$4-$5'"),
+    "duckdb": _withdrawals("sha256('t13|'||?)", r"'\1-\2-\3-\4-\5'"),
+}
+
 S = "(select count(*) from {supplier})"
 C = "(select count(*) from {customer})"
 

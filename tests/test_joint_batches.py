@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 
 from souk.plans.payments import payment_batch
+from souk.plans.withdrawals import withdrawal_batch
 from tests.helpers import bundle, ts
 
 TS = "2024-02-01 00:00:00"
@@ -91,3 +92,94 @@ def test_payment_batch_equals_one_at_a_time(spark, seed, ranges):
         (e["booking_id"], float(e["amount"]), e["status"]) for e in held.values())
     assert got.notifications.count() == len(notes)
     assert {"already_paid", "signature_mismatch"} <= {x for _, x in rejects} and any(p["payment_status"] == "completed" and p["id"] == "new" for p in want_pays)
+
+
+def _request_id(cmd):
+    h = hashlib.sha256(f"t13|{cmd}".encode()).hexdigest()[:32]
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+
+def _withdrawal_world(rng):
+    earned = [{"id": f"n{i}", "creator_id": f"c{i % 6}", "amount": Decimal(rng.randint(100, 90_000)) / 100 + 3000, "status": rng.choice(["paid"] * 4 + ["pending"])}
+              for i in range(40)]
+    stored = [{"id": f"w{i}", "creator_id": f"c{rng.randint(0, 6)}", "amount": Decimal(rng.randint(100, 300_000)) / 100,
+               "status": rng.choice(["approved", "rejected", "paid"] * 3 + ["pending"])} for i in range(14)]
+    cmds = []
+    for n in range(360):
+        if rng.random() < 0.5 or not cmds:
+            who = "u0" if rng.random() < 0.34 else f"u{rng.randint(0, 7)}"
+            amount = rng.choice(["100", "99.99", "250.5", "12000", "333.33", "9000.01", "abc", "150xyz", ""])
+            cmds.append((n, n * 3, "request", who, amount, rng.choice(["upi", "upi", "upi", None]), rng.choice(["acc", None]), None, None))
+        else:
+            back = [c[0] for c in cmds[-9:] if c[2] == "request"] or [0]
+            target = rng.choice([_request_id(rng.choice(back)), _request_id(rng.choice(back)), f"w{rng.randint(0, 14)}", _request_id(n + 1)])
+            cmds.append((n, n * 3, "decide", "admin", None, None, None, target, rng.choice(["approved", "rejected", "rejected", "paid"])))
+    return earned, stored, cmds
+
+
+def _number(text):
+    out = ""
+    for ch in text or "":
+        if not (ch.isdigit() or ch == "."):
+            break
+        out += ch
+    return float(out) if out else None
+
+
+def _withdrawals_one_by_one(earned, stored, cmds):
+    rows, rejects, notes, audits = {w["id"]: dict(w) for w in stored}, [], [], 0
+    for cmd, _, kind, who, amount, upi, bank, target, status in cmds:
+        if kind == "request":
+            x, creator = _number(amount), "c" + who[1:]
+            own = [w for w in rows.values() if w["creator_id"] == creator]
+            free = float(sum(e["amount"] for e in earned if e["creator_id"] == creator and e["status"] == "paid")) - float(
+                sum(w["amount"] for w in own if w["status"] in ("pending", "approved")))
+            if not amount or x is None or x < 100:
+                rejects.append((cmd, "min_amount"))
+            elif not upi and not bank:
+                rejects.append((cmd, "no_payout_details"))
+            elif who == "u7":
+                rejects.append((cmd, "no_profile"))
+            elif x > free:
+                rejects.append((cmd, "insufficient_balance"))
+            elif any(w["status"] == "pending" for w in own):
+                rejects.append((cmd, "pending_exists"))
+            else:
+                rows[_request_id(cmd)] = {"id": _request_id(cmd), "creator_id": creator, "amount": Decimal(str(x)), "status": "pending"}
+                notes.append(who)
+        elif status not in ("approved", "rejected"):
+            rejects.append((cmd, "invalid_status"))
+        elif target not in rows:
+            rejects.append((cmd, "not_found"))
+        else:
+            rows[target]["status"] = status
+            notes.append("u" + rows[target]["creator_id"][1:])
+            audits += status == "approved"
+    return rows, rejects, notes, audits
+
+
+@pytest.mark.parametrize("seed,fold_rows", [(1, 10_000), (2, 70), (3, 45)])
+def test_withdrawal_batch_equals_one_at_a_time(spark, seed, fold_rows):
+    """Balances fall and rise inside the batch, also for a creator that lies in several slices."""
+    earned, stored, cmds = _withdrawal_world(random.Random(seed))
+    m = bundle(spark, creator_earnings=earned, withdrawals=stored, users=[{"id": f"u{i}"} for i in range(8)],
+               creator_profiles=[{"id": f"c{i}", "user_id": f"u{i}"} for i in range(7)])
+    df = spark.createDataFrame([(*c[:7], None, None, *c[7:], None) for c in cmds],
+                               "cmd_id long, seq long, kind string, actor_user_id string, amount string, upi_id string, bank_account string, "
+                               "ifsc_code string, account_holder string, withdrawal_id string, status string, note string")
+    got = withdrawal_batch(m, df, TS, fold_rows)
+    rows, rejects, notes, audits = _withdrawals_one_by_one(earned, stored, cmds)
+    assert sorted(tuple(r) for r in got.rejects.collect()) == sorted(rejects)
+    assert sorted((r["id"], r["creator_id"], float(r["amount"]), r["status"]) for r in got.tables["withdrawals"].collect()) == sorted(
+        (w["id"], w["creator_id"], float(w["amount"]), w["status"]) for w in rows.values())
+    assert sorted(r["user_id"] for r in got.notifications.collect()) == sorted(notes) and got.audit.count() == audits
+    passed = [c[0] for c in cmds if c[2] == "request" and c[3] == "u0" and _request_id(c[0]) in rows]
+    assert passed and len(rows) - len(stored) > 7 and {"insufficient_balance", "pending_exists", "not_found"} <= {x for _, x in rejects}
+
+
+def test_withdrawal_batch_without_commands(spark):
+    m = bundle(spark, withdrawals=[{"id": "w1", "creator_id": "c1", "amount": Decimal(5), "status": "pending"}])
+    empty = spark.createDataFrame([], "cmd_id long, seq long, kind string, actor_user_id string, amount string, upi_id string, bank_account string, "
+                                      "ifsc_code string, account_holder string, withdrawal_id string, status string, note string")
+    got = withdrawal_batch(m, empty, TS)
+    assert [r["id"] for r in got.tables["withdrawals"].collect()] == ["w1"] and got.rejects.count() == 0
