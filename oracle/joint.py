@@ -162,6 +162,54 @@ SELECT {uid("'t14'", "'a'", "CAST(cmd_id AS VARCHAR)")} AS id,
        'Approved withdrawal #' || withdrawal_id || ' of ₹' || CAST(wamount AS VARCHAR) || ' for creator #' || creator AS action,
        actor_user_id AS admin_id, {TS} AS created_at FROM dec WHERE reason IS NULL AND status = 'approved'"""
 
+# ------------------------------------------------------------------ T2
+# the state is one map: who holds a provider id (google_id:x), what a user holds (google_id@u), whose an email is (e:x)
+T02 = f"""
+WITH RECURSIVE known AS (
+  SELECT l.*, CASE provider WHEN 'google' THEN 'google_id' WHEN 'facebook' THEN 'facebook_id' END AS col,
+         CASE WHEN coalesce(email, '') <> '' THEN lower(email) END AS em
+  FROM cmd_t02 l),
+mails AS (SELECT lower(email) AS em, min(id) AS id FROM users GROUP BY 1),
+numbered AS (
+  SELECT k.*, u.id AS stored, row_number() OVER (ORDER BY seq) AS i, {uid("'t02'", "CAST(cmd_id AS VARCHAR)")} AS made
+  FROM known k LEFT JOIN mails u ON u.em = k.em WHERE k.col IS NOT NULL),
+steps AS (
+  SELECT 0::BIGINT AS i, CAST(NULL AS BIGINT) AS cmd_id, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS method,
+         (SELECT CAST(map(list(k), list(v)) AS MAP(VARCHAR, VARCHAR)) FROM (
+            SELECT unnest(['google_id:' || google_id, 'google_id@' || id, 'facebook_id:' || facebook_id, 'facebook_id@' || id,
+                           'social_provider@' || id]) AS k,
+                   unnest([id, google_id, id, facebook_id, social_provider]) AS v FROM users) WHERE k IS NOT NULL AND v IS NOT NULL) AS m
+  UNION ALL
+  SELECT i, cmd_id, user_id, method,
+         CASE WHEN method = 'provider' THEN m
+              WHEN method = 'email' THEN map_concat(m, map([col || ':' || provider_id, col || '@' || user_id, 'social_provider@' || user_id],
+                                                           [user_id, provider_id, provider]))
+              ELSE map_concat(m, map([col || ':' || provider_id, col || '@' || user_id, 'social_provider@' || user_id,
+                                      'e:' || coalesce(em, lower(provider || '_' || provider_id || '@noemail.local'))],
+                                     [user_id, provider_id, provider, user_id])) END
+  FROM (
+    SELECT x.*, CASE WHEN m[col || '@' || holder] = provider_id THEN holder ELSE coalesce(mailer, made) END AS user_id,
+           CASE WHEN m[col || '@' || holder] = provider_id THEN 'provider' WHEN mailer IS NOT NULL THEN 'email' ELSE 'created' END AS method
+    FROM (
+      SELECT n.*, coalesce(s.m, CAST(map([], []) AS MAP(VARCHAR, VARCHAR))) AS m, s.m[n.col || ':' || n.provider_id] AS holder,
+             coalesce(n.stored, s.m['e:' || n.em]) AS mailer
+      FROM steps s JOIN numbered n ON n.i = s.i + 1) x) y),
+done AS (SELECT cmd_id, user_id, method FROM steps WHERE cmd_id IS NOT NULL),
+final AS (SELECT arg_max(m, i) AS m FROM steps),
+made AS (SELECT k.*, d.user_id FROM known k JOIN done d USING (cmd_id) WHERE d.method = 'created')
+"""
+T02_USERS = T02 + f"""
+SELECT * EXCLUDE (m) REPLACE (m['google_id@' || id] AS google_id, m['facebook_id@' || id] AS facebook_id, m['social_provider@' || id] AS social_provider)
+FROM (SELECT * FROM users UNION ALL BY NAME
+      SELECT user_id AS id, name, CASE WHEN coalesce(email, '') <> '' THEN email ELSE provider || '_' || provider_id || '@noemail.local' END AS email,
+             'creator' AS role, avatar_url, {TS} AS created_at FROM made) q, final"""
+T02_PROFILES = dbl(T02 + f"""
+SELECT * FROM creator_profiles UNION ALL BY NAME
+SELECT {uid("'t02c'", "CAST(cmd_id AS VARCHAR)")} AS id, user_id,
+       regexp_replace(lower(CASE WHEN coalesce(name, '') <> '' THEN name ELSE 'user' END), '\\s+', '_', 'g') || '_' || substr(user_id, 1, 8) AS username,
+       0 AS verified, 0.0::DECIMAL(3,2) AS rating, 0.0::DECIMAL(3,2) AS collaboration_rating, {TS} AS created_at FROM made""",
+                   "rating", "collaboration_rating")
+
 SQL: dict[str, str] = {
     "t10_t11_payments__payments": PAY_PAYMENTS,
     "t10_t11_payments__escrow_wallet": PAY_ESCROW,
@@ -172,4 +220,8 @@ SQL: dict[str, str] = {
     "t13_t14_withdrawals__rejects": WD + rejects(),
     "t13_t14_withdrawals__notifications": WD_NOTIF,
     "t13_t14_withdrawals__audit": WD_AUDIT,
+    "t02_resolve_identities__resolved": T02 + "SELECT * FROM done",
+    "t02_resolve_identities__users": T02_USERS,
+    "t02_resolve_identities__creator_profiles": T02_PROFILES,
+    "t02_resolve_identities__rejects": T02 + "SELECT cmd_id, 'unknown_provider' AS reason FROM known WHERE col IS NULL",
 }

@@ -58,5 +58,6 @@ SQL = {
     "w1_notification_stream": W1,
     "w2_presence_stream": W2,
     "w3_deliver_online": W3,
+    "w3_delivery_stream": W3,
     "w4_rating_stream": ratings_sql("reviews", "rating"),
 }

@@ -292,6 +292,19 @@ def _w3(m):
     return sjobs.deliver_online(m["notifications"], m.fixture("presence_events"))
 
 
+def _w3_stream(m):
+    """The timeline in three slices of time, each a run of the stream that goes on from the last."""
+    base = run_folder(m.spark, "w3")
+    tl = sjobs.delivery_timeline(m["notifications"], m.fixture("presence_events"))
+    first, last = tl.agg(F.min("t"), F.max("t")).first()
+    for i in range(3):
+        lo, hi = (first + (last - first) * x / 3 for x in (i, i + 1))
+        now = tl.filter((F.col("t") >= lo) & (F.lit(i == 2) | (F.col("t") < hi)))
+        stage_files(now, f"{base}/in/{i}")
+        out = sjobs.delivery_stream(m.spark, f"{base}/in/*", f"{base}/out", f"{base}/log", f"{base}/ckpt", every=2)
+    return out
+
+
 def _w4(m):
     base = run_folder(m.spark, "w4")
     src = stage_files(m["reviews"].select("id", "creator_id", "rating"), base + "/in", key="id")
@@ -302,6 +315,7 @@ REGISTRY.update({
     "w1_notification_stream": _w1,
     "w2_presence_stream": _w2,
     "w3_deliver_online": _w3,
+    "w3_delivery_stream": _w3_stream,
     "w4_rating_stream": _w4,
 })
 

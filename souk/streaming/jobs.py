@@ -7,17 +7,13 @@ a restart from its checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from souk.functions.frame import last_before
 from souk.operators import notify, ratings
-from souk.streaming.runner import file_stream, latest_per_key, write_epoch
+from souk.streaming.runner import EpochLog, file_stream
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event", T.StringType()), T.StructField("event_key", T.StringType()),
@@ -82,16 +78,39 @@ def presence_state(events: DataFrame) -> DataFrame:
     return presence_from_pairs(_presence_agg(events))
 
 
-def presence_stream(spark: SparkSession, source: str, log: str, checkpoint: str,
-                    files_per_trigger: int | None = None) -> DataFrame:
-    """Native stateful aggregation per (user, socket) in update mode;
-    each micro-batch's changed keys go to an epoch-partitioned log
-    (foreachBatch), and the final state keeps the newest row per key."""
+PAIR_SCHEMA = ("user_id string, socket_id string, last_reg struct<ts: timestamp_ntz, eid: bigint>, "
+               "last_disc struct<ts: timestamp_ntz, eid: bigint>")
+
+
+def _merge_pairs(ttl: str | None):
+    """Latest registration and disconnect per (user, socket).  With ``ttl`` (an
+    interval) a socket that is not its user's latest is forgotten once it is
+    that much older than the newest event: then the state is bounded by the
+    users, and events that come later than that may find it gone."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        pairs = rows.groupBy("user_id", "socket_id").agg(F.max("last_reg").alias("last_reg"), F.max("last_disc").alias("last_disc"))
+        if ttl is None:
+            return pairs
+        newest = rows.agg(F.max(F.greatest("last_reg.ts", "last_disc.ts"))).first()[0]  # one value
+        latest = pairs.groupBy("user_id").agg(F.max("last_reg").alias("_top"))
+        old = F.greatest("last_reg.ts", "last_disc.ts") < F.lit(newest) - F.expr(f"INTERVAL {ttl}")
+        return pairs.join(latest, "user_id").filter(F.col("last_reg").eqNullSafe(F.col("_top")) & F.col("_top").isNotNull() | ~old).drop("_top")
+
+    return merge
+
+
+def presence_stream(spark: SparkSession, source: str, log: str, checkpoint: str, files_per_trigger: int | None = None,
+                    ttl: str | None = None, every: int = 16) -> DataFrame:
+    """Per micro-batch the latest registration and disconnect of each
+    (user, socket), merged in a compacted log (``EpochLog``); a maximum needs
+    no more state, and events may come in any order."""
+    state = EpochLog(spark, log, PAIR_SCHEMA, _merge_pairs(ttl), every)
     ev = file_stream(spark, source, PRESENCE_SCHEMA, files_per_trigger)
-    q = (_presence_agg(ev).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, epoch: write_epoch(df, epoch, log)).trigger(availableNow=True).start())
+    q = (ev.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, epoch: state.write(_presence_agg(df), epoch)).trigger(availableNow=True).start())
     q.awaitTermination()
-    return presence_from_pairs(latest_per_key(spark, log, ["user_id", "socket_id"]))
+    return presence_from_pairs(state.read())
 
 
 # ------------------------------------------------------------------ W3
@@ -106,62 +125,69 @@ def deliver_online(notifications: DataFrame, presence: DataFrame, ranges: int |
     user of registrations and notifications, the last registration with the
     end found for it.  The slices hold equal numbers of rows, so neither a
     user with a third of all events nor one crowded instant meets one task."""
-    stamp = F.struct("t", "rank", "k")
-    ends = delivery_timeline(notifications, presence).filter(F.col("kind") != "notify")
-    ends = last_before(ends, ["user_id", "socket_id"], ["t", "rank", "k"],
-                       {"_end": F.when((F.col("kind") == "disconnect") & F.col("socket_id").isNotNull(), stamp)}, ranges, after=True)
-    regs = ends.filter(F.col("kind") == "register")
-    notes = delivery_timeline(notifications, presence).filter(F.col("kind") == "notify")
-    tl = regs.unionByName(notes, allowMissingColumns=True)
-    at = F.when(F.col("kind") == "register", F.struct("socket_id", "_end"))
-    out = last_before(tl, ["user_id"], ["t", "rank", "k"], {"_reg": at}, ranges).filter(F.col("kind") == "notify")
-    online = F.col("_reg").isNotNull() & (F.col("_reg._end").isNull() | (F.col("_reg._end") > stamp))
-    return out.select(F.col("notification_id").alias("id"), "user_id", F.col("t").alias("created_at"),
-                      online.alias("delivered"), F.when(online, F.col("_reg.socket_id")).alias("socket_id"))
+    out, _ = _delivered(delivery_timeline(notifications, presence), None, ranges)
+    return out
 
 
+def _delivered(timeline: DataFrame, before: DataFrame | None, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The notifications of a timeline with what becomes of them, and all its
+    registrations with their ends.  before: registrations from earlier on."""
+    stamp = F.struct("t", "rank", "k")
+    events = timeline.filter(F.col("kind") != "notify")
+    if before is not None:
+        events = events.unionByName(before.withColumn("kind", F.lit("register")), allowMissingColumns=True)
+    else:
+        events = events.withColumn("ended", F.lit(None).cast(STAMP))
+    ends = last_before(events, ["user_id", "socket_id"], ["t", "rank", "k"],
+                       {"_end": F.when((F.col("kind") == "disconnect") & F.col("socket_id").isNotNull(), stamp)}, ranges, after=True)
+    regs = ends.filter(F.col("kind") == "register").withColumn("ended", F.coalesce("ended", "_end")).drop("_end")
+    notes = timeline.filter(F.col("kind") == "notify")
+    at = F.when(F.col("kind") == "register", F.struct("socket_id", "ended"))
+    line = last_before(regs.unionByName(notes, allowMissingColumns=True), ["user_id"], ["t", "rank", "k"], {"_reg": at}, ranges)
+    online = F.col("_reg").isNotNull() & (F.col("_reg.ended").isNull() | (F.col("_reg.ended") > stamp))
+    out = line.filter(F.col("kind") == "notify").select(
+        F.col("notification_id").alias("id"), "user_id", F.col("t").alias("created_at"),
+        online.alias("delivered"), F.when(online, F.col("_reg.socket_id")).alias("socket_id"))
+    return out, regs.select("user_id", "socket_id", "t", "rank", "k", "ended")
+
+
+STAMP = "struct<t: timestamp_ntz, rank: int, k: string>"
 DELIVERY_IN = T.StructType([
     T.StructField("user_id", T.StringType()), T.StructField("t", T.TimestampNTZType()),
     T.StructField("rank", T.IntegerType()), T.StructField("k", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("socket_id", T.StringType()), T.StructField("notification_id", T.StringType()),
 ])
-DELIVERY_OUT = "id string, user_id string, created_at timestamp_ntz, delivered boolean, socket_id string"
-DELIVERY_STATE = "socket string, connected boolean"
-
-
-def _deliver(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per user, replay this micro-batch's timeline in order, carrying the
-    current socket and whether it is connected across micro-batches."""
-    socket, connected = (state.get if state.exists else (None, False))
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "rank", "k"], kind="stable")
-    rows = []
-    for r in pdf.itertuples(index=False):
-        if r.kind == "register":
-            socket, connected = r.socket_id, True
-        elif r.kind == "disconnect":
-            if connected and r.socket_id == socket:
-                connected = False
-        else:
-            rows.append((r.notification_id, key[0], r.t, bool(connected), socket if connected else None))
-    state.update((socket, connected))
-    yield pd.DataFrame(rows, columns=["id", "user_id", "created_at", "delivered", "socket_id"])
-
-
-def delivery_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                    files_per_trigger: int | None = None):
-    """W3 streaming: one ordered timeline per user (presence and
-    notifications tagged in one file stream, each file holding a time
-    slice), folded with ``applyInPandasWithState``.  Events must reach the
-    stream in time order across files; within a micro-batch they are
-    sorted by time."""
+ONLINE_SCHEMA = f"user_id string, socket_id string, t timestamp_ntz, rank int, k string, ended {STAMP}"
+
+
+def _latest_registration(rows: DataFrame) -> DataFrame:
+    """Per user the latest registration; of two rows for it the one that knows its end."""
+    cols = ["socket_id", "t", "rank", "k", "ended"]
+    pick = F.max_by(F.struct(*cols), F.struct("t", "rank", "k", F.col("ended").isNotNull().alias("known"), "ended"))
+    return rows.groupBy("user_id").agg(pick.alias("_l")).select("user_id", *[f"_l.{c}" for c in cols])
+
+
+def delivery_stream(spark: SparkSession, source: str, sink: str, log: str, checkpoint: str,
+                    files_per_trigger: int | None = None, every: int = 16) -> DataFrame:
+    """W3 streaming: presence events and notifications in one file stream, in
+    time order across micro-batches and any order within one.
+
+    The state is each user's latest registration and its end, in a compacted
+    log (``EpochLog``).  A micro-batch is the as-of join of ``deliver_online``
+    over its own events and the state before it, so a user with most of the
+    events is spread over slices as there.  Its notifications go to a folder of
+    their own, overwritten when the batch is run again.  Returns them all."""
+    state = EpochLog(spark, log, ONLINE_SCHEMA, _latest_registration, every)
+
+    def step(df: DataFrame, epoch: int) -> None:
+        out, regs = _delivered(df, state.read(epoch - 1))
+        out.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        state.write(regs, epoch)
+
     tl = file_stream(spark, source, DELIVERY_IN, files_per_trigger)
-    out = tl.groupBy("user_id").applyInPandasWithState(
-        _deliver, outputStructType=DELIVERY_OUT, stateStructType=DELIVERY_STATE, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(sink))
+    q = tl.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
     q.awaitTermination()
-    return q
+    return spark.read.parquet(sink).drop("epoch")
 
 
 def delivery_timeline(notifications: DataFrame, presence: DataFrame) -> DataFrame:
@@ -179,17 +205,19 @@ REVIEW_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField
                               T.StructField("rating", T.IntegerType())])
 
 
-def rating_stream(m, source: str, log: str, checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The rating trigger as a running aggregate: streaming
-    ``sum``/``count`` per creator in update mode, changed creators logged per
-    micro-batch (foreachBatch), then ROUND(AVG, 2) merged into the stored
-    ratings (creators without reviews keep theirs)."""
+def rating_stream(m, source: str, log: str, checkpoint: str, files_per_trigger: int | None = None, every: int = 16) -> DataFrame:
+    """The rating trigger as a running aggregate: sum and count per creator
+    of each micro-batch, added up in a compacted log (``EpochLog``), then
+    ROUND(AVG, 2) merged into the stored ratings (creators without reviews
+    keep theirs)."""
+    total = lambda rows: rows.groupBy("creator_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    state = EpochLog(m.spark, log, "creator_id string, s bigint, n bigint", total, every)
     rv = file_stream(m.spark, source, REVIEW_SCHEMA, files_per_trigger)
-    agg = rv.groupBy("creator_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
-    q = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, epoch: write_epoch(df, epoch, log)).trigger(availableNow=True).start())
+    new = lambda df: df.select("creator_id", F.col("rating").cast("bigint").alias("s"), F.lit(1).cast("bigint").alias("n"))
+    q = (rv.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, epoch: state.write(new(df), epoch)).trigger(availableNow=True).start())
     q.awaitTermination()
-    cur = latest_per_key(m.spark, log, ["creator_id"])
+    cur = state.read()
     avg4 = F.round(F.col("s").cast("decimal(20,0)") / F.col("n").cast("decimal(20,0)"), 4)
     new = cur.select(F.col("creator_id").alias("_rid"), F.round(avg4, 2).cast("decimal(3,2)").alias("_new_rating"))
     return ratings._merge(m["creator_profiles"], new, "rating")

@@ -1,5 +1,5 @@
-"""T2 against a step-by-step simulation of the reference's login handler: a
-written-out case and random logins over few ids and emails (no oracle SQL)."""
+"""T2 against a step-by-step simulation of the login handler: a
+written-out case and random logins over few ids and emails."""
 
 import random
 

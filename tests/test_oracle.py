@@ -20,9 +20,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, duck, name):
     sp = QUERIES[name](spark, SF).toPandas()
-    if name not in SQLS:
-        assert len(sp.columns) > 0
-        return
+    assert name in SQLS
     dk = duck.execute(SQLS[name]).df()
     sc, sr = _rows(sp)
     dc, dr = _rows(dk)
