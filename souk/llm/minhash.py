@@ -13,13 +13,17 @@
    shingle sets, read again from the texts.
 5. Components of the confirmed links by alternating large-star / small-star.
 6. A star misses a link between two members when one of them is not like the
-   smallest id.  So in buckets that still hold more than one component, members
-   are compared ACROSS components, on signatures, in blocks of bounded size
-   inside tasks.  What is emitted is not the pairs but requests: this document,
-   that component.  A request is answered on full sets, against all members of
-   the component, and gives one link or none.  A link is lost only if its two
+   smallest id.  So each bucket whose other members are in several components
+   has a heaviest one, and its members outside that ask it: is this document
+   like any member of that component, on full sets?  First every document asks
+   the heaviest of its components only, which joins most of a large group;
+   then, with the components as they are, all those of its buckets.  What is
+   left of a bucket outside its heaviest component is compared with itself, on
+   signatures and then on full sets, in blocks inside tasks; a task emits no
+   more links than it has members.  After that every two members of a bucket
+   are in one component or have been compared.  A link is lost only if its two
    documents share no band, with 32 bands of 5 rows in 3 of 10^6 cases at
-   similarity 0.8, or by step 4; both get rarer above.
+   similarity 0.8, or by the signatures; both get rarer above.
 
 Defined cases: null and empty texts and texts without words have no shingle
 and are linked with nothing; a text with fewer words than k has one shingle,
@@ -40,9 +44,7 @@ from pyspark.sql import functions as F
 from souk.llm.common import Scratch, few, hash_words, lowered, mix, not_space, shingles, slices, text_buffer, trimmed
 from souk.llm.components import components
 
-#: Members of a mixed bucket that one task compares with as many others at a time.
-BLOCK = 1024
-#: Members of a family whose sets one task holds with as many others.
+#: Members of a bucket or family whose sets one task holds with as many others.
 SETS = 256
 #: Members of a component, and documents to compare with it, that one task holds.
 MEMBERS = 512
@@ -148,25 +150,29 @@ def signature_filter(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFra
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def like(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |x and y| >= percent * |x or y| of two sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links that connect what the pairs with 100 * |A and B| >= percent * |A or B|
     (on the full shingle sets) connect.  pairs: kept; docs: (id, text).
 
-    Pairs are dealt by their family (the component of the pairs' graph) and two
-    blocks of it, so a set is sent once per block pair that needs it, and a
-    task holds at most 2 * SETS sets.
+    pairs (a, b) lead from a center a.  They are dealt by their family (the
+    component of the pairs' graph) and blocks of its b's, so a set is sent to one
+    block, and a center's to those that look at it.
     """
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     sets = scratch.keep(sets_of(docs.join(few(ids), "id", "left_semi").select("id", "text"), k), "sets")
     family = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     blocks = family.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks"))
-    place = family.join(blocks, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    p = (pairs.join(place.select(F.col("id").alias("a"), "root", F.col("block").alias("x")), "a")
-         .join(place.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
-         .select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"))
-    p = scratch.keep(p, "dealt-pairs")
-    need = p.select(F.col("root").alias("r"), F.col("i").alias("bi"), F.col("j").alias("bj"),
-                    F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    place = family.join(blocks, "root").select(F.col("id").alias("b"), "root", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"))
+    p = scratch.keep(pairs.join(place, "b").select("root", "i", "a", "b"), "dealt-pairs")
+    need = p.select(F.col("root").alias("r"), F.col("i").alias("bi"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
 
     def run(left, right):
         ids, off = right.column("id").to_numpy(), np.concatenate(([0], np.cumsum(np.diff(right.column("shingles").combine_chunks().offsets))))
@@ -187,74 +193,68 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
             u, v = at[a], at[b]
             if root(u) == root(v):
                 continue
-            x, y = values[off[u]:off[u + 1]], values[off[v]:off[v + 1]]
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= percent * (len(x) + len(y) - common):
+            if like(values[off[u]:off[u + 1]], values[off[v]:off[v + 1]], percent):
                 near[root(u)] = root(v)
                 found.append((a, b))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return p.groupBy("root", "i", "j").cogroup(need.groupBy("r", "bi", "bj")).applyInArrow(run, "a long, b long")
+    return p.groupBy("root", "i").cogroup(need.groupBy("r", "bi")).applyInArrow(run, "a long, b long")
 
 
-def requests(members: DataFrame, reps: DataFrame, floor: float, parts: int) -> DataFrame:
-    """members: (key, band, id, root, weight) of buckets with several roots, the
-    weight being the size of the root's component.  Returns (id, root): a member
-    of the lighter component, and the heavier one that some member of the bucket
-    with an agreeing signature belongs to.  A pair that shares several buckets
-    is looked at in its first one only."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.join(reps, "id")
-    # a member goes to each pair of its block with another: to one group if the bucket is one block
+def among(members: DataFrame, reps: DataFrame, sets: DataFrame, floor: float, percent: int, parts: int) -> DataFrame:
+    """members: kept (key, id, root).  Links (a, b) that connect what like members
+    of one key and different roots connect; at most as many from a task as it has members."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    m = members.join(sizes.filter("lo != hi").select("key", "blocks"), "key")
+    m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a member goes to each pair of its block with another: to one group if the key is one block
     turn = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = m.select("key", "band", "id", "root", "weight", "signature", "bands", "block", turn).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "band", "block", "id", "root", "weight", "signature", "bands")
+    dealt = m.select("key", "id", "root", "block", turn).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root")
+    dealt = dealt.join(reps.select("id", "signature").join(sets, "id"), "id")
 
     def run(keys, table):
         i, j = keys[1].as_py(), keys[2].as_py()
-        band, block, ids, root, weight = (table.column(c).to_numpy() for c in ("band", "block", "id", "root", "weight"))
+        block, ids, root = (table.column(c).to_numpy() for c in ("block", "id", "root"))
         sig = _matrix(table.column("signature").combine_chunks())
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :band[0]]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = set()
-        for s in range(0, len(left), 64):
-            rows = left[s: s + 64]
-            a, b = np.nonzero(root[rows][:, None] != root[right][None, :])
-            a, b = rows[a], right[b]
-            if i == j:
-                once = a < b
-                a, b = a[once], b[once]
-            if len(a):
-                first = ~(bands[a] == bands[b]).any(axis=1)
-                a, b = a[first], b[first]
-                close = (sig[a] == sig[b]).mean(axis=1) >= floor
-                a, b = a[close], b[close]
-                swap = (weight[a] > weight[b]) | ((weight[a] == weight[b]) & (root[a] > root[b]))
-                x, y = np.where(swap, b, a), np.where(swap, a, b)
-                found.update(zip(ids[x].tolist(), root[y].tolist(), strict=True))
-        found = sorted(found)
-        return pa.table({"id": pa.array([f[0] for f in found], pa.int64()), "root": pa.array([f[1] for f in found], pa.int64())})
+        held = table.column("shingles").combine_chunks()
+        off, values = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten().to_numpy()
+        near = {int(r): int(r) for r in root}
+
+        def top(v):
+            while near[v] != v:
+                near[v] = near[near[v]]
+                v = near[v]
+            return v
+
+        left, right, found = np.flatnonzero(block == i), np.flatnonzero(block == j), []
+        for u in left:
+            v = right[(right > u) & (root[right] != root[u])] if i == j else right[root[right] != root[u]]
+            for w in v[(sig[v] == sig[u]).mean(axis=1) >= floor]:
+                a, b = top(int(root[u])), top(int(root[w]))
+                if a != b and like(values[off[u]:off[u + 1]], values[off[w]:off[w + 1]], percent):
+                    near[a] = b
+                    found.append((int(ids[u]), int(ids[w])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     # the work of a group grows with its square, not with its bytes: keep the tasks apart
-    return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "id long, root long").distinct()
+    return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def members_of(asked: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, root) of all members of the components that are asked, kept."""
+    wanted = asked.select("root").distinct()
+    linked = roots.join(wanted, "root", "left_semi").select("id", "root")
+    return scratch.keep(linked.unionByName(wanted.select(F.col("root").alias("id"), "root")).distinct(), "asked-members")
 
 
-def answer(asked: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+def answer(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """asked: kept (id, root).  The requests whose document is like some member
     of that component, on full sets, as links (a, b) = (id, root).
 
     Members and requests of a component are dealt to blocks of at most about
     MEMBERS of each, one task group per pair of blocks.
     """
-    wanted = asked.select("root").distinct()
-    linked = roots.join(wanted, "root", "left_semi").select("id", "root")
-    members = scratch.keep(linked.unionByName(wanted.select(F.col("root").alias("id"), "root")).distinct(), "asked-members")
-    ids = scratch.keep(members.select("id").unionByName(asked.select("id")).distinct(), "asked-ids")
-    sets = scratch.keep(sets_of(docs.join(few(ids), "id", "left_semi").select("id", "text"), k), "asked-sets")
     size = (members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mb"))
             .join(asked.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("qb")), "root"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -304,22 +304,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     centers = scratch.keep(least.select("key", "center"), "centers")
     buckets = scratch.keep(in_bucket.join(few(centers), "key"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    stars = buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    inner = buckets.filter("id != center")
+    stars = inner.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     close = scratch.keep(signature_filter(stars, reps, floor), "star-pairs")
     links = scratch.keep(confirm(close, texts, k, percent, scratch), "star-links")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
-    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("weight")), "root")
-    placed = buckets.join(sized, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    left = scratch.keep(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = scratch.keep(requests(left, reps, floor, parts), "requests")
-    more = scratch.keep(answer(asked, roots, texts, k, percent, parts, scratch), "more-links")
+    open_ = inner.select("key", "id")  # a bucket's pairs with its center are decided
+    for last in (False, True):
+        roots = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "components")
+        sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("weight")), "root")
+        placed = open_.join(sized, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        heavy = F.min(F.struct((-F.col("weight")).alias("w"), F.col("root").alias("root"))).alias("heavy")
+        mixed = placed.groupBy("key").agg(heavy, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key", "heavy")
+        placed = scratch.keep(placed.join(mixed, "key"), "mixed")
+        open_ = placed.select("key", "id")
+        others = placed.filter("root != heavy.root")
+        if last:
+            asked = others.select("id", "heavy.root").distinct()
+        else:
+            asked = others.groupBy("id").agg(F.min("heavy").alias("heavy")).select("id", "heavy.root")
+        asked = scratch.keep(asked, "requests")
+        members = members_of(asked, roots, scratch)
+        ids = scratch.keep(members.select("id").unionByName(asked.select("id")).distinct(), "asked-ids")
+        sets = scratch.keep(sets_of(texts.join(few(ids), "id", "left_semi").select("id", "text"), k), "asked-sets")
+        more = answer(asked, members, sets, percent, parts)
+        if last:
+            more = more.unionByName(among(others.select("key", "id", "root"), reps, sets, floor, percent, parts))
+        links = links.unionByName(scratch.keep(more, "more-links"))
     # rows of one id with different texts are in several classes: they are one document
     same_id = some.join(classes, ["d1", "d2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
-    all_links = links.unionByName(more).unionByName(same_id)
+    all_links = links.unionByName(same_id)
     roots = scratch.keep(components(all_links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "roots")
     return signed.select("id", "n_shingles").join(roots, "id", "left").select(
         "id", "n_shingles", F.coalesce("root", "id").alias("component"),

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -84,7 +85,6 @@ def test_empty_tables(spark, make):
 
 @pytest.mark.parametrize("k", [2, 5])
 def test_minhash_matches_brute_force(spark, monkeypatch, k):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "SETS", 3)
     monkeypatch.setattr(minhash, "MEMBERS", 3)
     d = fx.docs(spark)
@@ -145,3 +145,34 @@ def test_plan_keeps_its_recall():
     for n in (100, 10_000, 10_000_000):
         bits, tables = embedding_dedup.plan(n, 0.9, 0.99, 512)
         assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.99
+
+
+def test_requests_grow_with_the_group(spark, monkeypatch):
+    """One large group of near copies: what is asked and emitted follows its size, not its square."""
+    made = {}
+
+    def keep(self, df, name, plain=Scratch.keep):
+        out = plain(self, df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("requests", "more-links") else 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    seen = {}
+    for n in (250, 500):
+        made.clear()
+        got = minhash.near_duplicates(spark, spark.createDataFrame(rows[:n], "doc_id long, text string"), k=5).collect()
+        sets = {i: fx.shingle_set(t, 5) for i, t in rows[:n]}
+        pairs = [(a, b) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if 100 * len(x & y) >= 80 * len(x | y)]
+        assert {r["id"]: r["component"] for r in got} == fx.components(sets, pairs)
+        seen[n] = dict(made)
+    assert seen[250]["requests"] > 0
+    assert all(seen[n][x] <= 2 * n for n in seen for x in ("requests", "more-links"))
+    assert seen[500]["requests"] <= 3 * seen[250]["requests"] + 20
