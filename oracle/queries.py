@@ -9,7 +9,7 @@ DOUBLE, as the Spark side does.
 
 from __future__ import annotations
 
-from souk.catalog import (COLLAB_FILTERED, SEARCH_FILTERED, SEARCH_PLATFORM, SEARCH_TEXT,
+from souk.catalog import (COLLAB_FILTERED, COLLAB_WILDCARD, SEARCH_FILTERED, SEARCH_PLATFORM, SEARCH_TEXT,
                           SEARCH_WILDCARD)
 
 
@@ -20,8 +20,6 @@ def dbl(body: str, *cols: str) -> str:
 
 def like(col: str, text: str) -> str:
     t = text.replace("'", "''")
-    if "%" in t or "_" in t:
-        return f"{col} ILIKE '%{t}%'"
     return f"strip_accents(lower({col})) LIKE '%' || strip_accents(lower('{t}')) || '%'"
 
 
@@ -311,6 +309,7 @@ FROM reviews r JOIN creator_profiles cp ON r.creator_id = cp.id JOIN users u ON
 JOIN bookings b ON r.booking_id = b.id""",
     "q35_list_collaborations": collabs_sql(),
     "q35_list_collaborations_filtered": collabs_sql(**COLLAB_FILTERED),
+    "q35_list_collaborations_wildcard": collabs_sql(**COLLAB_WILDCARD),
     "q36_list_collaborations_total": collabs_total_sql(),
     "q36_list_collaborations_total_filtered": collabs_total_sql(**COLLAB_FILTERED),
     "q37_collaboration_doc": dbl("""

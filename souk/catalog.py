@@ -65,6 +65,7 @@ SEARCH_FILTERED = dict(category="tech", min_followers="20000", location="a", max
 SEARCH_TEXT = dict(search="creator_1")
 SEARCH_WILDCARD = dict(search="r_2%")
 SEARCH_PLATFORM = dict(platform="tube", page="2", limit="5")
+COLLAB_WILDCARD = dict(platform="Ÿ_úT%b", location="_%a")
 COLLAB_FILTERED = dict(platform="tube", location="a", followers_required="30000")
 
 REGISTRY: dict[str, Callable] = {
@@ -112,6 +113,7 @@ REGISTRY: dict[str, Callable] = {
     "q34_brand_reviews": lambda m: messaging.brand_reviews(m),
     "q35_list_collaborations": lambda m: collaborations.list_collaborations(m),
     "q35_list_collaborations_filtered": lambda m: collaborations.list_collaborations(m, **COLLAB_FILTERED),
+    "q35_list_collaborations_wildcard": lambda m: collaborations.list_collaborations(m, **COLLAB_WILDCARD),
     "q36_list_collaborations_total": lambda m: collaborations.list_collaborations_total(m),
     "q36_list_collaborations_total_filtered": lambda m: collaborations.list_collaborations_total(m, **COLLAB_FILTERED),
     "q37_collaboration_doc": lambda m: collaborations.collaboration_doc(m),

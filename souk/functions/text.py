@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,14 +18,61 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def like_segments(text: str) -> list[tuple[int, list[tuple[int, str]]]]:
+    """A LIKE pattern between its ``%``: per segment its length and the (offset,
+    literal) pieces between its ``_``; a backslash takes the next character as it is."""
+    out: list[tuple[int, list[tuple[int, str]]]] = []
+    length, pieces, i = 0, [], 0
+    while i <= len(text):
+        ch = text[i] if i < len(text) else "%"
+        if ch == "%":
+            if length:
+                out.append((length, pieces))
+            length, pieces = 0, []
+        elif ch == "_":
+            length += 1
+        else:
+            if ch == "\\" and i + 1 < len(text):
+                i, ch = i + 1, text[i + 1]
+            if pieces and pieces[-1][0] + len(pieces[-1][1]) == length:
+                pieces[-1] = (pieces[-1][0], pieces[-1][1] + ch)
+            else:
+                pieces.append((length, ch))
+            length += 1
+        i += 1
+    return out
+
+
 def like_any(col, text: str) -> Column:
     """``col LIKE '%text%'`` under MySQL's default case- and accent-insensitive
-    collation.  Without wildcards in ``text`` this is a collation-aware
-    ``contains``; with ``%``/``_`` (the reference does not escape them) it
-    falls back to ``ilike`` (case-insensitive, accent-sensitive)."""
-    if "%" in text or "_" in text:
-        return _c(col).ilike(f"%{text}%")
-    return F.contains(F.collate(_c(col), CI_AI), F.lit(text))
+    collation; ``%`` and ``_`` in ``text`` are wildcards (the reference does not
+    escape them), a backslash escapes one.  Literals compare under the collation
+    whether there are wildcards or not, code point by code point.
+
+    A text without wildcards is a collation-aware ``contains``.  Otherwise each
+    segment between the ``%`` is sought from the end of the one before it; the
+    first place that fits leaves most room for the rest, so there is no need to
+    go back."""
+    if not re.search(r"[%_\\]", text):
+        return F.contains(F.collate(_c(col), CI_AI), F.lit(text))
+    at = F.lit(1)
+    for length, pieces in like_segments(text):
+        at = F.get(F.transform(F.array(at), _sought(_c(col), length, pieces)), F.lit(0))
+    return F.when(_c(col).isNotNull(), at.isNotNull())
+
+
+def _sought(col: Column, length: int, pieces: list[tuple[int, str]]):
+    """Where a segment's first match at or after a position ends (null without one)."""
+
+    def fits(i: Column) -> Column:
+        return reduce(lambda a, b: a & b, [
+            F.collate(F.substring(col, i + off, F.lit(len(lit))), CI_AI) == F.lit(lit) for off, lit in pieces], F.lit(True))
+
+    def end(p: Column) -> Column:
+        starts = F.when(p + length - 1 <= F.length(col), F.sequence(p, F.length(col) - length + 1))
+        return F.array_min(F.filter(starts, fits)) + length
+
+    return end
 
 
 def js_truthy(value) -> bool:

@@ -123,6 +123,36 @@ def test_slices_hold_equal_numbers_of_rows(spark):
     assert max(sizes) <= 2 * 30_000 / 30 and sum(sizes) == 30_000
 
 
+def test_wildcards_compare_under_the_collation(spark):
+    """LIKE with % and _ against a plain matcher that backtracks; case and accents do not count."""
+    import itertools
+    import random
+    import unicodedata
+
+    from souk.functions.text import like_any
+
+    def fold(c):
+        return unicodedata.normalize("NFD", c)[0].lower()
+
+    def like(value, pattern):
+        if not pattern:
+            return not value
+        if pattern[0] == "%":
+            return any(like(value[i:], pattern[1:]) for i in range(len(value) + 1))
+        if pattern[0] == "\\" and len(pattern) > 1:
+            return bool(value) and fold(value[0]) == fold(pattern[1]) and like(value[1:], pattern[2:])
+        return bool(value) and (pattern[0] == "_" or fold(value[0]) == fold(pattern[0])) and like(value[1:], pattern[1:])
+
+    rng = random.Random(3)
+    values = ["", "a", "Éa", "aéA", "b%a", "a_b", "ÀBba", None] + ["".join(rng.choices("aAéEbB%_", k=rng.randint(1, 7))) for _ in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    patterns = ["%", "_", "a%b", "_a", "e_", "A_%b", "\\%a", "\\_", "__", "é%é%a", "a_b_"] + [
+        "".join(rng.choices("aéb%_", k=4)) for _ in range(12)]
+    got = df.select("v", *[like_any("v", p).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    for r, (i, p) in itertools.product(got, enumerate(patterns)):
+        assert r[f"p{i}"] == (None if r["v"] is None else like(r["v"], "%" + p + "%")), (r["v"], p)
+
+
 def test_amounts_round_half_away_from_zero(spark):
     from souk.functions.text import locale_amount
 
