@@ -338,3 +338,19 @@ def _keyed(name: str):
 
 
 REGISTRY.update({f"{name}__keyed": _keyed(name) for name in KEYED})
+
+
+def _lists_as_text(df: DataFrame, **fields: tuple[str, ...]) -> DataFrame:
+    """The arrays of a document as text, in their order."""
+    return df.select(*[joined(c, *fields[c]).alias(c) if c in fields else c for c in df.columns])
+
+
+_CHILDREN = dict(platforms=("id", "platform_name", "followers"), packages=("id", "package_name"))
+REGISTRY.update({
+    "q05_creator_profile_doc__keyed": lambda m: _lists_as_text(
+        creators.creator_profile_doc(m, username="CREATOR_1"), **_CHILDREN, reviews=("id", "brand_name")),
+    "q06_own_profile_doc__keyed": lambda m: _lists_as_text(creators.own_profile_doc(m, user_id="u-c-1"), **_CHILDREN),
+    "q37_collaboration_doc__keyed": lambda m: _lists_as_text(
+        collaborations.collaboration_doc(m, collaboration_id="cl-2"), participants=("id", "role", "name"),
+        requests=("id", "status", "applicant_name"), reviews=("id", "rating", "reviewer_name")),
+})
