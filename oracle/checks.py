@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from souk.catalog import DEFAULTS_BATCH_TS, RATINGS_SINCE
 from souk.sources.migrate import OPTIONAL_FK
-from souk.sources.schema import (ENUMS, FOREIGN_KEYS, NOT_NULL, RATING_CHECKS, SCHEMAS, UNIQUE_KEYS,
+from souk.sources.schema import (DEFAULTS, ENUMS, FOREIGN_KEYS, NOT_NULL, RATING_CHECKS, SCHEMAS, TABLES, TIME_COLUMN, UNIQUE_KEYS,
                                  VARCHAR_LIMITS)
 from oracle.queries import dbl
 
@@ -104,6 +104,24 @@ def rekey_sql(table: str) -> str:
     return dbl(body, *money) if money else body
 
 
+def defaults_sql(table: str) -> str:
+    """The table with its default and time columns emptied in some rows and filled again."""
+    cols = []
+    for f in SCHEMAS[table].fields:
+        if f.name in DEFAULTS[table]:
+            v = DEFAULTS[table][f.name]
+            v = str(v).upper() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) and f.dataType.typeName() == "string" else str(v)
+        elif f.name == TIME_COLUMN[table]:
+            v = f"TIMESTAMP '{DEFAULTS_BATCH_TS}'"
+        else:
+            cols.append(f.name)
+            continue
+        cols.append(f"CASE WHEN {f.name} IS NULL OR ascii(right(id, 1)) % 3 = 0 THEN {v} ELSE {f.name} END AS {f.name}")
+    money = [f.name for f in SCHEMAS[table].fields if f.dataType.typeName() == "decimal"]
+    body = f"SELECT {', '.join(cols)} FROM {table}"
+    return dbl(body, *money) if money else body
+
+
 def _avg2(s: str, n: str) -> str:
     """ROUND(ROUND(s/n, 4), 2) half-up in integers, as MySQL's AVG then ROUND."""
     a4 = f"((20000 * {s} + {n}) // (2 * {n}))"
@@ -141,9 +159,9 @@ SELECT id, user_id, COALESCE(title, 'Notification') AS title, message, link, COA
 UNION ALL
 SELECT id, user_id, 'Notification', message, CAST(NULL AS VARCHAR), COALESCE(read_status, 0) <> 0, created_at
 FROM notifications_old""",
-    "c09_rekey__bookings": rekey_sql("bookings"),
-    "c09_rekey__messages": rekey_sql("messages"),
-    "c09_rekey__campaign_invites": rekey_sql("campaign_invites"),
-    "c09_rekey__admin_logs": rekey_sql("admin_logs"),
-    "c09_rekey__collaboration_reviews": rekey_sql("collaboration_reviews"),
+    "c06_ranges_raw": "\nUNION ALL\n".join([
+        f"{_row('payments', 'razorpay_order_id', 'range', 'id', 'length(razorpay_order_id)')} FROM raw_payments WHERE length(razorpay_order_id) > 200",
+        f"{_row('payments', 'amount', 'range', 'id', 'amount')} FROM raw_payments WHERE TRY_CAST(amount AS DECIMAL(12,2)) IS NULL"]),
+    **{f"c07_apply_defaults__{t}": defaults_sql(t) for t in DEFAULTS if t != "bookings"},
+    **{f"c09_rekey__{t}": rekey_sql(t) for t in TABLES},
 }

@@ -131,6 +131,7 @@ REGISTRY: dict[str, Callable] = {
 # ---------------------------------------------------------------- M, C, S
 from souk.operators import checks, ratings  # noqa: E402
 from souk.sources import migrate  # noqa: E402
+from souk.sources.schema import DEFAULTS, TABLES, TIME_COLUMN  # noqa: E402
 from souk.sources.tables import conform  # noqa: E402
 
 RATINGS_SINCE = "1998-01-01"
@@ -148,6 +149,23 @@ def _m3(m):
     return ratings.refresh_ratings(m, changed).select("id", "rating")
 
 
+def _c07(table: str):
+    """Defaults over the table with its default and time columns emptied in about a third of the rows."""
+    cols = [*DEFAULTS[table], *([TIME_COLUMN[table]] if TIME_COLUMN[table] else [])]
+    empty = F.ascii(F.substring("id", -1, 1)) % 3 == 0
+
+    def run(m):
+        df = m[table]
+        gaps = df.select(*[F.when(~empty, F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+        return checks.apply_defaults(table, gaps, DEFAULTS_BATCH_TS)
+
+    return run
+
+
+def _c09(table: str):
+    return lambda m: migrate.rekey_table(m, table)
+
+
 def _c08(m):
     return migrate.unify_notifications(m.fixture("notifications_old"), m.fixture("notifications_new"))
 
@@ -164,12 +182,10 @@ REGISTRY.update({
     "c06_ranges": lambda m: checks.check_ranges(faulty(m)),
     "c07_apply_defaults": lambda m: checks.apply_defaults("bookings", faulty(m)["bookings"], DEFAULTS_BATCH_TS),
     "c08_unify_notifications": _c08,
-    "c09_rekey__bookings": lambda m: migrate.rekey_table(m, "bookings"),
-    "c09_rekey__messages": lambda m: migrate.rekey_table(m, "messages"),
-    "c09_rekey__campaign_invites": lambda m: migrate.rekey_table(m, "campaign_invites"),
-    "c09_rekey__admin_logs": lambda m: migrate.rekey_table(m, "admin_logs"),
-    "c09_rekey__collaboration_reviews": lambda m: migrate.rekey_table(m, "collaboration_reviews"),
+    "c06_ranges_raw": lambda m: checks.check_ranges(m.replace(payments=m.fixture("raw_payments")), tables=["payments"]),
 })
+REGISTRY.update({f"c07_apply_defaults__{t}": _c07(t) for t in DEFAULTS if t != "bookings"})
+REGISTRY.update({f"c09_rekey__{t}": _c09(t) for t in TABLES})
 
 
 # ---------------------------------------------------------------- table jobs

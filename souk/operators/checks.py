@@ -109,43 +109,47 @@ def check_rating_range(m) -> DataFrame:
                    for t, c in RATING_CHECKS], m.spark)
 
 
-def check_foreign_keys(m, tables=None) -> DataFrame:
-    """Child rows whose non-null foreign key has no parent row.
+def _references(m, tables) -> DataFrame | None:
+    """Every non-null foreign key value: (_pt, _pv, table_name, column_name, row_id)."""
+    refs = [m[fk.table].filter(F.col(fk.column).isNotNull()).select(
+        F.lit(fk.parent).alias("_pt"), F.col(fk.column).cast("string").alias("_pv"), F.lit(fk.table).alias("table_name"),
+        F.lit(fk.column).alias("column_name"), F.col("id").cast("string").alias("row_id"))
+        for fk in FOREIGN_KEYS if tables is None or fk.table in tables]
+    return reduce(DataFrame.unionByName, refs) if refs else None
+
+
+def missing_parents(m, tables=None) -> DataFrame:
+    """(_pt, _pv): parent table and value of every reference without a parent row.
 
     All references of all keys and all parent keys are unioned as (parent
     table, key value, is a reference, is a parent) and aggregated once, with
-    partial counts per task, so a hot key costs one row per task.  The few
-    values that are referenced but have no parent join the references again."""
-    refs, parents = [], {}
-    for fk in FOREIGN_KEYS:
-        if tables is not None and fk.table not in tables:
-            continue
-        refs.append(m[fk.table].filter(F.col(fk.column).isNotNull()).select(
-            F.lit(fk.parent).alias("_pt"), F.col(fk.column).cast("string").alias("_pv"),
-            F.lit(fk.table).alias("table_name"), F.lit(fk.column).alias("column_name"),
-            F.col("id").cast("string").alias("row_id")))
-        parents.setdefault(fk.parent, m[fk.parent].select(F.lit(fk.parent).alias("_qt"),
-                                                           F.col("id").cast("string").alias("_qv")))
-    if not refs:
-        return _empty(m.spark)
-    r = refs[0]
-    for x in refs[1:]:
-        r = r.unionByName(x)
-    ps = list(parents.values())
-    p = ps[0]
-    for x in ps[1:]:
-        p = p.unionByName(x)
+    partial counts per task, so a hot key costs one row per task."""
+    r = _references(m, tables)
+    if r is None:
+        return m.spark.createDataFrame([], "_pt string, _pv string")
+    named = sorted({fk.parent for fk in FOREIGN_KEYS if tables is None or fk.table in tables})
+    p = reduce(DataFrame.unionByName, [m[t].select(F.lit(t).alias("_pt"), F.col("id").cast("string").alias("_pv")) for t in named])
     marks = r.select("_pt", "_pv", F.lit(1).alias("_ref"), F.lit(0).alias("_par")).unionByName(
-        p.select(F.col("_qt").alias("_pt"), F.col("_qv").alias("_pv"), F.lit(0).alias("_ref"), F.lit(1).alias("_par")))
-    lost = (marks.groupBy("_pt", "_pv").agg(F.max("_ref").alias("_ref"), F.max("_par").alias("_par"))
+        p.select("_pt", "_pv", F.lit(0).alias("_ref"), F.lit(1).alias("_par")))
+    return (marks.groupBy("_pt", "_pv").agg(F.max("_ref").alias("_ref"), F.max("_par").alias("_par"))
                  .filter("_ref = 1 and _par = 0").select("_pt", "_pv"))
-    return r.join(lost, ["_pt", "_pv"]).select("table_name", "column_name", F.lit("foreign_key").alias("rule"), "row_id",
-                                                F.col("_pv").alias("detail"))
+
+
+def check_foreign_keys(m, tables=None) -> DataFrame:
+    """Child rows whose non-null foreign key has no parent row: the few
+    values of ``missing_parents`` join the references again."""
+    r = _references(m, tables)
+    if r is None:
+        return _empty(m.spark)
+    return r.join(missing_parents(m, tables), ["_pt", "_pv"]).select("table_name", "column_name", F.lit("foreign_key").alias("rule"), "row_id",
+                                                                     F.col("_pv").alias("detail"))
 
 
 def check_ranges(m, tables=None) -> DataFrame:
     """Text longer than its VARCHAR(n) and numbers that overflow their
-    DECIMAL(p,s) (``try_cast`` is null exactly where the value does not fit)."""
+    DECIMAL(p,s) (``try_cast`` is null exactly where the value does not fit).
+    Tables may be as they came in, with numbers as text or wider decimals: a
+    table that conforms already cannot hold one that overflows."""
     by_table: dict[str, list] = {}
     for (t, c), n in VARCHAR_LIMITS.items():
         if tables is None or t in tables:

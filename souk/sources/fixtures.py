@@ -229,6 +229,16 @@ select id, booking_id, brand_id, creator_id,
             when cast(substring(id, 3) as bigint)%101=6 then 6 else rating end rating,
        comment, created_at
 from {reviews}
+""",
+    "raw_payments": """
+select id, booking_id,
+       case when length(id)%4=1 and cast(amount*100 as bigint)%19=0 then repeat('o', 201) else razorpay_order_id end razorpay_order_id,
+       cast(null as varchar(200)) razorpay_payment_id,
+       case when cast(amount*100 as bigint)%23=0 then '12'||cast(amount as varchar(30))||'0000000' when cast(amount*100 as bigint)%29=0 then '98765432109.5'
+            when cast(amount*100 as bigint)%31=0 then 'n/a' when cast(amount*100 as bigint)%37=0 then '9999999999.99'
+            else cast(amount as varchar(30)) end amount,
+       payment_status, created_at
+from {payments}
 """,
     "notifications_old": """
 select 'n-'||event_id id, 'u-c-'||user_id user_id, props message,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.ids import det_uuid
+from souk.operators.checks import missing_parents
+from souk.session import checkpoint_dir
 from souk.sources.schema import FOREIGN_KEYS, SCHEMAS, TABLES
 from souk.sources.tables import conform
 
@@ -38,21 +40,34 @@ def new_key(table: str, old: F.Column) -> F.Column:
     return F.when(old.isNotNull(), det_uuid(F.lit(table), old))
 
 
-def rekey_table(m, table: str) -> DataFrame:
+#: Missing parents that are broadcast, by their counted rows.
+FEW_KEYS = 1_000_000
+
+
+def orphan_index(m, tables=None) -> DataFrame:
+    """The references without a parent (``missing_parents``), kept as a table."""
+    checkpoint_dir(m.spark)
+    lost = missing_parents(m, tables).checkpoint()
+    return F.broadcast(lost) if lost.count() <= FEW_KEYS else lost
+
+
+def rekey_table(m, table: str, lost: DataFrame | None = None) -> DataFrame:
     """C9 for one table: new ``id`` for every row and each foreign key mapped
     to its parent's new id.  A key whose parent is missing becomes null; for
     inner-joined keys a missing parent leaves all keys of the row null.
 
-    The parent's new id is computed from the key itself, so the join only
-    tests existence (a left-semi flag per key), never moves parent rows."""
+    The parent's new id is computed from the key itself, so all a row needs to
+    know is whether a key has no parent: it looks that up in the index of such
+    keys, which is broadcast while it is small, so the table is read once and
+    not shuffled; null keys look up nothing."""
     df = m[table]
     fks = [fk for fk in FOREIGN_KEYS if fk.table == table]
+    lost = lost if lost is not None or not fks else orphan_index(m, [table])
     flags = {}
     for fk in fks:
-        parent = m[fk.parent].select(F.col("id").alias(f"_p_{fk.column}"),
-                                     F.lit(True).alias(f"_ok_{fk.column}"))
-        df = df.join(parent, df[fk.column] == F.col(f"_p_{fk.column}"), "left").drop(f"_p_{fk.column}")
-        flags[fk.column] = F.coalesce(F.col(f"_ok_{fk.column}"), F.lit(False))
+        gone = lost.filter(F.col("_pt") == fk.parent).select(F.col("_pv").alias(f"_gone_{fk.column}"))
+        df = df.join(gone, df[fk.column] == F.col(f"_gone_{fk.column}"), "left")
+        flags[fk.column] = F.col(fk.column).isNotNull() & F.col(f"_gone_{fk.column}").isNull()
     required = [flags[fk.column] for fk in fks if (table, fk.column) not in OPTIONAL_FK]
     row_ok = F.lit(True)
     for r in required:
@@ -72,5 +87,6 @@ def rekey_table(m, table: str) -> DataFrame:
 
 def rekey_tables(m) -> dict[str, DataFrame]:
     """Every table rekeyed consistently (children reference the parents'
-    new ids)."""
-    return {t: rekey_table(m, t) for t in TABLES}
+    new ids), all over one index of missing parents."""
+    lost = orphan_index(m)
+    return {t: rekey_table(m, t, lost) for t in TABLES}
