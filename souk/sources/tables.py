@@ -7,6 +7,7 @@ the columns a query does not read down to the parquet scan.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator, Mapping
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.sources import fixtures
-from souk.sources.schema import SCHEMAS, TABLES
+from souk.sources.schema import SCHEMAS, TABLES, TIME_COLUMN
 
 
 class Market(Mapping):
@@ -100,6 +101,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, stage_dir: str | None = None
 
 
 COMMITTED = "_COMMITTED"
+MANIFEST = "_MANIFEST.json"
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -107,30 +109,111 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[str, dict] | None:
+    text = _read_text(spark, f"{path}/{MANIFEST}")
+    return json.loads(text) if text else None
+
+
 def load_tables(spark: SparkSession, path: str) -> Market:
-    """Read the 21 tables (``{path}/{table}``) of a published version with
-    their fixed schemas.  A folder without the commit marker is refused."""
+    """Read the 21 tables of a published version with their fixed schemas:
+    ``{path}/{table}``, or the folders its manifest names.  A folder without
+    the commit marker is refused."""
     fs, marker = _hadoop(spark, f"{path}/{COMMITTED}")
     if not fs.exists(marker):
         raise FileNotFoundError(f"{path} holds no committed version")
-    return Market(spark, lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}"))
+    manifest = _manifest(spark, path)
+
+    def read(name: str) -> DataFrame:
+        if manifest is None:
+            return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+        folders = [x["path"] for x in manifest[name].values()]
+        return spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else spark.createDataFrame([], SCHEMAS[name])
+
+    return Market(spark, read)
+
+
+def _new_version(spark: SparkSession, path: str) -> None:
+    """Only a committed version stands; what a failed write has left is written over."""
+    fs, marker = _hadoop(spark, f"{path}/{COMMITTED}")
+    if fs.exists(marker):
+        raise FileExistsError(f"{path} holds a committed version")
 
 
 def write_tables(m: Mapping[str, DataFrame], path: str, tables=None, mode: str = "errorifexists") -> str:
-    """S3: publish tables under a new version directory ``path``.
+    """S3: publish tables whole under a new version directory ``path``
+    (``publish`` writes only what changed).
 
-    Plain parquet has no MERGE or UPDATE, so every job writes whole new table
-    versions.  The tables are written one after the other; the commit marker
-    comes last, and ``load_tables`` refuses a version without it, so a reader
-    sees all of a version or nothing of it.
+    The tables are written one after the other; the commit marker comes last,
+    and ``load_tables`` refuses a version without it, so a reader sees all of a
+    version or nothing of it.  A write that failed can be run again.
     """
     names = list(tables or TABLES)
     spark = m[names[0]].sparkSession
+    if mode == "errorifexists":
+        _new_version(spark, path)
+        mode = "overwrite"
     fs, marker = _hadoop(spark, f"{path}/{COMMITTED}")
-    if mode == "errorifexists" and fs.exists(marker):
-        raise FileExistsError(f"{path} holds a committed version")
     fs.delete(marker, False)
     for name in names:
         conform(m[name], name).write.mode(mode).parquet(f"{path}/{name}")
     fs.create(marker, False).close()
     return path
+
+
+#: Parts of a table without a time column.
+PARTS = 16
+
+
+def _part_of(table: str) -> F.Column:
+    """A row's part: the month of its time, where jobs mostly change recent rows; else a hash of its id."""
+    time = TIME_COLUMN[table]
+    if time:
+        return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit("none"))
+    return F.concat(F.lit("h"), F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+
+
+def publish(m: Mapping[str, DataFrame], path: str, base: str | None = None, changed=None) -> str:
+    """S3: publish a version by parts, writing only those that differ from the
+    version ``base``.
+
+    A manifest names the folder of every part with its number of rows and the
+    sum of their hashes.  A part with the same rows as in ``base`` is not
+    written: the new manifest names the old folder (so a version lives as long
+    as a later one names its folders).  Tables not in ``changed`` (default:
+    all are looked at) are not even read.  Manifest and commit marker come
+    last; a write that failed can be run again."""
+    spark = m[TABLES[0]].sparkSession
+    _new_version(spark, path)
+    old = (_manifest(spark, base) if base else None) or {}
+    if base and not old:
+        raise FileNotFoundError(f"{base} has no manifest")
+    new: dict[str, dict] = {}
+    for name in TABLES:
+        if changed is not None and name not in changed and name in old:
+            new[name] = old[name]
+            continue
+        rows = conform(m[name], name).withColumn("part", _part_of(name))
+        digest = F.sum(F.xxhash64(*SCHEMAS[name].fieldNames()).cast("decimal(38,0)")).cast("string")
+        found = {r["part"]: [r["n"], r["digest"]] for r in rows.groupBy("part").agg(F.count("*").alias("n"), digest.alias("digest")).collect()}
+        same = {k: x for k, x in old.get(name, {}).items() if found.get(k) == x["rows"]}
+        touched = sorted(set(found) - set(same))
+        if touched:
+            rows.filter(F.col("part").isin(touched)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+        new[name] = same | {k: {"rows": found[k], "path": f"{path}/{name}/part={k}"} for k in touched}
+    fs, file = _hadoop(spark, f"{path}/{MANIFEST}")
+    out = fs.create(file, True)
+    out.write(bytearray(json.dumps(new).encode()))
+    out.close()
+    fs.create(_hadoop(spark, f"{path}/{COMMITTED}")[1], False).close()
+    return path
