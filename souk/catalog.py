@@ -152,10 +152,9 @@ def _m3(m):
 def _c07(table: str):
     """Defaults over the table with its default and time columns emptied in about a third of the rows."""
     cols = [*DEFAULTS[table], *([TIME_COLUMN[table]] if TIME_COLUMN[table] else [])]
-    empty = F.ascii(F.substring("id", -1, 1)) % 3 == 0
 
     def run(m):
-        df = m[table]
+        df, empty = m[table], F.ascii(F.substring("id", -1, 1)) % 3 == 0
         gaps = df.select(*[F.when(~empty, F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
         return checks.apply_defaults(table, gaps, DEFAULTS_BATCH_TS)
 
