@@ -36,7 +36,8 @@ HEADLINE = [
 
 # Iterative and fan-out jobs and a stream: run once each, reported beside the headline sum.
 JOBS = ["t01_register_users__users", "t18_decide_requests__messages", "t20_post_collab_messages__notifications",
-        "t26_collab_reviews__rejects", "w3_deliver_online", "w4_rating_stream"]
+        "t26_collab_reviews__rejects", "t02_resolve_identities__users", "t10_t11_payments__payments",
+        "t13_t14_withdrawals__withdrawals", "t23_delete_users__users", "w3_deliver_online", "w3_delivery_stream", "w4_rating_stream"]
 
 
 def main() -> None:

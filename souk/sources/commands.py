@@ -175,7 +175,9 @@ def _pick(table: str, event_type: str) -> str:
     e = (f"(select event_id, user_id, value, (event_id*7) % {N} tk, event_id % (select count(*) from {{part}}) pk "
          f"from {{events}} where event_type='{event_type}') e")
     booking = f"{e} join {{bookings}} bb on bb.k = e.tk"
-    line = f"{e} join {{lineitem}} li on li.l_orderkey = e.tk and li.l_linenumber = 1"
+    # one line of the order, any of them, by the event's number
+    line = (f"{e} join (select l_orderkey ok, count(*) nl from {{lineitem}} group by l_orderkey) ol on ol.ok = e.tk "
+            f"join {{lineitem}} li on li.l_orderkey = e.tk and li.l_linenumber = 1 + e.event_id % ol.nl")
     request = "'cq-'||li.l_partkey||'-'||li.l_suppkey"
     source, target = {
         "promotion_packages": (booking, "bb.package_id"),
