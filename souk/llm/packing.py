@@ -12,7 +12,7 @@ In a cell, with tiers 2048, 1024, 512, 256 (context sizes, powers of two):
 2. Pack each tier, longest first: a rest opens a window of its tier; what the
    window has left is a gap.
 3. Fill.  From the longest tier down, gaps take pieces of the documents of the
-   shorter tiers, longest first, cutting the last one so that the window is
+   shorter tiers, shortest first, cutting the last one so that the window is
    full.  So only the last window of a cell can have a gap; it is cut into
    windows of power-of-two sizes, the leftover of under ``min_tier`` tokens
    into powers of two as well, so no window needs padding.
@@ -29,6 +29,7 @@ empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,11 +48,12 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """A byte-level BPE vocabulary; special tokens' strings are ordinary text.
+    """A byte-level BPE vocabulary.
 
     ``json`` names the vocabulary for ``tokenizers``; where ``ranks`` names the
     same vocabulary as ranks, ``tiktoken`` encodes with it, with the same ids
-    several times faster.
+    several times faster.  As ``tokenizers`` does, both give the string of a
+    special token in a text that token's id.
     """
 
     json: str
@@ -64,12 +66,14 @@ class Tokenizer:
 
             with open(self.ranks, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            enc = tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-            return lambda text: enc.encode_to_numpy(text, disallowed_special=())
+            with open(self.json, encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            ranks = {a: b for a, b in ranks.items() if b not in special.values()}
+            enc = tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=special)
+            return lambda text: enc.encode_to_numpy(text, allowed_special="all")
         import tokenizers
 
         tok = tokenizers.Tokenizer.from_file(self.json)
-        tok.encode_special_tokens = True
         return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

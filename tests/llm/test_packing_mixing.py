@@ -38,7 +38,8 @@ def test_step_groups_are_balanced():
 
 
 def test_pack_round_trip(spark):
-    d = fx.docs(spark)
+    special = [(700, "hello <|endoftext|> world"), (701, "<|endoftext|>"), (702, "a<|endoftext|><|endoftext|>\n<|endoftext"), (703, "<|ENDOFTEXT|>")]
+    d = fx.docs(spark).unionByName(spark.createDataFrame(special, "doc_id long, text string"), allowMissingColumns=True)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((str(r["doc_id"]), [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in d.collect())
     got = packing.pack(d, cell_tokens=700).collect()
