@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import slices, trimmed
-from souk.llm.samples import at_most
+from souk.llm.samples import at_most_each
 
 UND = "und"
 _LETTERS: np.ndarray | None = None
@@ -100,12 +100,13 @@ class Profiles:
 
 
 def learn(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          profile_size: int = 400, max_rows: int = 20_000) -> Profiles:
-    """Profiles from a sample of the eligible rows.  Only the profiles themselves
-    (``profile_size`` rows a language) come to the driver."""
+          profile_size: int = 400, max_rows: int = 5_000) -> Profiles:
+    """Profiles from a sample of the eligible rows, of about ``max_rows`` for each
+    language, so that a language has a profile however rare it is.  Only the
+    profiles themselves (``profile_size`` rows a language) come to the driver."""
     rows = docs.filter(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = at_most(rows, "id", max_rows)
+    rows = at_most_each(rows, "lang", "id", max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -138,3 +138,15 @@ def test_registered_queries_are_complete():
     assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert pd.Series(names).is_unique
+
+
+def test_a_rare_language_keeps_its_rows(spark):
+    """The bound is per language: a language of a few rows is learned beside one of very many."""
+    from souk.llm.samples import at_most_each
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") < 7, "rare").otherwise("common").alias("lang"))
+    got = {r["lang"]: r["count"] for r in at_most_each(rows, "lang", "id", 300).groupBy("lang").count().collect()}
+    assert got["rare"] == 7 and 220 <= got["common"] <= 380
+    texts = spark.createDataFrame([(i, "der die das und nicht mit " * 3, "de") for i in range(400)] + [(1000, "il gatto nero dorme sempre " * 4, "it")],
+                                  "doc_id long, text string, lang string")
+    assert langid.learn(texts, F.lit(True), max_rows=50).languages == ["de", "it"]
