@@ -119,11 +119,11 @@ def test_withdrawal_gates(spark):
     assert [r.amount for r in new] == [D("900.00")] and new[0].details == '{"upi_id":"x"}'
 
 
-def test_content_fold_is_independent_of_range_width(spark):
+def test_content_fold_is_independent_of_slices(spark):
     m = _market(spark)
     cmds = _cmds(spark, CONTENT, CONTENT_SCHEMA)
     a = bj.content_review(m, cmds, TS)
-    b = bj.content_review(m, cmds, TS, width=2)
+    b = bj.content_review(m, cmds, TS, ranges=7)
     assert sorted(tuple(r) for r in a.rejects.collect()) == sorted(tuple(r) for r in b.rejects.collect())
     assert sorted(tuple(r) for r in a.tables["bookings"].collect()) == \
         sorted(tuple(r) for r in b.tables["bookings"].collect())
