@@ -54,21 +54,44 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a value under a schema, in a fixed order."""
-    kind = schema.get("type")
+def same(a, b) -> bool:
+    """Equal as JSON values: true is not 1, but 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
     if kind == "integer":
-        ok = isinstance(value, int) and not isinstance(value, bool)
-    elif kind == "number":
-        ok = isinstance(value, int | float) and not isinstance(value, bool)
-    else:
-        ok = kind is None or isinstance(value, _TYPES[kind])
-    if not ok:
-        return [f"{at}: not {kind}"]
+        return isinstance(value, int | float) and not isinstance(value, bool) and value == value // 1
+    if kind == "number":
+        return isinstance(value, int | float) and not isinstance(value, bool)
+    return isinstance(value, _TYPES[kind])
+
+
+def problems(value, schema: dict, at: str = "$") -> list[str]:
+    """What is wrong with a value under a schema, in a fixed order.  Of JSON
+    Schema it knows type (one or a list), const, enum, anyOf, the bounds of
+    strings, numbers and arrays, pattern, items, properties, required and
+    additionalProperties false; other keywords are ignored."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "const" in schema and not same(value, schema["const"]):
+        out.append(f"{at}: not the constant")
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
+    if "anyOf" in schema and all(problems(value, x, at) for x in schema["anyOf"]):
+        out.append(f"{at}: like none of anyOf")
     if isinstance(value, str):
+        if len(value) < schema.get("minLength", 0):
+            out.append(f"{at}: too short")
         if len(value) > schema.get("maxLength", len(value)):
             out.append(f"{at}: too long")
         if "pattern" in schema and not re.search(schema["pattern"], value):
@@ -86,9 +109,14 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
                 out += problems(value[k], known[k], f"{at}.{k}")
             elif schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
-            out += problems(x, schema["items"], f"{at}[{i}]")
+    if isinstance(value, list):
+        if len(value) < schema.get("minItems", 0):
+            out.append(f"{at}: too few items")
+        if len(value) > schema.get("maxItems", len(value)):
+            out.append(f"{at}: too many items")
+        if "items" in schema:
+            for i, x in enumerate(value):
+                out += problems(x, schema["items"], f"{at}[{i}]")
     return out
 
 
@@ -101,13 +129,14 @@ def validate(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for t, a in zip(tool, arguments, strict=True):
             try:
                 value = json.loads(a) if a is not None else None
-            except ValueError:
+            except (ValueError, RecursionError):  # not JSON, or nested too deep to be written again
                 value = None
             if not isinstance(value, dict):
                 out.append((None, ["$: not a JSON object"]))
                 continue
             try:
                 text = canonical(value)
+                text.encode()  # fails on half a surrogate pair, which no text may hold
             except (ValueError, RecursionError):
                 out.append((None, ["$: not a JSON object"]))
                 continue

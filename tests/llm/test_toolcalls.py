@@ -38,6 +38,29 @@ def test_problems():
     assert toolcalls.problems({"x": True}, s) == ["$.x: not integer"]
 
 
+def test_problems_of_other_keywords():
+    of = toolcalls.problems
+    s = {"type": ["integer", "null"]}
+    assert of(None, s) == of(3, s) == of(3.0, s) == [] and of(True, s) == of("x", s) == ["$: not integer or null"]
+    assert of(True, {"enum": [1]}) == of(1, {"enum": [True, "1"]}) == ["$: not in enum"] and of(1.0, {"enum": [1]}) == []
+    assert of([1, {"a": False}], {"const": [1, {"a": 0}]}) == ["$: not the constant"] and of([1.0], {"const": [1]}) == []
+    assert of("", {"minLength": 1}) == ["$: too short"] and of([], {"minItems": 1}) == ["$: too few items"] and of([1, 2], {"maxItems": 1}) == ["$: too many items"]
+    either = {"anyOf": [{"type": "string", "minLength": 2}, {"type": "integer"}]}
+    assert of("ab", either) == of(7, either) == [] and of("a", either) == ["$: like none of anyOf"]
+
+
+def test_arguments_that_no_parser_likes(spark):
+    """Very deep, cut off, half a surrogate pair, huge numbers: a defined answer, no failure."""
+    deep = '{"x":' + "[" * 200_000 + "]" * 200_000 + "}"
+    bad = [deep, "[" * 200_000, '{"x": "\\ud800"}', '{"\\udfff": 1}', '{"x": NaN}', '{"x": 1e999}', '{"x": ' + "9" * 5000 + "}", "", None, "7"]
+    rows = [(i, "f", a) for i, a in enumerate(bad)] + [(90, "f", '{"x":2}'), (91, "?", "{}"), (92, None, "{}")]
+    got = {r["id"]: r for r in toolcalls.validate(spark.createDataFrame(rows, "id int, tool string, arguments string"), SCHEMAS).collect()}
+    for i in range(len(bad)):
+        assert (got[i]["canonical"], got[i]["problems"]) == (None, ["$: not a JSON object"]), bad[i][:30] if bad[i] else bad[i]
+    assert got[90]["canonical"] == '{"x":2}' and got[90]["problems"] == []
+    assert got[91]["problems"] == got[92]["problems"] == ["$: unknown tool"]
+
+
 def test_linking(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "user", ""), (2, 0, "user", "x"), (None, 0, "user", "lost")],
                                   "conv_id long, turn long, role string, text string")
