@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from souk.sources import tables
 from souk.streaming.jobs import EVENT_SCHEMA, notification_stream, notifications_from_events
+from tests.conftest import SF0001
 from tests.helpers import T0, bundle
 
 
@@ -30,3 +32,19 @@ def test_stream_reads_its_static_side_once(spark, tmp_path):
     assert len(q.recentProgress) >= files and seen.value == 6
     got = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r["id"] for r in notifications_from_events(m, ev).collect()) and len(got) == 12
+
+
+def test_large_tables_are_merged_in_small_tasks(spark, monkeypatch):
+    """Above FEW_ROWS no estimate of a file's size decides for a broadcast, tasks get few rows, and the rows stay the same."""
+    names = ["collaboration_requests", "bookings", "promotion_packages"]
+    plain = tables.derive_tables(spark, SF0001)
+    want = {n: sorted(map(repr, plain[n].collect())) for n in names}
+    monkeypatch.setattr(tables, "FEW_ROWS", 100)
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    m = tables.derive_tables(spark, SF0001)
+    plan = m["collaboration_requests"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
+    lines = spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
+    assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in plan
+    for n in names:
+        assert sorted(map(repr, m[n].collect())) == want[n]
