@@ -1,9 +1,16 @@
 """What must not grow with the number of micro-batches or with wrong size estimates."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
+from souk.functions.text import like_any
+from souk.operators.checks import check_foreign_keys, check_unique
+from souk.operators.creators import search_creators
+from souk.plans.accounts import cascade_delete
+from souk.plans.payments import payment_batch
+from souk.plans.withdrawals import withdrawal_batch
 from souk.sources import tables
 from souk.streaming.jobs import EVENT_SCHEMA, notification_stream, notifications_from_events
 from tests.conftest import SF0001
@@ -48,3 +55,83 @@ def test_large_tables_are_merged_in_small_tasks(spark, monkeypatch):
     assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in plan
     for n in names:
         assert sorted(map(repr, m[n].collect())) == want[n]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_wildcards_of_a_long_text(spark):
+    """A LIKE with wildcards cuts the text into its code points once: no substring walks from its start."""
+    rows = [(1, "ñ" * 60_000 + "xR_2é%"), (2, "ñ" * 60_000 + "xR"), (3, None), (4, ""), (5, "r😀2"), (6, "R2")]
+    df = spark.createDataFrame(rows, "id int, v string")
+    out = df.select("id", like_any("v", "r_2%").alias("a"), like_any("v", "x%2e\\%").alias("b"), like_any("v", "%").alias("c"))
+    assert "substring" not in _plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, True, True, True), (2, False, False, True), (3, None, None, None),
+                                                       (4, False, False, True), (5, True, False, True), (6, False, False, True)]
+
+
+def test_searched_profiles_are_dealt_to_many_tasks(spark):
+    """The bios are searched after a shuffle of the profiles, whatever the join with users does."""
+    m = bundle(spark, users=[{"id": f"u{i}", "name": "Zoë" if i == 1 else "n"} for i in range(6)],
+               creator_profiles=[{"id": f"c{i}", "user_id": f"u{i}", "username": "x", "bio": "a ZOE b" if i == 4 else None} for i in range(6)])
+    for text in ("zoe", "z_e"):
+        found = search_creators(m, search=text)
+        assert "REPARTITION_BY_COL" in _plan(found) and sorted(r["id"] for r in found.collect()) == ["c1", "c4"]
+
+
+def test_unique_keys_in_ascii_need_no_collation(spark):
+    """Printable ASCII keys are compared in lower case; a key with other values is counted whole by the collation."""
+    ascii_ = bundle(spark, users=[{"id": "A", "email": "x@y"}, {"id": "a", "email": "X@Y"}, {"id": "b", "email": None}])
+    out = check_unique(ascii_, tables=["users"])
+    assert "collate" not in _plan(out).lower()
+    assert sorted(tuple(r)[1:] for r in out.collect()) == [("email", "unique", "X@Y", "2"), ("id", "unique", "A", "2")]
+    mixed = bundle(spark, users=[{"id": "e"}, {"id": "É"}, {"id": "f", "email": "q"}, {"id": "ǵ"}, {"id": "h", "email": "Q"}],
+                   reviews=[{"id": "r", "booking_id": "k"}, {"id": "s", "booking_id": "K"}])
+    got = sorted(tuple(r)[:2] + tuple(r)[3:] for r in check_unique(mixed, tables=["users", "reviews"]).collect())
+    assert got == [("reviews", "booking_id", "K", "2"), ("users", "email", "Q", "2"), ("users", "id", "e", "2")]
+
+
+def test_foreign_keys_without_lost_values_are_read_once(spark):
+    """Only keys that have a missing parent are read again for the rows, each table once."""
+    m = bundle(spark, users=[{"id": "u"}], creator_profiles=[{"id": "c", "user_id": "u"}],
+               bookings=[{"id": "k", "creator_id": "c"}], withdrawals=[{"id": "w", "creator_id": "c-no"}, {"id": "v", "creator_id": "c"}])
+    out = check_foreign_keys(m)
+    assert "Union" not in _plan(out)
+    assert [tuple(r) for r in out.collect()] == [("withdrawals", "creator_id", "foreign_key", "w", "c-no")]
+    two = m.replace(reviews=bundle(spark, reviews=[{"id": "r", "booking_id": "k-no", "creator_id": "c-no"}, {"id": "s"}])["reviews"])
+    assert sorted(tuple(r)[:2] + tuple(r)[3:] for r in check_foreign_keys(two).collect()) == [
+        ("reviews", "booking_id", "r", "k-no"), ("reviews", "creator_id", "r", "c-no"), ("withdrawals", "creator_id", "w", "c-no")]
+
+
+def test_deletion_deals_large_tables_by_rows(spark, monkeypatch):
+    """Known large tables are dealt to tasks by their rows in a cascade, each read once; the rows stay the same."""
+    rows = dict(users=[{"id": f"u{i}"} for i in range(8)], creator_profiles=[{"id": f"c{i}", "user_id": f"u{i}"} for i in range(8)],
+                collaborations=[{"id": f"l{i}", "creator_id": f"c{i}"} for i in range(8)],
+                collaboration_requests=[{"id": f"q{i}", "collaboration_id": f"l{i % 8}", "creator_id": f"c{(i + 1) % 8}"} for i in range(40)],
+                admin_logs=[{"id": "a", "admin_id": "u1"}, {"id": "b", "admin_id": "u2"}])
+    seeds = {"users": spark.createDataFrame([("u1",), (None,), ("u7",)], "id string")}
+    small = bundle(spark, **rows)
+    want = {t: sorted(map(repr, df.collect())) for t, df in cascade_delete(small, seeds).items()}
+    monkeypatch.setattr(tables, "FEW_ROWS", 10)
+    monkeypatch.setattr(tables, "TASK_ROWS", 20)
+    large = tables.Market(spark, lambda name: small[name], rows=lambda name: 60)
+    got = cascade_delete(large, seeds)
+    assert all(re.search(rf"RepartitionByExpression \[{by}#\d+\], 3", _plan(got[t])) for t, by in (("collaboration_requests", "id"), ("admin_logs", "admin_id")))
+    assert {t: sorted(map(repr, df.collect())) for t, df in got.items()} == want
+    assert len(want["collaboration_requests"]) == 20 and len(want["admin_logs"]) == 2
+
+
+def test_joint_batches_read_their_commands_once(spark):
+    """What the commands come from is computed once, not at each step."""
+    mark = "seq > -987654321"
+    m = bundle(spark, bookings=[{"id": "k", "status": "accepted"}])
+    pay = spark.createDataFrame([(1, 1, "order", "k", "o1", None, None), (2, 2, "order", "no", "o2", None, None)],
+                                "cmd_id long, seq long, kind string, booking_id string, order_id string, payment_id string, signature string")
+    out = payment_batch(m, pay.filter(mark), "key", T0).rejects
+    assert "-987654321" not in _plan(out) and [tuple(r) for r in out.collect()] == [(2, "not_found")]
+    wd = spark.createDataFrame([(1, 1, "decide", "u-a", "w-no", "approved", None)], "cmd_id long, seq long, kind string, actor_user_id string, "
+                               "withdrawal_id string, status string, note string")
+    wd = wd.filter(mark).selectExpr("*", *[f"cast(null as string) {c}" for c in ("amount", "upi_id", "bank_account", "ifsc_code", "account_holder")])
+    out = withdrawal_batch(m, wd, T0).rejects
+    assert "-987654321" not in _plan(out) and [tuple(r) for r in out.collect()] == [(1, "not_found")]
