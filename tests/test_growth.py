@@ -12,6 +12,7 @@ from souk.plans.accounts import cascade_delete
 from souk.plans.payments import payment_batch
 from souk.plans.withdrawals import withdrawal_batch
 from souk.sources import tables
+from souk.sources.schema import FOREIGN_KEYS
 from souk.streaming.jobs import EVENT_SCHEMA, notification_stream, notifications_from_events
 from tests.conftest import SF0001
 from tests.helpers import T0, bundle
@@ -122,6 +123,62 @@ def test_deletion_deals_large_tables_by_rows(spark, monkeypatch):
     assert len(want["collaboration_requests"]) == 20 and len(want["admin_logs"]) == 2
 
 
+def _tasks_of_joins(df):
+    """What deals out the inputs of the joins: the exchanges that a sort or a join stands right above."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"(?:Sort \[|Join)[^\n]*\n[^\n]*Exchange hashpartitioning\([^\n]*, (\d+)\), (\w+)", plan)
+
+
+def test_deletion_joins_what_was_dealt(spark, monkeypatch):
+    """The dealt rows are those the joins of a cascade sort: no join moves below them, nothing is shuffled again."""
+    from souk.plans.accounts import _referring
+
+    monkeypatch.setattr(tables, "FEW_ROWS", 10)
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    small = bundle(spark, users=[{"id": f"u{i}"} for i in range(4)], creator_profiles=[{"id": f"c{i}", "user_id": f"u{i}"} for i in range(4)],
+                   collaborations=[{"id": f"l{i}", "creator_id": f"c{i}"} for i in range(4)],
+                   collaboration_requests=[{"id": f"q{i}", "collaboration_id": f"l{i % 4}", "creator_id": f"c{(i + 1) % 4}"} for i in range(8)],
+                   messages=[{"id": f"m{i}", "sender_id": "u2" if i else "u1", "booking_id": None} for i in range(40)] + [{"id": None}, {"id": None}],
+                   admin_logs=[{"id": "a", "admin_id": "u1"}, {"id": None, "admin_id": None}])
+    large = tables.Market(spark, lambda name: small[name].hint("merge"), rows=lambda name: 150)
+    ids = {t: spark.createDataFrame([(x,)], "id string").checkpoint() for t, x in (("users", "u1"), ("creator_profiles", "c1"), ("collaborations", "l1"))}
+    for t, want, tasks in (("collaborations", ["l1"], "15"), ("collaboration_requests", ["q0", "q1", "q4", "q5"], "30"), ("messages", ["m0"], "30")):
+        found = _referring(large, t, [fk for fk in FOREIGN_KEYS if fk.table == t and fk.parent in ids and fk.on_delete == "cascade"], ids)
+        assert (tasks, "REPARTITION_BY_NUM") in _tasks_of_joins(found) and {n for n, _ in _tasks_of_joins(found)} == {tasks}
+        assert sorted(r["id"] for r in found.collect()) == want
+    got = cascade_delete(large, {"users": ids["users"]})
+    for t in ("collaboration_requests", "messages", "admin_logs"):
+        assert {n for n, _ in _tasks_of_joins(got[t])} == {"15"}
+    assert sorted(str(r["id"]) for r in got["collaboration_requests"].collect()) == ["q2", "q3", "q6", "q7"]
+    assert sorted(str(r["id"]) for r in got["messages"].collect()) == sorted(["None", "None"] + [f"m{i}" for i in range(1, 40)])
+    assert sorted(map(str, (tuple(r)[:1] + (r["admin_id"],) for r in got["admin_logs"].collect()))) == ["('a', None)", "(None, None)"]
+
+
+def test_participants_are_dealt_for_their_joins(spark, monkeypatch):
+    """Reviews and messages of large collaborations join participants dealt by their rows."""
+    names = ["collaboration_reviews", "collaboration_messages"]
+    plain = tables.derive_tables(spark, SF0001)
+    want = {n: sorted(map(repr, plain[n].collect())) for n in names}
+    monkeypatch.setattr(tables, "FEW_ROWS", 100)
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    m = tables.derive_tables(spark, SF0001)
+    tasks = -(-spark.read.parquet(f"{SF0001}/lineitem.parquet").count() // 300)
+    for n in names:
+        assert re.search(rf"hashpartitioning\(collaboration_id#\d+, {tasks}\), REPARTITION_BY_NUM", m[n]._jdf.queryExecution().executedPlan().toString())
+        assert sorted(map(repr, m[n].collect())) == want[n]
+
+
+def test_rows_without_a_key_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Rows whose key is null do not meet in one task of a dealt table."""
+    monkeypatch.setattr(tables, "FEW_ROWS", 10)
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    small = bundle(spark, campaigns=[{"id": "cm"}], bookings=[{"id": f"k{i}", "campaign_id": None if i else "cm"} for i in range(200)])
+    large = tables.Market(spark, lambda name: small[name].hint("merge"), rows=lambda name: 150)
+    out = cascade_delete(large, {"campaigns": spark.createDataFrame([("cm",)], "id string")})["bookings"]
+    per_task = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 5 and out.count() == 200 and out.filter("campaign_id is not null").count() == 0
+
+
 def test_joint_batches_read_their_commands_once(spark):
     """What the commands come from is computed once, not at each step."""
     mark = "seq > -987654321"
