@@ -168,6 +168,23 @@ def test_participants_are_dealt_for_their_joins(spark, monkeypatch):
         assert sorted(map(repr, m[n].collect())) == want[n]
 
 
+def test_large_tables_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Groups of a large table are made after its rows are dealt, in no task that grows with the file; a tiny table's keys do not deal it."""
+    names = ["bookings", "campaigns", "collaborations"]
+    plain = tables.derive_tables(spark, SF0001)
+    want = {n: sorted(map(repr, plain[n].collect())) for n in names}
+    for limit in ("FEW_ROWS", "TASK_ROWS"):
+        monkeypatch.setattr(tables, limit, 100)
+    m = tables.derive_tables(spark, SF0001)
+    plan = {n: m[n]._jdf.queryExecution().executedPlan().toString() for n in names}
+    for n, t, key in (("bookings", "lineitem", "l_orderkey"), ("campaigns", "orders", "o_custkey"), ("collaborations", "lineitem", "l_partkey")):
+        tasks = -(-spark.read.parquet(f"{SF0001}/{t}.parquet").count() // 100)
+        dealt = rf"Exchange hashpartitioning\({key}#\d+L, {tasks}\), REPARTITION_BY_NUM[^\n]*\n[^\n]*(Filter|FileScan)"
+        assert re.search(dealt, plan[n]) and not re.search(rf"Exchange hashpartitioning\({key}#\d+L, \d+\), ENSURE_REQ", plan[n])
+        assert sorted(map(repr, m[n].collect())) == want[n]
+    assert re.search(r"BroadcastHashJoin \[\(p_partkey#\d+L % 25\)\]", plan["collaborations"])
+
+
 def test_rows_without_a_key_are_dealt_to_many_tasks(spark, monkeypatch):
     """Rows whose key is null do not meet in one task of a dealt table."""
     monkeypatch.setattr(tables, "FEW_ROWS", 10)
