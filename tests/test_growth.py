@@ -123,6 +123,21 @@ def test_deletion_deals_large_tables_by_rows(spark, monkeypatch):
     assert len(want["collaboration_requests"]) == 20 and len(want["admin_logs"]) == 2
 
 
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(found.apply(i).getName()) for i in range(found.size()) if found.apply(i).getName().startswith("shuffle")}
+
+
+def test_deletion_leaves_no_shuffle_files_of_its_steps(spark):
+    """The shuffle files behind a set of deleted ids go when the set is written, not when the driver collects garbage."""
+    m = bundle(spark, users=[{"id": f"u{i}"} for i in range(8)], creator_profiles=[{"id": f"c{i}", "user_id": f"u{i}"} for i in range(8)],
+               collaborations=[{"id": f"l{i}", "creator_id": f"c{i}"} for i in range(8)])
+    before = _shuffle_files(spark)
+    got = cascade_delete(m, {"users": spark.createDataFrame([("u1",), ("u7",)], "id string")})
+    assert not _shuffle_files(spark) - before
+    assert sorted(r["id"] for r in got["collaborations"].collect()) == [f"l{i}" for i in (0, 2, 3, 4, 5, 6)]
+
+
 def _tasks_of_joins(df):
     """What deals out the inputs of the joins: the exchanges that a sort or a join stands right above."""
     plan = df._jdf.queryExecution().executedPlan().toString()
