@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from souk.functions.text import like_any
+from souk.operators import notify
 from souk.operators.checks import check_foreign_keys, check_unique
 from souk.operators.creators import search_creators
 from souk.plans.accounts import cascade_delete
@@ -42,6 +43,23 @@ def test_stream_reads_its_static_side_once(spark, tmp_path):
     assert got == sorted(r["id"] for r in notifications_from_events(m, ev).collect()) and len(got) == 12
 
 
+def test_stream_leaves_its_static_side_as_it_lies(spark, tmp_path, monkeypatch):
+    """A micro-batch deals and sorts its own events alone; collaborations of many packs, odd ids, null users and rows that come twice are told as in a batch."""
+    monkeypatch.setattr(notify, "PACK_ROWS", 2)
+    m = bundle(spark, collaboration_participants=[{"id": f"j{i}", "collaboration_id": f"cl-{i % 3}" if i != 17 else None, "creator_id": f"c{i % 15}"} for i in range(18)],
+               creator_profiles=[{"id": f"c{i}", "user_id": {0: None, 1: 'u"1', 2: "ü\\2,", 3: "😀 [3]"}.get(i, f"u{i}")} for i in range(15)] + [{"id": "c4", "user_id": "u4"}])
+    events = [("collab_message", str(i), None, f"cl-{i % 4}", None, None, None, None, None, T0, None if i == 7 else f"u{i}") for i in range(8)]
+    ev = spark.createDataFrame(events, EVENT_SCHEMA)
+    src = str(tmp_path / "in")
+    ev.repartition(3, "event_key").write.parquet(src)
+    q = notification_stream(m, src, str(tmp_path / "out"), str(tmp_path / "ckpt"), files_per_trigger=1)
+    plan = q._jsq.explainInternal(False).split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert not [t for t in spark.catalog.listTables() if "audience" in t.name]
+    got, want = spark.read.parquet(str(tmp_path / "out")).collect(), notifications_from_events(m, ev).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 20
+
+
 def test_large_tables_are_merged_in_small_tasks(spark, monkeypatch):
     """Above FEW_ROWS no estimate of a file's size decides for a broadcast, tasks get few rows, and the rows stay the same."""
     names = ["collaboration_requests", "bookings", "promotion_packages"]
