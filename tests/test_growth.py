@@ -2,6 +2,7 @@
 
 import os
 import re
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -242,3 +243,17 @@ def test_joint_batches_read_their_commands_once(spark):
     wd = wd.filter(mark).selectExpr("*", *[f"cast(null as string) {c}" for c in ("amount", "upi_id", "bank_account", "ifsc_code", "account_holder")])
     out = withdrawal_batch(m, wd, T0).rejects
     assert "-987654321" not in _plan(out) and [tuple(r) for r in out.collect()] == [(1, "not_found")]
+
+
+def test_withdrawal_plan_does_not_grow_with_its_rounds(spark):
+    """A creator in many slices takes a round for each; what reads the results reads one table, however many there were."""
+    m = bundle(spark, users=[{"id": "u"}], creator_profiles=[{"id": "c", "user_id": "u"}], creator_earnings=[{"id": "e", "creator_id": "c", "amount": Decimal(900), "status": "paid"}])
+    cmds = spark.createDataFrame([(i, i, "request", "u", "100" if i else "950", "upi", None, None, None, None, None, None) for i in range(12)],
+                                 "cmd_id long, seq long, kind string, actor_user_id string, amount string, upi_id string, bank_account string, "
+                                 "ifsc_code string, account_holder string, withdrawal_id string, status string, note string")
+    outs = {rows: withdrawal_batch(m, cmds, T0, rows) for rows in (1000, 2)}
+    for out in outs.values():
+        assert sorted(tuple(r) for r in out.rejects.collect()) == [(0, "insufficient_balance")] + [(i, "pending_exists") for i in range(2, 12)]
+        assert [r["user_id"] for r in out.notifications.collect()] == ["u"]
+    one, many = (out.notifications._jdf.queryExecution().optimizedPlan().treeString().count("\n") for out in outs.values())
+    assert one == many
